@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op2_packing
 from .simhash import op7_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"op7_simhash": op7_simhash, "pipeline": corpus_pipeline.run}
+    return {"op2_packing": op2_packing, "op7_simhash": op7_simhash, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
