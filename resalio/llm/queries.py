@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op3_byte_bpe
 from .packing import op2_packing
 from .simhash import op7_simhash
+from .token_files import op5_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"op2_packing": op2_packing, "op7_simhash": op7_simhash, "pipeline": corpus_pipeline.run}
+    return {
+        "op2_packing": op2_packing,
+        "op3_byte_bpe": op3_byte_bpe,
+        "op5_token_files": op5_token_files,
+        "op7_simhash": op7_simhash,
+        "pipeline": corpus_pipeline.run,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
