@@ -7,19 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op3_byte_bpe
+from .lines import op8_line_templates
 from .packing import op2_packing
+from .pii import op1_pii
 from .simhash import op7_simhash
 from .token_files import op5_token_files
+from .toxicity import op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     return {
+        "op1_pii": op1_pii,
         "op2_packing": op2_packing,
         "op3_byte_bpe": op3_byte_bpe,
         "op5_token_files": op5_token_files,
         "op7_simhash": op7_simhash,
+        "op8_line_templates": op8_line_templates,
+        "op10_toxicity": op10_toxicity,
         "pipeline": corpus_pipeline.run,
     }
 
