@@ -65,7 +65,7 @@ def _count(tokenizer: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> It
                 seen.update(units)
         whole = [u for u in seen if isinstance(u, str)]
         cut = [u for u in seen if isinstance(u, bytes)]
-        for units, got in ((whole, [level(t) for t in whole]), (cut, [level.units([u]) for u in cut])):
+        for units, got in ((whole, [level(t) for t in whole]), (cut, level.units.each(cut))):
             ids = np.frombuffer(b"".join(got), "<u4")
             n = np.repeat(np.array([seen[u] for u in units], np.int64), np.array([len(g) // 4 for g in got], np.int64))
             if len(ids) and ids.max() >= len(total):

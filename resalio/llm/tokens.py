@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
+import unicodedata
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
+import regex
+import tiktoken
 
 #: A space that neither ends a run of white space before a word nor follows a word: where cutting at spaces is not safe.
 UNSAFE_SPACE = re.compile(r"\s (?!\S)|<\|")
@@ -31,12 +36,15 @@ class Units:
         self.before: dict[bytes, bytes] = {}
 
     def __call__(self, units: list[bytes]) -> bytes:
+        return b"".join(self.each(units))
+
+    def each(self, units: list[bytes]) -> list[bytes]:
         try:
-            return b"".join([self.known[u] for u in units])
+            return [self.known[u] for u in units]
         except KeyError:
             return self.learn(units)
 
-    def learn(self, units: list[bytes]) -> bytes:
+    def learn(self, units: list[bytes]) -> list[bytes]:
         if len(self.known) > GENERATION:
             self.known, self.before = {}, self.known
         known, before = self.known, self.before
@@ -64,7 +72,7 @@ class Units:
         mark = dict(zip(marks, found[len(found) - len(marks) :]))
         known.update((u, have[s] + mark[m]) for u, s, m in ends)
         rest = dict(zip(long, found[len(want) + len(lone) :]))
-        return b"".join([known[u] if u in known else rest[u] for u in units])
+        return [known[u] if u in known else rest[u] for u in units]
 
 
 @functools.cache
@@ -73,8 +81,65 @@ def library(name: str) -> Callable[[list[str]], list[bytes]]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path(name) if "/" not in name else name)
-    return lambda strings: [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(strings, add_special_tokens=False)]
+    t = Tokenizer.from_file(place(name))
+    return lambda strings: [array("I", e.ids).tobytes() for e in t.encode_batch_fast(strings, add_special_tokens=False)]
+
+
+def place(name: str) -> str:
+    """A tokenizer's file: a path, or a name among the public ones."""
+    return name if "/" in name else public_tokenizers.path(name)
+
+
+#: Strings of Latin letters, digits and common marks: for these Python's classes and cases are the libraries'.
+LATIN = re.compile(r"[\x20-\x7e\xa1-\xac\xae-\u024f\u2013-\u201f\u2026\n\t]*")
+END = "\0"
+
+
+class Merger:
+    """encode of a byte-level BPE tokenizers file for Latin strings by its merges' ranks; other strings go to the library.
+
+    A table of ranks serves as well as the file's list of merges, as each merge makes a token of its own. Where
+    the last symbol of a word has an end mark, END stands for it, and joining the two comes before all merges.
+    """
+
+    def __init__(self, name: str) -> None:
+        with open(place(name), encoding="utf-8") as f:
+            spec = json.load(f)
+        model, self.rest = spec["model"], library(name)
+        suffix = model["end_of_word_suffix"] or ""
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        chars = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+        raw = lambda t: bytes(chars[c] for c in (t[: -len(suffix)] if suffix and t.endswith(suffix) else t)) + (END.encode() if suffix and t.endswith(suffix) else b"")
+        vocab = {raw(t): i for t, i in model["vocab"].items() if all(c in chars for c in t.removesuffix(suffix))}
+        order = [bytes([b]) for b in range(256)]
+        order += [b + END.encode() for b in order if suffix]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        order += [raw(a.removesuffix(suffix) + b) if suffix else raw(a + b) for a, b in pairs]
+        if len(set(order)) != len(order):
+            raise ValueError(f"two merges of {name} make one token")
+        self.ids = np.array([vocab.get(b, 0) for b in order], "<u4")
+        self.end = END if suffix else ""
+        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") if suffix else None
+        self.core = tiktoken.Encoding(name, pat_str=r"[^\x00]*\x00" if suffix else public_tokenizers.PATTERN, mergeable_ranks={b: i for i, b in enumerate(order)}, special_tokens={})
+
+    def __call__(self, strings: list[str]) -> list[bytes]:
+        out, other = [], []
+        for k, s in enumerate(strings):
+            if not LATIN.fullmatch(s) or "<|" in s:
+                other.append(k)
+                out.append(b"")
+                continue
+            if self.pattern:
+                s = "".join([p + END for p in self.pattern.findall(s.lower() if s.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", s)]))])
+            out.append(self.ids[self.core.encode_ordinary(s)].tobytes() if s else b"")
+        for k, v in zip(other, self.rest([strings[k] for k in other]) if other else ()):
+            out[k] = v
+        return out
+
+
+@functools.cache
+def merger(name: str) -> Merger:
+    return Merger(name)
 
 
 class ByteLevel:
@@ -111,9 +176,9 @@ class WordLevel:
 @functools.cache
 def byte_level(name: str) -> ByteLevel:
     """One per worker: its memory serves all tasks there."""
-    return ByteLevel(library(name))
+    return ByteLevel(merger(name))
 
 
 @functools.cache
 def word_level(name: str) -> WordLevel:
-    return WordLevel(library(name))
+    return WordLevel(merger(name))
