@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op3_byte_bpe
+from .embeddings import op9_embeddings
 from .lines import op8_line_templates
+from .media import op6_media
 from .packing import op2_packing
 from .pii import op1_pii
 from .simhash import op7_simhash
@@ -23,8 +25,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": op2_packing,
         "op3_byte_bpe": op3_byte_bpe,
         "op5_token_files": op5_token_files,
+        "op6_media": op6_media,
         "op7_simhash": op7_simhash,
         "op8_line_templates": op8_line_templates,
+        "op9_embeddings": op9_embeddings,
         "op10_toxicity": op10_toxicity,
         "pipeline": corpus_pipeline.run,
     }
