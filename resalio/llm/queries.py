@@ -13,6 +13,7 @@ from .media import op6_media
 from .packing import op2_packing
 from .pii import op1_pii
 from .simhash import op7_simhash
+from .substring import op4_substrings
 from .token_files import op5_token_files
 from .toxicity import op10_toxicity
 
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pii": op1_pii,
         "op2_packing": op2_packing,
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_substrings": op4_substrings,
         "op5_token_files": op5_token_files,
         "op6_media": op6_media,
         "op7_simhash": op7_simhash,
