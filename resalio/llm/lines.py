@@ -72,19 +72,21 @@ def recurring(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, ali
     """(doc_id, sigs): the signatures of each document's lines that recur, but where the document is the first."""
     given = texts(docs).filter("doc_id IS NOT NULL")
     lines = materialize(given.mapInArrow(partial(_lines, depth), "doc_id long, leaf long, sig long"), "lines")
-    same = lines.groupBy("sig").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter(F.col("n") >= min_docs)
+    # counts are written before they are joined: then Spark can split hot keys of the join
+    same = materialize(lines.groupBy("sig").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter(F.col("n") >= min_docs), "same")
     drops = lines.join(same, "sig").filter("doc_id > first").select("doc_id", "sig")
-    mixed = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.min("sig").alias("a"), F.max("sig").alias("b")).filter((F.col("n") >= min_docs) & (F.col("a") != F.col("b"))).select("leaf")
+    mixed = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.min("sig").alias("a"), F.max("sig").alias("b")).filter((F.col("n") >= min_docs) & (F.col("a") != F.col("b")))
+    mixed = materialize(mixed.select("leaf"), "mixed")
     wanted = lines.join(mixed, "leaf").groupBy("doc_id").agg(F.collect_set("sig").alias("wanted"))  # as many as a document has lines
     found = materialize(given.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(partial(_places, depth), "doc_id long, leaf long, sig long, tokens array<long>"), "places")
     sizes = found.groupBy("leaf").agg(F.count("*").alias("size"))
     places = found.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
     most = places.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("top"))
     fixed = most.join(sizes, "leaf").filter(F.col("top.n") * 2 >= F.col("size"))
-    templates = fixed.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("at", "top.token"))).alias("fixed"))  # as many as a line has tokens
+    templates = materialize(fixed.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("at", "top.token"))).alias("fixed")), "templates")  # as many as a line has tokens
     agree = F.aggregate(F.transform("tokens", lambda t, i: (F.col("fixed")[i] == t).cast("int")), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)))
     fit = materialize(found.join(templates, "leaf").filter(agree >= alike * F.size("tokens")).select("doc_id", "leaf", "sig"), "fitting")
-    often = fit.groupBy("leaf").agg(F.countDistinct("doc_id").alias("n"), F.min("doc_id").alias("first")).filter(F.col("n") >= min_docs)
+    often = materialize(fit.groupBy("leaf").agg(F.countDistinct("doc_id").alias("n"), F.min("doc_id").alias("first")).filter(F.col("n") >= min_docs), "often")
     more = fit.join(often, "leaf").filter("doc_id > first").select("doc_id", "sig")
     return drops.unionAll(more).groupBy("doc_id").agg(F.collect_set("sig").alias("sigs"))
 

@@ -117,15 +117,17 @@ def repeated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     schema = "doc_id long, half long, near long, span long"
     halves = given.mapInArrow(partial(_halves, width), schema)
     seen = halves.groupBy("half").agg(F.count("*").alias("times"), F.min("doc_id").alias("first"), F.min("near").alias("a"), F.max("near").alias("b")).filter("times > 1")
-    met = materialize(halves.join(seen.select("half", "first", (F.col("a") != F.col("b")).alias("apart")), "half").filter("apart OR doc_id > first"), "halves")
+    # written first: then both sides of the join are dealt out for it alone, and Spark can split a hot half window
+    seen = materialize(seen.select("half", "first", (F.col("a") != F.col("b")).alias("apart")), "seen")
+    met = materialize(halves.join(seen, "half").filter("apart OR doc_id > first"), "halves")
     same = met.filter("NOT apart").select("doc_id", "span")
     apart = met.filter("apart")
-    least = apart.groupBy("half", "near").agg(F.min("doc_id").alias("least"))
+    least = materialize(apart.groupBy("half", "near").agg(F.min("doc_id").alias("least")), "least")
     settled = materialize(apart.drop("first", "apart").join(least, ["half", "near"]), "neighbourhoods")
     again = settled.filter("doc_id > least").select("doc_id", "span")
     left = settled.filter("doc_id = least").groupBy("doc_id").agg(F.collect_list("span").alias("spans"))  # as many as a document has
     open_ = materialize(given.join(left, "doc_id").select("doc_id", "text", "spans").mapInArrow(partial(_windows, width), schema), "windows")
-    firsts = open_.groupBy("half", "near").agg(F.min("doc_id").alias("least"))
+    firsts = materialize(open_.groupBy("half", "near").agg(F.min("doc_id").alias("least")), "firsts")
     found = open_.join(firsts, ["half", "near"]).filter("doc_id > least").select("doc_id", "span")
     return same.unionAll(again).unionAll(found).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
 

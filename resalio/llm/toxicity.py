@@ -33,7 +33,7 @@ SAMPLE, THRESHOLD = 20_000, 0.3
 SHARE, TIMES = 0.01, 30.0
 #: Words in this share of them are found misspelt too (rarer ones are forms of stems); such a match counts as so much of a match.
 EDITED, TRUST = 0.05, 0.5
-STEMS, WINDOW, KNOWN = (4, 5, 6), 5, 800_000
+STEMS, WINDOW, KNOWN = (4, 5, 6), 5, 400_000
 EDGE = "\"'“”„«»‘’‚()[]{}.,;:!?¡¿…-–—_*#"
 QUOTES = "\"“”„«»"
 REPORTS = frozenset("said says wrote writes quoted quote called reported claimed dijo dice escribió citó llamó sagte sagt schrieb zitierte nannte dit disait écrit cite appelé according laut según selon".split())
