@@ -40,10 +40,10 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, what: str, *partition_by: str) -> DataFrame:
+def materialize(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage, survives lost executors, is computed once."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, what)
-    df.write.parquet(path, partitionBy=list(partition_by) or None)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,8 @@ agrees with it in ALIKE of all places. Signatures and templates that are in MIN_
 lines are dropped from all documents but the first, the one with the least doc_id.
 
 A document of which more than MOST would go is a copy rather than one with boilerplate: it is left as it is, for
-the operators on whole documents. Blank lines are neither counted nor dropped.
+the operators on whole documents. Blank lines are neither counted nor dropped; lines of which half or more is
+variable have no template and stay.
 
 Documents never meet in one task: signatures, leaves and places are counted by partial aggregation, lines are
 found again by joins on leaves and on doc_id, whose hot keys Spark can split.
@@ -46,7 +47,7 @@ def _lines(depth: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     for b in batches:
         rows = set()
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            rows.update((doc_id, leaf, sig) for line in text.split("\n") for tokens, leaf, sig in [parse(line, depth)] if tokens)
+            rows.update((doc_id, leaf, sig) for line in text.split("\n") for tokens, leaf, sig in [parse(line, depth)] if 2 * tokens.count("<*>") < len(tokens))
         columns = zip(*rows) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "leaf", "sig"])
 

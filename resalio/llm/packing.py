@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, texts
-from .tokens import byte_level
+from .tokens import merger
 
 SIZE, OPEN_WINDOWS, LEAST_CUT, END_ID = 1024, 64, 8, 0
 TOKENIZER = "byte_bpe_50k.json"
+#: Texts encoded together.
+TOGETHER = 100
 SCHEMA = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: doc_id, start, ids, doc_tokens
 Piece = tuple
@@ -82,7 +84,7 @@ class Packer:
 
 
 def _pack(tokenizer: str, end_id: int, size: int, open_windows: int, least_cut: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encode, packer = byte_level(tokenizer), Packer(size, open_windows, least_cut)
+    encode, packer = merger(tokenizer), Packer(size, open_windows, least_cut)
     number, end = TaskContext.get().partitionId() << 33, np.array([end_id], "<u4").tobytes()
 
     def rows(sequences: Iterator[list[Piece]]) -> Iterator[tuple]:
@@ -100,13 +102,12 @@ def _pack(tokenizer: str, end_id: int, size: int, open_windows: int, least_cut:
 
     for b in batches:
         found: list[tuple] = []
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            found += rows(packer.add(doc_id, np.frombuffer(encode(text) + end, "<u4")))
-            if len(found) >= 4096:
+        for part in (b.slice(k, TOGETHER) for k in range(0, b.num_rows, TOGETHER)):
+            for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
+                found += rows(packer.add(doc_id, np.frombuffer(ids + end, "<u4")))
+            if found:
                 yield batch(found)
                 found = []
-        if found:
-            yield batch(found)
     if found := list(rows(packer.close())):
         yield batch(found)
 

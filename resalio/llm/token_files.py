@@ -15,7 +15,6 @@ name that a retried task repeats. Readers look lengths up by control byte and id
 from __future__ import annotations
 
 import struct
-from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, new_folder, open_store, put, table, texts
-from .tokens import word_level
+from .tokens import TOGETHER, word_level
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 MAGIC, HEAD, NULL_ID = b"RTOK0001", struct.Struct("<8s4Q"), -(1 << 63)
@@ -53,58 +52,64 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.view("<u4").reshape(-1)
 
 
-def _count(tokenizer: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    level, total = word_level(tokenizer), np.zeros(1 << 16, np.int64)
+def _ids(tokenizer: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    level, end = word_level(tokenizer), np.array([end_id], "<u4").tobytes()
     for b in batches:
-        seen: Counter = Counter()
-        for text in b.column(1).to_pylist():
-            units = level.cut(text)
-            if units is None:
-                seen[text] += 1
-            else:
-                seen.update(units)
-        whole = [u for u in seen if isinstance(u, str)]
-        cut = [u for u in seen if isinstance(u, bytes)]
-        for units, got in ((whole, [level(t) for t in whole]), (cut, level.units.each(cut))):
-            ids = np.frombuffer(b"".join(got), "<u4")
-            n = np.repeat(np.array([seen[u] for u in units], np.int64), np.array([len(g) // 4 for g in got], np.int64))
-            if len(ids) and ids.max() >= len(total):
-                total = np.pad(total, (0, int(ids.max()) + 1 - len(total)))
-            total += np.bincount(ids, n, len(total)).astype(np.int64)
-        total[end_id] += b.num_rows
+        for part in (b.slice(k, TOGETHER) for k in range(0, b.num_rows, TOGETHER)):
+            ids = [i + end for i in level.many(part.column(1).to_pylist())]
+            flat = np.frombuffer(b"".join(ids), "<u4")
+            small = not len(flat) or flat.max() < 1 << 16
+            if small:
+                ids = [np.frombuffer(i, "<u4").astype("<u2").tobytes() for i in ids]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([2 if small else 4] * len(ids), pa.int8()), pa.array(ids, pa.binary())], ["doc_id", "width", "ids"])
+
+
+def _flat(width: list[int], ids: list[bytes]) -> np.ndarray:
+    """The ids of many rows, one after another."""
+    if all(w == 2 for w in width):
+        return np.frombuffer(b"".join(ids), "<u2").astype("<u4")
+    return np.concatenate([np.frombuffer(i, f"<u{w}").astype("<u4") for w, i in zip(width, ids)])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << 16, np.int64)
+    for b in batches:
+        seen = np.bincount(_flat(b.column(0).to_pylist(), b.column(1).to_pylist()), minlength=len(total)) if b.num_rows else total[:0]
+        total = np.pad(total, (0, max(0, len(seen) - len(total))))
+        total[: len(seen)] += seen
     found = np.nonzero(total)[0]
     yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found])], ["id", "n"])
 
 
-def vocabulary(docs: DataFrame, tokenizer: str, end_id: int) -> np.ndarray:
-    """The ids that docs use, most frequent first, ties by id. As many rows at most as the tokenizer has ids."""
-    counts = texts(docs).mapInArrow(partial(_count, tokenizer, end_id), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+def vocabulary(tokenized: DataFrame) -> np.ndarray:
+    """The ids in use, most frequent first, ties by id. As many rows at most as the tokenizer has ids."""
+    counts = tokenized.select("width", "ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return np.array([r.id for r in counts.orderBy(F.desc("n"), "id").collect()], "<u4")
 
 
-def _write(folder: str, tokenizer: str, end_id: int, ids_by_rank, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    level, vocab, part = word_level(tokenizer), ids_by_rank.value, TaskContext.get().partitionId()
+def _write(folder: str, ids_by_rank, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    vocab, part = ids_by_rank.value, TaskContext.get().partitionId()
     rank = np.zeros(int(vocab.max(initial=0)) + 1, "<u4")
     rank[vocab] = np.arange(len(vocab), dtype="<u4")
-    end, made, doc_ids, sizes, held, waiting = np.array([end_id], "<u4").tobytes(), [], [], [], [], 0
+    made, doc_ids, widths, held, waiting = [], [], [], [], 0
 
     def flush() -> None:
-        control, data = encode(rank[np.frombuffer(b"".join(held), "<u4")])
+        control, data = encode(rank[_flat(widths, held)])
+        sizes = np.array([len(h) // w for h, w in zip(held, widths)], "<u4")
         name = f"{folder}/part-{part:06d}-{len(made):05d}.tok"
-        put(name, HEAD.pack(MAGIC, len(sizes), waiting, len(control), len(data)) + np.array(doc_ids, "<i8").tobytes() + np.array(sizes, "<u4").tobytes() + control + data)
-        made.append((name, part, len(made), len(sizes), waiting))
+        put(name, HEAD.pack(MAGIC, len(held), waiting, len(control), len(data)) + np.array(doc_ids, "<i8").tobytes() + sizes.tobytes() + control + data)
+        made.append((name, part, len(made), len(held), waiting))
 
     for b in batches:
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            ids = level(text) + end
+        for doc_id, width, ids in zip(*(b.column(k).to_pylist() for k in range(3))):
             doc_ids.append(NULL_ID if doc_id is None else doc_id)
-            sizes.append(len(ids) // 4)
+            widths.append(width)
             held.append(ids)
-            waiting += len(ids) // 4
+            waiting += len(ids) // width
             if waiting >= FILE_IDS:
                 flush()
-                doc_ids, sizes, held, waiting = [], [], [], 0
-    if sizes:
+                doc_ids, widths, held, waiting = [], [], [], 0
+    if held:
         flush()
     kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
     yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)], ["uri", "part", "number", "n_docs", "n_ids"])
@@ -114,15 +119,17 @@ def write_ids(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID)
     """Write the ids of docs (doc_id, text) in ascending doc_id order; returns the folder and its manifest.
 
     The manifest has a row per file (uri, part, number, n_docs, n_ids, base: ids in all files before). Null texts
-    are empty: the end id alone. Null doc_ids come first, rows that share a doc_id stand in order of their texts.
-    An empty table gives no file but the vocabulary. Other columns are ignored.
+    are empty: the end id alone. Null doc_ids come first, rows that share a doc_id stand in an order of their ids.
+    An empty table gives no file but the vocabulary. Other columns are ignored. Texts are encoded once: the ids
+    are written before they are counted and sorted.
     """
     spark = docs.sparkSession
     folder = new_folder(spark, "tokens")
-    vocab = vocabulary(docs, tokenizer, end_id)
+    tokenized = materialize(texts(docs).mapInArrow(partial(_ids, tokenizer, end_id), "doc_id long, width byte, ids binary"), "ids", compression="zstd")
+    vocab = vocabulary(tokenized)
     put(f"{folder}/vocabulary.u32", vocab.tobytes())
-    ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    written = materialize(ordered.mapInArrow(partial(_write, folder, tokenizer, end_id, spark.sparkContext.broadcast(vocab)), "uri string, part long, number long, n_docs long, n_ids long"), "token-manifest")
+    ordered = tokenized.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    written = materialize(ordered.mapInArrow(partial(_write, folder, spark.sparkContext.broadcast(vocab)), "uri string, part long, number long, n_docs long, n_ids long"), "token-manifest")
     before = F.sum("n_ids").over(Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1))
     return folder, written.withColumn("base", F.coalesce(before, F.lit(0)))  # a row per file, not per document
 

@@ -15,19 +15,18 @@ import public_tokenizers
 import regex
 import tiktoken
 
-#: A space that neither ends a run of white space before a word nor follows a word: where cutting at spaces is not safe.
-UNSAFE_SPACE = re.compile(r"\s (?!\S)|<\|")
 #: White space beyond ASCII's, which libraries may read in different ways, and strings of special tokens.
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85]|<\\|")
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Units remembered in each of two generations, and the longest that is remembered (bytes).
-GENERATION, LONGEST = 300_000, 64
+GENERATION, LONGEST = 400_000, 64
 
 
 class Units:
-    """units -> their ids, joined, as little-endian unsigned 32-bit integers. encode: the ids of many units.
+    """Units to their ids, as little-endian unsigned 32-bit integers. encode: the ids of many strings.
 
-    Two generations bound the memory: what was used since the last turn of generations stays.
+    Many lists of units are looked up at once, so that new units are learnt together. Two generations bound the
+    memory: what was used since the last turn of generations stays. Units over LONGEST are not kept.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], lead: str = "") -> None:
@@ -35,44 +34,52 @@ class Units:
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
 
-    def __call__(self, units: list[bytes]) -> bytes:
-        return b"".join(self.each(units))
-
     def each(self, units: list[bytes]) -> list[bytes]:
-        try:
-            return [self.known[u] for u in units]
-        except KeyError:
-            return self.learn(units)
+        """The ids of each unit."""
+        long = self.learn(set(units))
+        out = list(map(self.known.__getitem__, units))
+        self.forget(long)
+        return out
+
+    def joined(self, lists: list[list[bytes]]) -> list[bytes]:
+        """The ids of each list of units."""
+        long = self.learn(set().union(*lists))
+        ids = self.known.__getitem__
+        out = [b"".join(map(ids, units)) for units in lists]
+        self.forget(long)
+        return out
 
-    def learn(self, units: list[bytes]) -> list[bytes]:
+    def forget(self, long: list[bytes]) -> None:
+        for u in long:
+            del self.known[u]
         if len(self.known) > GENERATION:
             self.known, self.before = {}, self.known
+
+    def learn(self, units: set[bytes]) -> list[bytes]:
+        """Make all units known; returns those to forget after use."""
         known, before = self.known, self.before
-        want, ends, long = [], [], {}
-        for u in dict.fromkeys(u for u in units if u not in known):
-            if u in before:
-                known[u] = before[u]
+        want, ends, long = [], [], []
+        for u in units.difference(known):
+            if (ids := before.get(u)) is not None:
+                known[u] = ids
                 continue
-            s = u.decode("utf-8", "surrogatepass")
+            s = u.decode()
             if len(u) > LONGEST:
-                long[u] = s
+                long.append(u)
+                want.append((u, s))
             elif s[-1:] in (",", ".") and s[-2:-1].lower().isalnum():  # a word and the mark after it are always two pieces
-                ends.append((u, s[:-1], s[-1]))
+                ends.append((u, u[:-1], s[-1]))
             else:
                 want.append((u, s))
-        bare = dict.fromkeys(s for _, s, _ in ends)
-        have = {s: v for s in bare if (v := known.get(k := s.encode()) or before.get(k))}
-        lone = [s for s in bare if s not in have]
-        marks = [m for m in (",", ".") if any(e[2] == m for e in ends)]
-        lead = self.lead
-        found = self.encode([lead + s for _, s in want] + [lead + s for s in lone] + [lead + s for s in long.values()] + marks)
+        fresh = {u for u, _ in want}
+        lone = [k for k in dict.fromkeys(k for _, k, _ in ends) if k not in known and k not in fresh]
+        marks = sorted({m for _, _, m in ends})
+        found = self.encode([self.lead + s for _, s in want] + [self.lead + k.decode() for k in lone] + marks)
         known.update(zip((u for u, _ in want), found))
-        have.update(zip(lone, found[len(want) :]))
-        known.update((s.encode(), have[s]) for s in lone)
+        known.update(zip(lone, found[len(want) :]))
         mark = dict(zip(marks, found[len(found) - len(marks) :]))
-        known.update((u, have[s] + mark[m]) for u, s, m in ends)
-        rest = dict(zip(long, found[len(want) + len(lone) :]))
-        return [known[u] if u in known else rest[u] for u in units]
+        known.update([(u, known[k] + mark[m]) for u, k, m in ends])
+        return long
 
 
 @functools.cache
@@ -91,7 +98,7 @@ def place(name: str) -> str:
 
 
 #: Strings of Latin letters, digits and common marks: for these Python's classes and cases are the libraries'.
-LATIN = re.compile(r"[\x20-\x7e\xa1-\xac\xae-\u024f\u2013-\u201f\u2026\n\t]*")
+LATIN = re.compile(r"[\x00\x20-\x7e\xa1-\xac\xae-\u024f\u2013-\u201f\u2026\n\t]*")
 END = "\0"
 
 
@@ -118,44 +125,40 @@ class Merger:
         if len(set(order)) != len(order):
             raise ValueError(f"two merges of {name} make one token")
         self.ids = np.array([vocab.get(b, 0) for b in order], "<u4")
-        self.end = END if suffix else ""
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") if suffix else None
-        self.core = tiktoken.Encoding(name, pat_str=r"[^\x00]*\x00" if suffix else public_tokenizers.PATTERN, mergeable_ranks={b: i for i, b in enumerate(order)}, special_tokens={})
+        self.ends = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}\x00]+") if suffix else None
+        pieces = r"[^\x00]*\x00" if suffix else public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\s\p{L}\p{N}\x00]").replace(r"(?!\S)", r"(?![^\s\x00])") + r"|\x00"
+        self.core = tiktoken.Encoding(name, pat_str=pieces, mergeable_ranks={b: i for i, b in enumerate(order)}, special_tokens={})
 
     def __call__(self, strings: list[str]) -> list[bytes]:
-        out, other = [], []
-        for k, s in enumerate(strings):
-            if not LATIN.fullmatch(s) or "<|" in s:
-                other.append(k)
-                out.append(b"")
-                continue
-            if self.pattern:
-                s = "".join([p + END for p in self.pattern.findall(s.lower() if s.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", s)]))])
-            out.append(self.ids[self.core.encode_ordinary(s)].tobytes() if s else b"")
-        for k, v in zip(other, self.rest([strings[k] for k in other]) if other else ()):
-            out[k] = v
-        return out
+        """All strings in one go, each ended by END, whose rank is 0; those with other characters by the library."""
+        joined = END.join(strings)
+        if strings and joined.count(END) == len(strings) - 1 and "<|" not in joined and LATIN.fullmatch(joined):
+            return self.merged(strings)
+        good = [LATIN.fullmatch(s) is not None and END not in s and "<|" not in s for s in strings]
+        known = iter(self.merged([s for s, g in zip(strings, good) if g]))
+        other = iter(self.rest([s for s, g in zip(strings, good) if not g]))
+        return [next(known if g else other) for g in good]
+
+    def merged(self, strings: list[str]) -> list[bytes]:
+        if not strings:
+            return []
+        text = END.join(strings) + END
+        if self.ends:
+            text = self.ends.sub(r"\g<0>" + END, unicodedata.normalize("NFC", text).lower())
+        ranks = np.array(self.core.encode_ordinary(text), np.int64)
+        stops = np.nonzero(ranks == 0)[0]
+        raw, at = self.ids[ranks].tobytes(), (4 * stops).tolist()
+        return [raw[a:b] for a, b in zip([0, *(x + 4 for x in at)], at)]
 
 
 @functools.cache
 def merger(name: str) -> Merger:
+    """One per worker."""
     return Merger(name)
 
 
-class ByteLevel:
-    """Texts to ids by a byte-level tokenizer: cut before each space that a word follows, where its own pattern cuts too."""
-
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]) -> None:
-        self.encode = encode
-        self.first, self.spaced = Units(encode), Units(encode, " ")
-
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if UNSAFE_SPACE.search(text):
-            return self.encode([text])[0]
-        head, *rest = text.encode("utf-8", "surrogatepass").split(b" ")
-        return (self.first([head]) if head else b"") + (self.spaced(rest) if rest else b"")
+#: Texts encoded together.
+TOGETHER = 500
 
 
 class WordLevel:
@@ -164,19 +167,17 @@ class WordLevel:
     def __init__(self, encode: Callable[[list[str]], list[bytes]]) -> None:
         self.encode, self.units = encode, Units(encode)
 
-    def cut(self, text: str) -> list[bytes] | None:
-        """The units, or None if the text has to be encoded whole."""
-        return None if OTHER_SPACE.search(text) else text.encode("utf-8", "surrogatepass").translate(LOWER).split()
+    def many(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for part in (texts[k : k + TOGETHER] for k in range(0, len(texts), TOGETHER)):
+            safe = [not OTHER_SPACE.search(t) for t in part]
+            known = iter(self.units.joined([t.encode().translate(LOWER).split() for t, s in zip(part, safe) if s]))
+            other = iter(self.encode([t for t, s in zip(part, safe) if not s]))
+            out += [next(known if s else other) for s in safe]
+        return out
 
     def __call__(self, text: str) -> bytes:
-        units = self.cut(text)
-        return self.encode([text])[0] if units is None else self.units(units)
-
-
-@functools.cache
-def byte_level(name: str) -> ByteLevel:
-    """One per worker: its memory serves all tasks there."""
-    return ByteLevel(merger(name))
+        return self.many([text])[0]
 
 
 @functools.cache
