@@ -23,12 +23,13 @@ ACTOR_ITEM = "array<struct<eTituloProduto:string,SKU:string,novoPreco:string,zPr
 def read_catalog_csv(spark: SparkSession, *paths: str) -> DataFrame:
     """CSV catalogs, one dialect per file: the first separator whose header has two columns or more.
 
-    Only first lines decide (a row per file, by Spark's reader); files of one dialect are read together. Every
+    The first line decides on the separator, all lines on the encoding (a row per file reaches the driver). Every
     column is text; catalog_id is the file's path; files without a dialect are left out.
     """
     heads = spark.read.option("wholetext", False).text(list(paths)).withColumn("catalog_id", F.col("_metadata.file_path")).withColumn("at", F.col("_metadata.file_block_start"))
-    first = heads.filter("at = 0").withColumn("n", F.monotonically_increasing_id()).groupBy("catalog_id").agg(F.min_by("value", "n").alias("head"))
-    broken = F.col("head").contains("�")
+    # within a file, ids increase from its first line on
+    first = heads.withColumn("n", F.monotonically_increasing_id()).groupBy("catalog_id").agg(F.min_by("value", F.struct("at", "n")).alias("head"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
+    broken = ~F.col("utf8")
     found = F.coalesce(*[F.when(F.size(F.split("head", s, -1) if s != "|" else F.split("head", r"\|", -1)) >= 2, s) for s in SEPARATORS])
     dialects = first.select("catalog_id", found.alias("sep"), F.when(broken, "latin-1").otherwise("utf-8").alias("encoding")).filter("sep IS NOT NULL").collect()
     parts = []
