@@ -288,7 +288,7 @@ def test_toxicity(spark):
 
 def test_levenshtein_automaton():
     lex = toxicity.Lexicon(["worthless", "moron"], [], ["worthless", "moron"], [])
-    assert [lex.kind(t) for t in ("moron", "morn", "mroon", "w0rthles", "worthlss", "worthwhile", "moon", "maroons")] == [1, 3, 0, 3, 3, 0, 0, 0]
+    assert [lex.kind(t) for t in ("moron", "morn", "mroon", "w0rthles", "worthlss", "worthwhile", "mood", "maroons")] == [1, 3, 0, 3, 3, 0, 0, 0]
 
 
 def test_queries_run(spark, sf):
