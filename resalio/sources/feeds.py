@@ -11,7 +11,7 @@ from ..functions.price import MONEY, parse_feed_price, parse_page_price, parse_s
 from ..functions.text import item_id
 
 SEPARATORS = [",", ";", "\t", "|"]
-ENCODINGS = ["utf-8", "latin-1"]
+ENCODINGS = ["utf-8", "ISO-8859-1"]
 
 RAW_ROWS = "catalog_id string, sheet_idx int, sheet string, row_idx int, cells array<string>"
 DETAILS = "item_id string, d_sold bigint, d_condition string, d_listing_type string, d_seller_id bigint, d_free_shipping boolean, d_logistic_type string, d_category_id string, d_price decimal(12,2)"
@@ -31,7 +31,7 @@ def read_catalog_csv(spark: SparkSession, *paths: str) -> DataFrame:
     first = heads.withColumn("n", F.monotonically_increasing_id()).groupBy("catalog_id").agg(F.min_by("value", F.struct("at", "n")).alias("head"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
     broken = ~F.col("utf8")
     found = F.coalesce(*[F.when(F.size(F.split("head", s, -1) if s != "|" else F.split("head", r"\|", -1)) >= 2, s) for s in SEPARATORS])
-    dialects = first.select("catalog_id", found.alias("sep"), F.when(broken, "latin-1").otherwise("utf-8").alias("encoding")).filter("sep IS NOT NULL").collect()
+    dialects = first.select("catalog_id", found.alias("sep"), F.when(broken, "ISO-8859-1").otherwise("utf-8").alias("encoding")).filter("sep IS NOT NULL").collect()
     parts = []
     for sep in SEPARATORS:
         for encoding in ENCODINGS:
