@@ -7,7 +7,7 @@ places is counted; a half window seen once ends there. Level 2 doubles: the wind
 neighbourhood of up to three halves; where all neighbourhoods of a half window are equal, all its windows are, and
 the least doc_id has them first. Only where neighbourhoods differ, the windows themselves are compared, level 3.
 Rows carry 64-bit hashes and places; each level counts by partial aggregation and finds its rows again by a join,
-whose hot keys Spark can split. Texts are shuffled once, by doc_id.
+whose hot keys Spark can split. Texts are shuffled by doc_id twice: for open windows and for the cut.
 
 Window hashes are 64 bits beside the half window's own 64.
 """
