@@ -29,7 +29,9 @@ from .tokens import TOGETHER, Units
 UNSAFE_SPACE = re.compile(r" (?<=\s )(?!\S)")
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Answers on token pairs remembered at once.
-PAIRS = 400_000
+PAIRS = 150_000
+#: Units remembered in each of two generations, after a space and without one.
+SPACED, FIRST = 200_000, 20_000
 
 
 class BytePairs:
@@ -37,7 +39,6 @@ class BytePairs:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.token = {i: b for b, i in ranks.items()}
         self.automaton = ahocorasick.Automaton()
         for b in ranks:
             self.automaton.add_word(b.decode("latin-1"), b)
@@ -100,16 +101,13 @@ class BytePairs:
         """Each string's ids, little-endian unsigned 32-bit; every match of the pattern by itself."""
         return [np.array([i for m in self.pattern.findall(s) for i in self.piece(m.encode())], "<u4").tobytes() for s in strings]
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join([self.token[i] for i in np.frombuffer(ids, "<u4").tolist()])
-
 
 class ByteLevel:
     """Texts to ids with a memory of units: cut before each space that a word follows, where the pattern cuts too."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]]) -> None:
         self.encode = encode
-        self.first, self.spaced = Units(encode), Units(encode, " ")
+        self.first, self.spaced = Units(encode, "", FIRST), Units(encode, " ", SPACED)
 
     def many(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -133,6 +131,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
 
 
+@functools.cache
+def token_bytes(name: str) -> dict[int, bytes]:
+    """The bytes of each id; all that decoding needs."""
+    return {i: b for b, i in read_ranks(public_tokenizers.path(name) if "/" not in name else name).items()}
+
+
+def decode(ids: bytes, token: dict[int, bytes]) -> bytes:
+    return b"".join([token[i] for i in np.frombuffer(ids, "<u4").tolist()])
+
+
 @functools.cache
 def byte_pairs(name: str) -> BytePairs:
     """One per worker: what it remembers serves all tasks there."""
@@ -162,11 +170,11 @@ def encode_texts(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
 
 
 def _decode(name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pairs = byte_pairs(name)
+    token = token_bytes(name)
     for b in batches:
         for at in range(0, b.num_rows, 1000):
             part = b.slice(at, 1000)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([pairs.decode(i or b"") for i in part.column(1).to_pylist()], pa.binary())], ["doc_id", "ids", "bytes"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([decode(i or b"", token) for i in part.column(1).to_pylist()], pa.binary())], ["doc_id", "ids", "bytes"])
 
 
 def decode_ids(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:

@@ -29,8 +29,8 @@ class Units:
     memory: what was used since the last turn of generations stays. Units over LONGEST are not kept.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], lead: str = "") -> None:
-        self.encode, self.lead = encode, lead
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], lead: str = "", generation: int = GENERATION) -> None:
+        self.encode, self.lead, self.generation = encode, lead, generation
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
 
@@ -52,7 +52,7 @@ class Units:
     def forget(self, long: list[bytes]) -> None:
         for u in long:
             del self.known[u]
-        if len(self.known) > GENERATION:
+        if len(self.known) > self.generation:
             self.known, self.before = {}, self.known
 
     def learn(self, units: set[bytes]) -> list[bytes]:

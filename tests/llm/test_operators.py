@@ -110,9 +110,9 @@ def test_tokens_equal_the_library():
         lib = Tokenizer.from_file(public_tokenizers.path(name))
         assert [t for t, ids in zip(texts, mine(texts)) if ids != np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes()] == []
     lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path(bpe.RANKS)), special_tokens={})
-    mine, pairs = bpe.byte_level(bpe.RANKS), bpe.byte_pairs(bpe.RANKS)
+    mine, table = bpe.byte_level(bpe.RANKS), bpe.token_bytes(bpe.RANKS)
     for t in [*texts, "a" * 20_000, "ab" * 5000, "".join(rng.choice("abcdefghij") for _ in range(20_000))]:
-        assert mine(t) == np.array(lib.encode_ordinary(t), "<u4").tobytes() and pairs.decode(mine(t)) == t.encode()
+        assert mine(t) == np.array(lib.encode_ordinary(t), "<u4").tobytes() and bpe.decode(mine(t), table) == t.encode()
 
 
 def test_packing(docs, none):
