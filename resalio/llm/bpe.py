@@ -29,9 +29,9 @@ from .tokens import TOGETHER, Units
 UNSAFE_SPACE = re.compile(r" (?<=\s )(?!\S)")
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Answers on token pairs remembered at once.
-PAIRS = 150_000
+PAIRS = 250_000
 #: Units remembered in each of two generations, after a space and without one.
-SPACED, FIRST = 200_000, 20_000
+SPACED, FIRST = 300_000, 20_000
 
 
 class BytePairs:
