@@ -310,3 +310,19 @@ def test_pipeline(spark, sf):
         sizes.append(docs.count())
     assert sizes[0] >= sizes[1] == sizes[2] >= sizes[3] == sizes[4] > 0
     assert C.STAGES[-1][1](spark, docs, sf).select("doc_id").distinct().count() == sizes[4]
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline as C
+
+    rng = random.Random(8)
+    text = lambda: " ".join(rng.choice(WORDS) + rng.choice("abcdefg") for _ in range(60))
+    alone, twice, mixed, repeated, other = (text() for _ in range(5))
+    rows = [(None, alone), (None, twice), (None, twice), (None, mixed), (4, mixed), (3, mixed), (5, repeated), (5, repeated), (6, repeated), (5, other), (8, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, source string").repartition(3)
+    got = C.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(None, alone), (None, twice), (3, mixed), (5, repeated), (5, other), (8, "")]
+    order = lambda rs: sorted(rs, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    assert order((r.doc_id, r.text) for r in got.collect()) == order(want)
+    assert C.near_dedup(spark, docs.limit(0), "").count() == 0
