@@ -15,7 +15,7 @@ import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
-from resalio.llm import bpe, embeddings, lines, media, packing, pii, simhash, substring, token_files, tokens, toxicity
+from resalio.llm import bpe, embeddings, jaccard, lines, media, packing, pii, simhash, substring, token_files, tokens, toxicity
 from resalio.llm.common import components
 from resalio.llm.queries import queries
 
@@ -326,3 +326,35 @@ def test_near_dedup_keeps_one_row_of_each_group(spark):
     order = lambda rs: sorted(rs, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     assert order((r.doc_id, r.text) for r in got.collect()) == order(want)
     assert C.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_near_copies_equal_brute_force(spark):
+    import corpus_pipeline as C
+
+    rng = random.Random(9)
+    word = lambda: rng.choice(WORDS) + rng.choice("abcdefg")
+    rows = [(None, "lone words"), (900, None), (901, " \n"), (902, "one two"), (903, "ONE two"), (904, "one two three")]
+    for k in range(30):
+        base = [word() for _ in range(rng.choice([20, 60, 200]))]
+        for c in range(6):
+            copy = [*base]
+            for _ in range(rng.randrange(1 + len(base) // 25)):
+                copy[rng.randrange(len(copy))] = word()
+            rows.append((k * 10 + c, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    def sets(text):
+        words = plain(text).lower().split()
+        return frozenset(zip(*(words[i:] for i in range(5)))) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
+
+    found = {i: sets(t) for i, t in rows}
+    root = {i: i for i in found if i is not None}
+    pairs = [(a, b) for a in root for b in root if found[a] == found[b] or found[a] and found[b] and len(found[a] & found[b]) >= 0.8 * len(found[a] | found[b])]
+    for _ in range(8):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.doc_id: r.component_id for r in jaccard.near_copies(docs).collect()}
+    assert got.pop(None) is None and got == root
+    assert len(set(root.values())) < len(root) and any(root[i] != i for i in root)
+    assert {r.doc_id for r in C.near_dedup(spark, docs, "").collect()} == {None, *root.values()}
+    assert jaccard.near_copies(docs.limit(0)).count() == 0
