@@ -358,3 +358,16 @@ def test_near_copies_equal_brute_force(spark):
     assert len(set(root.values())) < len(root) and any(root[i] != i for i in root)
     assert {r.doc_id for r in C.near_dedup(spark, docs, "").collect()} == {None, *root.values()}
     assert jaccard.near_copies(docs.limit(0)).count() == 0
+
+
+def dropped(spark, rows):
+    found = lines.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("doc_id", "kept_lines.*").collect()
+    return {r.doc_id: (r.text, r.n_dropped) for r in found}
+
+
+def test_short_pages_lose_their_boilerplate(spark):
+    notice = "all rights reserved\nterms of use\ncontact the press"
+    rows = [(k, f"{notice}\nown {w}") for k, w in enumerate(WORDS[:8])] + [(20, notice)]
+    rows += [(k, f"{notice}\nown alpha") for k in (30, 31)]  # copies of the first lose what that one loses: nothing
+    got = dropped(spark, rows)
+    assert got == {0: rows[0][1:] + (0,), 20: ("", 3), 30: rows[0][1:] + (0,), 31: rows[0][1:] + (0,)} | {k: (f"own {w}", 3) for k, w in enumerate(WORDS[:8]) if k}
