@@ -50,7 +50,7 @@ def parse(line: str, depth: int) -> tuple[list[str], int | None, int | None, int
     words = line.split()
     tokens = VARIABLE.sub(MASK, line).split() if DIGIT.search(line) else words
     templated = 2 * tokens.count(MASK) < len(tokens)
-    raw = None
+    raw = hashed(" ".join(words), 1) if len(words) >= LONG else None
     if not templated:
         return tokens, None, None, raw
     return tokens, hashed(" ".join([str(len(tokens)), *tokens[:depth]])), hashed(" ".join(tokens)), raw

@@ -365,6 +365,13 @@ def dropped(spark, rows):
     return {r.doc_id: (r.text, r.n_dropped) for r in found}
 
 
+def test_long_lines_go_from_the_second_document_on(spark):
+    long, short = " ".join(WORDS[:20]), "see below"
+    dated = "the press release of 2024 was sent to all readers and friends"
+    got = dropped(spark, [(1, f"one\n{long}\n{short}\n{dated}"), (2, f"{long}\ntwo\n{short}"), (3, f"three\n{dated}"), (4, f"four\n{dated.replace('2024', '2023')}"), (None, long)])
+    assert got == {1: (f"one\n{long}\n{short}\n{dated}", 0), 2: (f"two\n{short}", 1), 3: ("three", 1), 4: (f"four\n{dated.replace('2024', '2023')}", 0), None: (long, 0)}
+
+
 def test_short_pages_lose_their_boilerplate(spark):
     notice = "all rights reserved\nterms of use\ncontact the press"
     rows = [(k, f"{notice}\nown {w}") for k, w in enumerate(WORDS[:8])] + [(20, notice)]
