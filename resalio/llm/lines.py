@@ -50,7 +50,7 @@ def parse(line: str, depth: int) -> tuple[list[str], int | None, int | None, int
     words = line.split()
     tokens = VARIABLE.sub(MASK, line).split() if DIGIT.search(line) else words
     templated = 2 * tokens.count(MASK) < len(tokens)
-    raw = hashed(" ".join(words), 1) if len(words) >= LONG else None
+    raw = hashed(" ".join(words), 1) if words and (len(words) >= LONG or not templated) else None
     if not templated:
         return tokens, None, None, raw
     return tokens, hashed(" ".join([str(len(tokens)), *tokens[:depth]])), hashed(" ".join(tokens)), raw
@@ -116,7 +116,6 @@ def in_templates(found: DataFrame, min_docs: int, alike: float) -> DataFrame:
         out.append(known.filter("fits AND doc_id > first").select("same", "sig"))
         rest = known.filter("n IS NULL AND by IS NOT NULL OR n IS NOT NULL AND NOT fits")
         left = materialize(rest.withColumn("group", F.when(F.col("n").isNull(), F.xxhash64("group", "by")).otherwise(F.col("group"))).select(*left.columns), "left")
-        break
     return reduce(DataFrame.unionAll, out) if out else found.select("same", "sig").limit(0)
 
 

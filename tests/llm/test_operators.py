@@ -378,3 +378,21 @@ def test_short_pages_lose_their_boilerplate(spark):
     rows += [(k, f"{notice}\nown alpha") for k in (30, 31)]  # copies of the first lose what that one loses: nothing
     got = dropped(spark, rows)
     assert got == {0: rows[0][1:] + (0,), 20: ("", 3), 30: rows[0][1:] + (0,), 31: rows[0][1:] + (0,)} | {k: (f"own {w}", 3) for k, w in enumerate(WORDS[:8]) if k}
+
+
+@pytest.mark.parametrize("counts", [(6, 6, 6), (40, 6, 5)])
+def test_families_that_share_a_leaf(spark, counts):
+    ends = ["was opened by our staff on", "will be closed until noon every", "may need some more care from"]
+    rows, at = [], 0
+    for n, end in zip(counts, ends):
+        for k in range(n):
+            at += 1
+            rows.append((at, f"note: the office {end} {WORDS[k % 24]}{'xyz'[k // 24]} please\nown{at} text"))
+    got = dropped(spark, rows)
+    firsts = {1, 1 + counts[0], 1 + counts[0] + counts[1]}
+    assert {i for i, (_, n) in got.items() if n == 0} == firsts
+
+
+def test_mostly_variable_lines_recur_word_for_word(spark):
+    rows = [(k, f"Page 3 of 12\nPage {k} of {k}7\nTel: 555-0100\n{w}") for k, w in enumerate(WORDS[:6])]
+    assert dropped(spark, rows) == {k: (t, 0) if k == 0 else (f"Page {k} of {k}7\n{WORDS[k]}", 2) for k, t in rows}
