@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize, new_folder
+
+__all__ = ["SPACES", "components", "forget", "held", "materialize", "new_folder", "open_store", "put", "small", "table", "texts", "writing"]
+
 #: ASCII white space; words are what stands between.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -25,47 +32,61 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, as in tests, a new local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+#: Models that a worker keeps, whatever operators its tasks belong to.
+MODELS = 1
+_models: OrderedDict = OrderedDict()
 
 
-def new_folder(spark: SparkSession, what: str) -> str:
-    """A name in the shared folder that no other run has."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+def held(make: Callable, *args):
+    """make(*args), one per worker: what it remembers serves all tasks there until another operator's model is asked for."""
+    key = (make, *args)
+    if key not in _models:
+        forget(MODELS - 1)
+        _models[key] = make(*args)
+    _models.move_to_end(key)
+    return _models[key]
 
 
-def materialize(df: DataFrame, what: str, compression: str = "snappy") -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage, survives lost executors, is computed once."""
-    spark, path = df.sparkSession, new_folder(df.sparkSession, what)
-    df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+def forget(but: int = 0) -> None:
+    """Drop the models of other operators' tasks, as workers outlive stages."""
+    while len(_models) > but:
+        _models.popitem(last=False)
+    pa.default_memory_pool().release_unused()
 
 
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system behind a URI of the shared folder (file, hdfs, s3, gs), and the path in it."""
-    if re.match(r"\w+://", uri) or uri.startswith("file:/"):
-        if uri.startswith("file:"):
-            return pafs.LocalFileSystem(), urlparse(uri).path
+    if uri.startswith("file:"):
+        return pafs.LocalFileSystem(), urlparse(uri).path
+    if re.match(r"\w+://", uri):
         return pafs.FileSystem.from_uri(uri)
     return pafs.LocalFileSystem(), uri
 
 
-def put(uri: str, data: bytes) -> None:
-    """Write a file whole or not at all: a retried or speculative task replaces it with the same bytes."""
+def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many: what a task makes of a batch is held at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+@contextmanager
+def writing(uri: str) -> Iterator:
+    """A file to write, which is there whole or not at all: a retried or speculative task replaces it with the same bytes."""
     fs, path = open_store(uri)
     part = f"{path}.{uuid.uuid4().hex}.part"
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
     with fs.open_output_stream(part) as out:
-        out.write(data)
+        yield out
     fs.move(part, path)
 
 
+def put(uri: str, data: bytes) -> None:
+    """Write a file at once."""
+    with writing(uri) as out:
+        out.write(data)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of links (u, v): one row (u, v) per node that has links but isn't its component's least node; v is that least node.
 

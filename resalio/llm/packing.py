@@ -20,8 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts
-from .tokens import merger
+from .common import held, table, texts
+from .tokens import Merger
 
 SIZE, OPEN_WINDOWS, LEAST_CUT, END_ID = 1024, 64, 8, 0
 TOKENIZER = "byte_bpe_50k.json"
@@ -84,7 +84,7 @@ class Packer:
 
 
 def _pack(tokenizer: str, end_id: int, size: int, open_windows: int, least_cut: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encode, packer = merger(tokenizer), Packer(size, open_windows, least_cut)
+    encode, packer = held(Merger, tokenizer), Packer(size, open_windows, least_cut)
     number, end = TaskContext.get().partitionId() << 33, np.array([end_id], "<u4").tobytes()
 
     def rows(sequences: Iterator[list[Piece]]) -> Iterator[tuple]:

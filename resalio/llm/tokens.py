@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import re
@@ -12,12 +11,10 @@ from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
-import regex
 import tiktoken
 
-#: White space beyond ASCII's, which libraries may read in different ways, and strings of special tokens.
-OTHER_SPACE = re.compile("[\x1c-\x1f\x85]|<\\|")
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Texts encoded together.
+TOGETHER = 500
 #: Units remembered in each of two generations, and the longest that is remembered (bytes).
 GENERATION, LONGEST = 400_000, 64
 
@@ -58,11 +55,12 @@ class Units:
     def learn(self, units: set[bytes]) -> list[bytes]:
         """Make all units known; returns those to forget after use."""
         known, before = self.known, self.before
+        new = units.difference(known)
+        again = new & before.keys()
+        known.update(zip(again, map(before.__getitem__, again)))
+        new -= again
         want, ends, long = [], [], []
-        for u in units.difference(known):
-            if (ids := before.get(u)) is not None:
-                known[u] = ids
-                continue
+        for u in new:
             s = u.decode()
             if len(u) > LONGEST:
                 long.append(u)
@@ -82,7 +80,6 @@ class Units:
         return long
 
 
-@functools.cache
 def library(name: str) -> Callable[[list[str]], list[bytes]]:
     """encode of a tokenizers file: each string's ids as bytes, without special tokens added."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -102,6 +99,40 @@ LATIN = re.compile(r"[\x00\x20-\x7e\xa1-\xac\xae-\u024f\u2013-\u201f\u2026\n\t]*
 END = "\0"
 
 
+SPACE, LETTER, NUMBER, MARK, STOP = range(5)
+
+
+def classes() -> np.ndarray:
+    """The class of each character of two bytes, as patterns of words see it."""
+    kinds = [unicodedata.category(chr(c))[0] for c in range(1 << 16)]
+    out = np.array([{"L": LETTER, "N": NUMBER}.get(k, MARK) for k in kinds], np.uint8)
+    out[[ord(c) for c in " \t\n"]], out[ord(END)] = SPACE, STOP
+    return out
+
+
+def ended(text: str, of: np.ndarray) -> str:
+    """A Latin text in lower case without white space, END after each word: letters, one digit, other marks, or a contraction such as 's."""
+    raw = np.frombuffer(text.lower().encode("utf-16-le"), "<u2")
+    kind = of[raw]
+    ends = np.append(kind[1:] != kind[:-1], True) | (kind == NUMBER)
+    kept = kind != SPACE
+    ends &= kept & (kind != STOP)
+    at = np.nonzero(raw == ord("'"))[0]
+    at = at[np.append(True, kind[:-1] != MARK)[at]] if len(at) else at
+    if len(at):
+        one, two = (np.append(raw, [0, 0])[at + k] for k in (1, 2))
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = ~short & np.logical_or.reduce([(one == ord(a)) & (two == ord(b)) for a, b in ("re", "ve", "ll")])
+        ends[at[short | long]] = False
+        ends[at[short] + 1] = True
+        ends[at[long] + 2] = True
+    size = kept.astype(np.uint8) + ends
+    to = np.cumsum(size, dtype=np.int64)
+    out = np.zeros(int(to[-1]) if len(to) else 0, "<u2")
+    out[(to - size)[kept]] = raw[kept]
+    return out.tobytes().decode("utf-16-le")
+
+
 class Merger:
     """encode of a byte-level BPE tokenizers file for Latin strings by its merges' ranks; other strings go to the library.
 
@@ -112,7 +143,7 @@ class Merger:
     def __init__(self, name: str) -> None:
         with open(place(name), encoding="utf-8") as f:
             spec = json.load(f)
-        model, self.rest = spec["model"], library(name)
+        model, self.name, self.rest = spec["model"], name, None
         suffix = model["end_of_word_suffix"] or ""
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         chars = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
@@ -125,7 +156,7 @@ class Merger:
         if len(set(order)) != len(order):
             raise ValueError(f"two merges of {name} make one token")
         self.ids = np.array([vocab.get(b, 0) for b in order], "<u4")
-        self.ends = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}\x00]+") if suffix else None
+        self.classes = classes() if suffix else None
         pieces = r"[^\x00]*\x00" if suffix else public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", r"[^\s\p{L}\p{N}\x00]").replace(r"(?!\S)", r"(?![^\s\x00])") + r"|\x00"
         self.core = tiktoken.Encoding(name, pat_str=pieces, mergeable_ranks={b: i for i, b in enumerate(order)}, special_tokens={})
 
@@ -136,6 +167,8 @@ class Merger:
             return self.merged(strings)
         good = [LATIN.fullmatch(s) is not None and END not in s and "<|" not in s for s in strings]
         known = iter(self.merged([s for s, g in zip(strings, good) if g]))
+        if self.rest is None:  # read where it is needed
+            self.rest = library(self.name)
         other = iter(self.rest([s for s, g in zip(strings, good) if not g]))
         return [next(known if g else other) for g in good]
 
@@ -143,43 +176,9 @@ class Merger:
         if not strings:
             return []
         text = END.join(strings) + END
-        if self.ends:
-            text = self.ends.sub(r"\g<0>" + END, unicodedata.normalize("NFC", text).lower())
+        if self.classes is not None:
+            text = ended(text, self.classes)
         ranks = np.array(self.core.encode_ordinary(text), np.int64)
         stops = np.nonzero(ranks == 0)[0]
         raw, at = self.ids[ranks].tobytes(), (4 * stops).tolist()
         return [raw[a:b] for a, b in zip([0, *(x + 4 for x in at)], at)]
-
-
-@functools.cache
-def merger(name: str) -> Merger:
-    """One per worker."""
-    return Merger(name)
-
-
-#: Texts encoded together.
-TOGETHER = 500
-
-
-class WordLevel:
-    """Texts to ids by a tokenizer that drops white space and lower-cases: cut at ASCII white space."""
-
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]) -> None:
-        self.encode, self.units = encode, Units(encode)
-
-    def many(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for part in (texts[k : k + TOGETHER] for k in range(0, len(texts), TOGETHER)):
-            safe = [not OTHER_SPACE.search(t) for t in part]
-            known = iter(self.units.joined([t.encode().translate(LOWER).split() for t, s in zip(part, safe) if s]))
-            other = iter(self.encode([t for t, s in zip(part, safe) if not s]))
-            out += [next(known if s else other) for s in safe]
-        return out
-
-    def __call__(self, text: str) -> bytes:
-        return self.many([text])[0]
-
-
-@functools.cache
-def word_level(name: str) -> WordLevel:
-    return WordLevel(merger(name))

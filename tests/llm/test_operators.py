@@ -106,7 +106,7 @@ def test_tokens_equal_the_library():
     rng = random.Random(2)
     parts = ["a", "B", "é", " ", "  ", "\n", " \n", "\t", ".", ",", "'s", "'", "1", "23", "…", "»", "\x1c", "\x85", " ", "<|endoftext|>", "中文", "😀", "é", "́", "İ", "ß", "Word,", "it's", "...", "x."]
     texts = [plain(r[1]) for r in corpus()] + ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(4000)]
-    for name, mine in ((packing.TOKENIZER, tokens.merger(packing.TOKENIZER)), (token_files.TOKENIZER, tokens.word_level(token_files.TOKENIZER).many)):
+    for name, mine in ((packing.TOKENIZER, tokens.Merger(packing.TOKENIZER)), (token_files.TOKENIZER, tokens.Merger(token_files.TOKENIZER))):
         lib = Tokenizer.from_file(public_tokenizers.path(name))
         assert [t for t, ids in zip(texts, mine(texts)) if ids != np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes()] == []
     lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path(bpe.RANKS)), special_tokens={})
