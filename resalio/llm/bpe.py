@@ -10,9 +10,8 @@ Whether two tokens may stand side by side is worked out by merging their few byt
 from __future__ import annotations
 
 import base64
-import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import ahocorasick
@@ -22,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import open_store, table, texts
+from .common import held, open_store, table, texts
 from .tokens import TOGETHER, Units
 
 #: A space that ends a run of white space which no word follows: where cutting at spaces is not safe.
@@ -131,7 +130,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
 
 
-@functools.cache
 def token_bytes(name: str) -> dict[int, bytes]:
     """The bytes of each id; all that decoding needs."""
     return {i: b for b, i in read_ranks(public_tokenizers.path(name) if "/" not in name else name).items()}
@@ -141,19 +139,16 @@ def decode(ids: bytes, token: dict[int, bytes]) -> bytes:
     return b"".join([token[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-@functools.cache
 def byte_pairs(name: str) -> BytePairs:
-    """One per worker: what it remembers serves all tasks there."""
     return BytePairs(read_ranks(public_tokenizers.path(name) if "/" not in name else name), public_tokenizers.PATTERN)
 
 
-@functools.cache
 def byte_level(name: str) -> ByteLevel:
     return ByteLevel(byte_pairs(name).encode)
 
 
 def _encode(name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encode = byte_level(name)
+    encode = held(byte_level, name)
     for b in batches:
         for at in range(0, b.num_rows, 1000):
             part = b.slice(at, 1000)
@@ -170,7 +165,7 @@ def encode_texts(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
 
 
 def _decode(name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    token = token_bytes(name)
+    token = held(token_bytes, name)
     for b in batches:
         for at in range(0, b.num_rows, 1000):
             part = b.slice(at, 1000)

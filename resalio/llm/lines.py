@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, texts
+from .common import forget, materialize, small, table, texts
 
 DEPTH, MIN_DOCS, ALIKE = 3, 5, 0.7
 #: Words from which on a line recurs if it is in two documents word for word.
@@ -58,7 +58,8 @@ def parse(line: str, depth: int) -> tuple[list[str], int | None, int | None, int
 
 def _lines(depth: int, min_docs: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each way in which a line may recur: leaf and signature, or its words (without a leaf); in how many documents it must be."""
-    for b in batches:
+    forget()
+    for b in small(batches):
         rows = set()
         for doc_id, same, text in zip(*(b.column(k).to_pylist() for k in range(3))):
             for line in text.split("\n"):
@@ -73,7 +74,7 @@ def _lines(depth: int, min_docs: int, batches: Iterator[pa.RecordBatch]) -> Iter
 
 def _places(depth: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The tokens of the wanted signatures."""
-    for b in batches:
+    for b in small(batches):
         ids, sames, leaves, sigs, tokens = [], [], [], [], []
         for doc_id, same, text, wanted in zip(*(b.column(k).to_pylist() for k in range(4))):
             left = set(wanted)

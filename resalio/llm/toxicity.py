@@ -17,7 +17,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, texts
+from .common import held, materialize, table, texts
 
 #: Labelled documents that are learnt from, at most; a document with this score or more is toxic.
 SAMPLE, THRESHOLD = 20_000, 0.3
@@ -33,7 +33,7 @@ SAMPLE, THRESHOLD = 20_000, 0.3
 SHARE, TIMES = 0.01, 30.0
 #: Words in this share of them are found misspelt too (rarer ones are forms of stems); such a match counts as so much of a match.
 EDITED, TRUST = 0.05, 0.5
-STEMS, WINDOW, KNOWN = (4, 5, 6), 5, 400_000
+STEMS, WINDOW, KNOWN = (4, 5, 6), 5, 100_000
 EDGE = "\"'“”„«»‘’‚()[]{}.,;:!?¡¿…-–—_*#"
 QUOTES = "\"“”„«»"
 REPORTS = frozenset("said says wrote writes quoted quote called reported claimed dijo dice escribió citó llamó sagte sagt schrieb zitierte nannte dit disait écrit cite appelé according laut según selon".split())
@@ -209,14 +209,12 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 50) -> n
     return w
 
 
-@lru_cache(2)
 def _lexicon(model: str) -> Lexicon:
-    """One per worker: what it remembers serves all tasks there."""
     return Lexicon(*json.loads(model)["lexicon"])
 
 
 def _features(model: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    lexicon = _lexicon(model)
+    lexicon = held(_lexicon, model)
     for b in batches:
         rows = [lexicon.features(t) for t in b.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column(1)], ["x", "toxic"])
@@ -248,7 +246,7 @@ def scorer(model: str):
     weights = np.array(json.loads(model)["weights"])
 
     def score(batch: pd.Series) -> pd.Series:
-        lexicon = _lexicon(model)
+        lexicon = held(_lexicon, model)
         x = np.array([lexicon.features(t or "") for t in batch], float).reshape(-1, len(FEATURES))
         return pd.Series(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -35, 35))))
 
