@@ -18,22 +18,26 @@ def _number(c: Column) -> Column:
 def parse_price(c: ColumnOrName) -> Column:
     """A price in Brazilian or English form; null if it is none or not above zero."""
     s = F.regexp_replace(F.translate(col(c), V.ACCENTED, V.BARE), r"[^0-9.,\-]", "")
+    # bound as an element of an array, so that it is worked out once a row
+    return F.get(F.transform(F.array(s), _price_of), F.lit(0))
+
+
+def _price_of(s: Column) -> Column:
     commas, points = (F.length(s) - F.length(F.translate(s, mark, "")) for mark in (",", "."))
-    head = F.regexp_extract(s, r"^([^.,]*)[.,]", 1)
-    tail = F.regexp_extract(s, r"[.,]([^.,]*)$", 1)
+    first, last = F.regexp_instr(s, F.lit("[.,]")), F.length(s) - F.regexp_instr(F.reverse(s), F.lit("[.,]")) + 1
+    head, tail = F.substring(s, F.lit(1), first - 1), F.substring(s, last + 1, F.length(s))
     plain = F.translate(s, ",.", "")
     as_comma = F.translate(F.translate(s, ".", ""), ",", ".")
     thousands = (F.length(tail) == 3) & head.rlike("^[0-9]+$")
     value = (
-        F.when((commas > 0) & (points > 0), F.when(F.instr(F.reverse(s), ",") < F.instr(F.reverse(s), "."), as_comma).otherwise(F.translate(s, ",", "")))
+        F.when((commas > 0) & (points > 0), F.when(F.substring(s, last, F.lit(1)) == ",", as_comma).otherwise(F.translate(s, ",", "")))
         .when(commas == 1, F.when(thousands, plain).otherwise(as_comma))
-        .when(commas > 1, F.concat(F.translate(F.regexp_replace(s, r",[^,]*$", ""), ",", ""), F.lit("."), tail))
+        .when(commas > 1, F.concat(F.translate(F.substring(s, F.lit(1), last - 1), ",", ""), F.lit("."), tail))
         .when(points == 1, F.when(thousands & head.rlike("[1-9]"), plain).otherwise(s))
         .when(points > 1, plain)
         .otherwise(s)
     )
-    value = _number(value)
-    return F.when(value > 0, value)
+    return F.get(F.filter(F.array(_number(value)), lambda v: v > 0), F.lit(0))
 
 
 def is_valid_cost(c: ColumnOrName) -> Column:

@@ -150,3 +150,8 @@ def format_pct(c: ColumnOrName) -> Column:
 def logistic_label(c: ColumnOrName) -> Column:
     """How a listing is shipped, as shown; other values as they are."""
     return F.coalesce(F.create_map(*[F.lit(x) for kv in V.LOGISTIC_LABELS.items() for x in kv])[col(c)], col(c))
+
+
+def status_label(c: ColumnOrName) -> Column:
+    """A catalog's status, as shown; other values as they are."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in V.STATUS_LABELS.items() for x in kv])[col(c)], col(c))

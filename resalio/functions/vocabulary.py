@@ -3,24 +3,22 @@
 import unicodedata
 
 # Words left out of tokens.
-STOP_WORDS = (
-    "de da do dos das com para por em e ou a o um uma ao na no nas nos se que "
-    "ate mais menos muito pouco qual quais for with the and or of in to "
-    "original novo nova lancamento promocao gratis frete envio rapido "
-    "tamanho sem cor tipo modelo produto"
-).split()
+STOP_WORDS = [
+    "de", "da", "do", "dos", "das", "com", "para", "por", "em", "e", "ou", "a", "o", "um", "uma", "ao", "na", "no", "nas", "nos", "se", "que", "ate",
+    "mais", "menos", "muito", "pouco", "qual", "quais", "for", "with", "the", "and", "or", "of", "in", "to", "original", "novo", "nova",
+    "lancamento", "promocao", "gratis", "frete", "envio", "rapido", "tamanho", "sem", "cor", "tipo", "modelo", "produto",
+]
 
 # Words that weigh double.
-HIGH_WEIGHT = (
-    "vinil nitrilo latex latice neoprene poliuretano plastico borracha silicone polietileno polipropileno "
-    "aluminio aco inox ferro cobre madeira tnt spunbond nylon poliester algodao "
-    "luva mascara avental touca oculos bota sapato caneta esferografica lapis papel caixa saco sacola "
-    "frasco garrafa pote bandeja embalagem secador liquidificador batedeira mixer ventilador "
-    "escova esponja pano tampa tubo mangueira cabo fio tomada lampada led bateria pilha "
-    "filtro tela placa parafuso prego fita dispenser suporte organizador cesto balde "
-    "descartavel descartaveis reutilizavel esteril esterilizado industrial cirurgico hospitalar "
-    "ondulada microondulada duplo dupla profissional premium reforçado reforcado"
-).split()
+HIGH_WEIGHT = [
+    "vinil", "nitrilo", "latex", "latice", "neoprene", "poliuretano", "plastico", "borracha", "silicone", "polietileno", "polipropileno", "aluminio",
+    "aco", "inox", "ferro", "cobre", "madeira", "tnt", "spunbond", "nylon", "poliester", "algodao", "luva", "mascara", "avental", "touca", "oculos",
+    "bota", "sapato", "caneta", "esferografica", "lapis", "papel", "caixa", "saco", "sacola", "frasco", "garrafa", "pote", "bandeja", "embalagem",
+    "secador", "liquidificador", "batedeira", "mixer", "ventilador", "escova", "esponja", "pano", "tampa", "tubo", "mangueira", "cabo", "fio",
+    "tomada", "lampada", "led", "bateria", "pilha", "filtro", "tela", "placa", "parafuso", "prego", "fita", "dispenser", "suporte", "organizador",
+    "cesto", "balde", "descartavel", "descartaveis", "reutilizavel", "esteril", "esterilizado", "industrial", "cirurgico", "hospitalar", "ondulada",
+    "microondulada", "duplo", "dupla", "profissional", "premium", "reforçado", "reforcado",
+]
 
 # Synonyms, applied in this order.
 SYNONYMS = [
@@ -49,7 +47,9 @@ SYNONYMS = [
 ]
 
 # Clothing sizes.
-SIZES = "pp p m g gg xg xxg xs s l xl xxl".split()
+SIZES = [
+    "pp", "p", "m", "g", "gg", "xg", "xxg", "xs", "s", "l", "xl", "xxl",
+]
 
 # What names a kit, and a kit with a quantity.
 KIT = (
@@ -61,7 +61,7 @@ COUNTED_KIT = r"\b(?:kit|pack|combo|conjunto|pacote)\s+\d+\b|\b\d+\s+(?:unidades
 # Voltages in order of precedence, families of units, amounts.
 VOLTAGES = [("bivolt", r"\bbivolt\b"), ("110", r"\b(?:110|127)\s*v\b"), ("220", r"\b220\s*v\b")]
 UNIT_FAMILIES = [r"\b(?:ml|l|litro|litros)\b", r"\b(?:g|kg|grama|gramas|quilo)\b", r"\b(?:m|cm|mm)\b"]
-AMOUNT = r"\b(\d+(?:[,.]\d+)?)\s*(ml|litros|litro|l|kg|gramas|grama|g)\b"
+AMOUNT = r"\b(\d+(?:[,.]\d+)?)\s*(ml|l|litros?|litro|kg|g|gramas?|grama)\b"
 
 # Wholesale packaging, internal codes before a name, suffixes of quantities.
 PACKAGING = (
@@ -69,7 +69,9 @@ PACKAGING = (
     r"|\b\d+\s*x\s*\d+\b|\blote\s*\d*\b|\b\d+\s*(?:un|unid)\b|\b\d+\s+(?:unidades|pares|pecas|pcs)\b"
 )
 INTERNAL_CODE = r"(?i)^\s*(?:\d{4,}\s*[-–\s]+|[A-Za-z]{1,4}\s*-\s*\d{2,}\s+|(?:ref|cod|sku|cab|item)\s*[.:]?\s*\S+\s+)"
-QUANTITY_SUFFIXES = "un unid unidades pcs pecas pares".split()
+QUANTITY_SUFFIXES = [
+    "un", "unid", "unidades", "pcs", "pecas", "pares",
+]
 
 # Units per package in a raw name; above MOST_UNITS it is a dimension.
 UNITS_PER_PACKAGE = (
@@ -79,11 +81,29 @@ MOST_UNITS = 144
 
 # Names of columns by field, in order of preference of fields and of names.
 COLUMN_NAMES = {
-    "product_name": "nome do produto|nome produto|descricao do produto|nome do item|descricao do item|denominacao do produto|especificacao do produto|produto|descricao|denominacao|especificacao|mercadoria|artigo|material|componente|item|nome|titulo|product|description|name|item name|product name|product description|article",
-    "cost": "preco de custo|preco custo|custo unitario|valor unitario|preco unitario|vl custo|vlr custo|vl unit|vlr unit|valor de custo|preco de compra|custo de aquisicao|preco de venda|preco venda|vl venda|vlr venda|valor venda|preco tabela|tabela|tab|preco atacado|atacado|custo|preco|valor|vl|vlr|r$|reais|cost|price|unit price|unit cost|buy price|purchase price|buying price",
-    "sku": "codigo do produto|cod produto|codigo produto|codigo do item|numero do produto|part number|cod item|ref produto|sku|codigo|cod|ref|referencia|num|numero|id|code|product code|item code|partnumber|pn",
-    "category": "grupo de produto|tipo de produto|linha de produto|familia de produto|categoria|grupo|tipo|familia|departamento|linha|segmento|secao|classificacao|subgrupo|category|group|type|family|department|section",
-    "supplier": "nome do fornecedor|nome fornecedor|fornecedor|fabricante|marca|origem|produtor|vendedor|supplier|brand|manufacturer|origin|vendor",
+    "product_name": [
+        "nome do produto", "nome produto", "descricao do produto", "nome do item", "descricao do item", "denominacao do produto",
+        "especificacao do produto", "produto", "descricao", "denominacao", "especificacao", "mercadoria", "artigo", "material", "componente", "item",
+        "nome", "titulo", "product", "description", "name", "item name", "product name", "product description", "article",
+    ],
+    "cost": [
+        "preco de custo", "preco custo", "custo unitario", "valor unitario", "preco unitario", "vl custo", "vlr custo", "vl unit", "vlr unit",
+        "valor de custo", "preco de compra", "custo de aquisicao", "preco de venda", "preco venda", "vl venda", "vlr venda", "valor venda",
+        "preco tabela", "tabela", "tab", "preco atacado", "atacado", "custo", "preco", "valor", "vl", "vlr", "r$", "reais", "cost", "price",
+        "unit price", "unit cost", "buy price", "purchase price", "buying price",
+    ],
+    "sku": [
+        "codigo do produto", "cod produto", "codigo produto", "codigo do item", "numero do produto", "part number", "cod item", "ref produto", "sku",
+        "codigo", "cod", "ref", "referencia", "num", "numero", "id", "code", "product code", "item code", "partnumber", "pn",
+    ],
+    "category": [
+        "grupo de produto", "tipo de produto", "linha de produto", "familia de produto", "categoria", "grupo", "tipo", "familia", "departamento",
+        "linha", "segmento", "secao", "classificacao", "subgrupo", "category", "group", "type", "family", "department", "section",
+    ],
+    "supplier": [
+        "nome do fornecedor", "nome fornecedor", "fornecedor", "fabricante", "marca", "origem", "produtor", "vendedor", "supplier", "brand",
+        "manufacturer", "origin", "vendor",
+    ],
 }
 IGNORED_COLUMNS = ["quantidade", "qty", "qtd", "estoque", "stock", "margem", "margin", "lucro", "profit", "total", "subtotal", "soma", "sum", "obs", "observacao", "nota", "note", "imagem", "foto", "image", "photo", "ncm", "ncm fiscal", "linha", "col"]
 
@@ -100,6 +120,7 @@ BRAND_COLUMNS = ["marca", "brand", "fabricante"]
 
 # Labels of listings and classes.
 LOGISTIC_LABELS = {"fulfillment": "Full", "drop_off": "Flex", "self_service": "Proprio", "xd_drop_off": "XD"}
+STATUS_LABELS = {"PENDING": "Na fila", "PARSING": "Lendo arquivo", "RESEARCHING": "Pesquisando ML", "ANALYZING": "Analisando", "SCORING": "Calculando", "READY": "Pronto", "ERROR": "Erro"}
 CLASSES = ["EXCELENTE", "BOA", "ARRISCADA", "EVITAR"]
 OLD_CLASSES = {"ALTA": "EXCELENTE", "MEDIA": "BOA", "BAIXA": "ARRISCADA"}
 

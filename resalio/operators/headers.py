@@ -23,7 +23,7 @@ def score_headers(headers: DataFrame) -> DataFrame:
 
     The vocabulary is an array literal of fixed size, so headers are neither joined nor shuffled.
     """
-    words = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(i).alias("field_order"), F.array(*[F.lit(w) for w in dict.fromkeys(ws.split("|"))]).alias("words")) for i, (f, ws) in enumerate(V.COLUMN_NAMES.items())])
+    words = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(i).alias("field_order"), F.array(*[F.lit(w) for w in dict.fromkeys(ws)]).alias("words")) for i, (f, ws) in enumerate(V.COLUMN_NAMES.items())])
     df = headers.withColumn("norm", T.norm_header("header")).filter("norm <> ''").withColumn("f", F.explode(words))
     best = F.array_max(F.transform("f.words", lambda w, k: F.struct(word_score(F.col("norm"), w).alias("score"), (-k).alias("k"), w.alias("word"))))
     df = df.withColumn("best", best).filter("best.score > 0")
@@ -61,9 +61,10 @@ def score_header_rows(raw_rows: DataFrame, first: int = 12) -> DataFrame:
 
 
 def _vocabulary_hit(cell: str) -> Column:
-    words = F.array(*[F.lit(w) for ws in V.COLUMN_NAMES.values() for w in dict.fromkeys(ws.split("|"))])
-    norm = T.norm_header(cell)
-    return (norm != "") & F.exists(words, lambda w: word_score(norm, w) >= HIT)
+    words = F.array(*[F.lit(w) for ws in V.COLUMN_NAMES.values() for w in dict.fromkeys(ws)])
+    hit = lambda norm: (norm != "") & F.exists(words, lambda w: word_score(norm, w) >= HIT)
+    # bound as an element of an array, so that it is worked out once a cell, not once a word
+    return F.get(F.transform(F.array(T.norm_header(cell)), hit), F.lit(0))
 
 
 def detect_header_row(raw_rows: DataFrame, first: int = 12) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.price import MONEY
+from .ordering import numbered
 
 
 def pending(products: DataFrame, market: DataFrame) -> DataFrame:
@@ -20,8 +21,8 @@ def distinct_queries(products: DataFrame) -> DataFrame:
 
 def batch_id(df: DataFrame, key: str, size: int = 40, within: str = "catalog_id") -> DataFrame:
     """K3: batches of so many rows within each catalog, in order of key."""
-    number = F.row_number().over(Window.partitionBy(within).orderBy(key))
-    return df.withColumn("batch_id", F.floor((number - 1) / size).cast("int"))
+    out = numbered(df, [within], [F.col(key)], "batch_id")
+    return out.withColumn("batch_id", F.floor((F.col("batch_id") - 1) / size).cast("int"))
 
 
 def assemble_pages(pages: DataFrame, page_size: int = 50, most: int = 2) -> DataFrame:
@@ -38,11 +39,14 @@ def blank(c: str) -> Column:
 def enrich(listings: DataFrame, details: DataFrame, fees: DataFrame | None = None, first: int = 20) -> DataFrame:
     """K5, K6: the first so many listings of each product take what item details and fees tell.
 
+    The first ones are found by a ranking that each task cuts at `first` before rows are shuffled, and marked by a
+    join, so that a product's listings don't meet in one task. position orders the listings of a product, each once.
     details: item_id, d_sold, d_condition, d_listing_type, d_seller_id, d_free_shipping, d_logistic_type,
     d_category_id. fees: category_id, price_from, price_to (exclusive), fee_pct. Both are joined by key.
     """
-    head = F.row_number().over(Window.partitionBy("product_id").orderBy("position")) <= first
-    df = listings.withColumn("__head", head).join(details.withColumn("__known", F.lit(True)), "item_id", "left")
+    ranked = listings.select("product_id", "position").withColumn("__n", F.row_number().over(Window.partitionBy("product_id").orderBy("position")))
+    head = ranked.filter(F.col("__n") <= first).select("product_id", "position", F.lit(True).alias("__head"))
+    df = listings.join(head, ["product_id", "position"], "left").withColumn("__head", F.coalesce("__head", F.lit(False))).join(details.withColumn("__known", F.lit(True)), "item_id", "left")
     on = F.col("__head") & F.coalesce("__known", F.lit(False))
     take = lambda c, d, when: F.when(on & when, F.col(d)).otherwise(F.col(c))
     df = df.withColumns({
@@ -81,49 +85,74 @@ def enrich_pages(listings: DataFrame, details: DataFrame, first: int = 5, misses
 
 
 def sales_filter(listings: DataFrame, min_sales: int) -> DataFrame:
-    """K7: listings with enough sales; all of a product that has none."""
+    """K7: listings with enough sales; all of a product that has none. No minimum is no filter."""
+    if min_sales <= 0:
+        return listings
     enough = F.col("sold_quantity") >= min_sales
     some = listings.groupBy("product_id").agg(F.max(enough).alias("__any"))
     return listings.join(some, "product_id").filter(enough | ~F.col("__any")).drop("__any")
 
 
-def competitive_price(listings: DataFrame) -> DataFrame:
-    """K8: avg_price (trimmed median), min_price and max_price (its quartiles) per product.
-
-    Prices are counted per product first, so a product's listings, however many, are sorted as their distinct
-    prices; each wanted place is then the price whose range of places holds it.
-    """
-    counts = listings.groupBy("product_id", "price").agg(F.count("*").alias("c"))
+def price_places(counts: DataFrame) -> DataFrame:
+    """counts (product_id, price, c: listings at this price, none for a null price) with `low` and `t`, and `upto` and `n`: the listings up to this price and in all."""
     by = Window.partitionBy("product_id")
-    counts = counts.withColumn("upto", F.sum("c").over(by.orderBy("price").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(by))
+    counts = counts.withColumns({"upto": F.sum("c").over(by.orderBy("price").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(by)})
     part = lambda p: F.greatest(F.lit(1), F.bround(F.col("n") * F.lit(p).cast("decimal(3,2)"), 0).cast("long"))
     small = F.col("n") <= 3
     low, high = F.when(small, 0).otherwise(part("0.10")), F.when(small, 0).otherwise(part("0.20"))
-    counts = counts.withColumns({"low": F.when(low + high >= F.col("n"), 0).otherwise(low), "t": F.when(low + high >= F.col("n"), F.col("n")).otherwise(F.col("n") - low - high)})
-    t = F.col("t")
+    return counts.withColumns({"low": F.when(low + high >= F.col("n"), 0).otherwise(low), "t": F.when(low + high >= F.col("n"), F.col("n")).otherwise(F.col("n") - low - high)})
+
+
+def price_aggregates() -> list[Column]:
+    """K8 over rows of price_places: each wanted place is the price whose range of places holds it."""
+    small, t = F.col("n") <= 3, F.col("t")
     places = {"a": F.floor((t - 1) / 2), "b": F.floor(t / 2), "p25": F.when(small, 0).otherwise(F.floor(t / 4)), "p75": F.when(small, t - 1).otherwise(F.least(t - 1, F.floor(t * 3 / 4)))}
     at = lambda k: F.max(F.when((F.col("low") + k + 1 > F.col("upto") - F.col("c")) & (F.col("low") + k + 1 <= F.col("upto")), F.col("price")))
-    found = counts.groupBy("product_id").agg(*[at(k).alias(n) for n, k in places.items()])
-    median = F.bround(((F.col("a") + F.col("b")) * F.lit("0.5").cast("decimal(2,1)")), 2).cast(MONEY)
-    return found.select("product_id", median.alias("avg_price"), F.col("p25").cast(MONEY).alias("min_price"), F.col("p75").cast(MONEY).alias("max_price"))
+    return [at(k).alias(n) for n, k in places.items()]
+
+
+def prices() -> dict[str, Column]:
+    """K8 from its aggregates."""
+    median = F.bround((F.col("a") + F.col("b")) * F.lit("0.5").cast("decimal(2,1)"), 2)
+    return {"avg_price": median.cast(MONEY), "min_price": F.col("p25").cast(MONEY), "max_price": F.col("p75").cast(MONEY)}
+
+
+def competitive_price(listings: DataFrame) -> DataFrame:
+    """K8: avg_price (trimmed median), min_price and max_price (its quartiles) per product.
+
+    Prices are counted per product first, so a product's listings, however many, are sorted as their distinct prices.
+    """
+    counts = listings.filter("price IS NOT NULL").groupBy("product_id", "price").agg(F.count("*").alias("c"))
+    found = price_places(counts).groupBy("product_id").agg(*price_aggregates())
+    return found.select("product_id", *[v.alias(k) for k, v in prices().items()])
 
 
 def market_analysis(listings: DataFrame) -> DataFrame:
-    """K9: one row per product. match_score is optional."""
-    sure = F.bround(F.avg("match_score"), 3).cast("decimal(4,3)") if "match_score" in listings.columns else F.lit(None).cast("decimal(4,3)")
-    n = F.count("*")
-    facts = listings.groupBy("product_id").agg(
-        F.countDistinct(F.nullif("seller_id", F.lit(0))).alias("total_sellers"),
-        n.alias("total_listings_found"),
-        n.alias("listings_above_threshold"),
-        F.floor(F.sum("sold_quantity") / n).cast("long").alias("avg_sold_quantity"),
-        F.sum("sold_quantity").alias("total_sold_quantity"),
-        sure.alias("avg_match_confidence"),
-        F.bround(F.avg("ml_fee_pct"), 2).cast("decimal(5,2)").alias("avg_ml_fee_pct"),
-        F.bround((F.count_if("free_shipping") * 100).cast("decimal(20,0)") / n.cast("decimal(20,0)"), 2).cast("decimal(5,2)").alias("free_shipping_pct"),
-        F.avg("price").alias("mean_price"),
+    """K9: one row per product with a price, in one pass over the listings. match_score is optional.
+
+    Each listing is a row of its price and a row of its seller; both are counted per product in one shuffle of
+    counts, so a product's listings meet as its distinct prices and sellers.
+    """
+    types = {f.name: f.dataType for f in listings.schema}
+    score = F.col("match_score").cast("decimal(10,4)") if "match_score" in types else F.lit(None).cast("decimal(10,4)")
+    facts = {"one": F.lit(1), "sold": F.col("sold_quantity"), "fee": F.col("ml_fee_pct"), "free": F.coalesce(F.col("free_shipping").cast("int"), F.lit(0)), "score": score}
+    priced = F.struct(F.col("price"), F.lit(None).cast(types["seller_id"]).alias("seller_id"), *[v.alias(k) for k, v in facts.items()])
+    sold_by = F.struct(F.lit(None).cast(types["price"]).alias("price"), F.nullif("seller_id", F.lit(0).cast(types["seller_id"])).alias("seller_id"), *[F.nullif(v, v).alias(k) for k, v in facts.items()])
+    sums = [F.sum(k).alias(k) for k in facts] + [F.count(k).alias(f"n_{k}") for k in ("fee", "score")]
+    counts = listings.select("product_id", F.inline(F.array(priced, sold_by))).groupBy("product_id", "price", "seller_id").agg(*sums)
+    counts = price_places(counts.withColumn("c", F.when(F.col("price").isNotNull(), F.col("one")).otherwise(0)))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    value = F.sum(F.col("price") * F.col("one").cast("decimal(18,0)"))
+    found = counts.groupBy("product_id").agg(
+        F.count("seller_id").alias("total_sellers"), total("one").alias("total_listings_found"), total("sold").alias("total_sold_quantity"), F.sum("c").alias("n_priced"), value.alias("value"),
+        F.sum("fee").alias("fee"), F.sum("n_fee").alias("n_fee"), F.sum("score").alias("score"), F.sum("n_score").alias("n_score"), total("free").alias("free"), *price_aggregates(),
     )
-    return facts.join(competitive_price(listings), "product_id").withColumn("price_skewed", price_skew_flag())
+    n, of = F.col("total_listings_found"), lambda a, b: F.try_divide(F.col(a).cast("decimal(30,4)"), F.col(b).cast("decimal(20,0)"))
+    return found.filter("n_priced > 0").select(
+        "product_id", "total_sellers", "total_listings_found", n.alias("listings_above_threshold"), F.floor(F.col("total_sold_quantity") / n).cast("long").alias("avg_sold_quantity"), "total_sold_quantity",
+        F.bround(of("score", "n_score"), 3).cast("decimal(4,3)").alias("avg_match_confidence"), F.bround(of("fee", "n_fee"), 2).cast("decimal(5,2)").alias("avg_ml_fee_pct"),
+        F.bround((F.col("free") * 100).cast("decimal(20,0)") / n.cast("decimal(20,0)"), 2).cast("decimal(5,2)").alias("free_shipping_pct"), of("value", "n_priced").alias("mean_price"), *[v.alias(k) for k, v in prices().items()],
+    ).withColumn("price_skewed", price_skew_flag())
 
 
 def price_skew_flag() -> Column:

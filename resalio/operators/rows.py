@@ -17,8 +17,8 @@ def is_empty_row() -> Column:
     return F.forall("cells", lambda c: c.isNull() | (F.trim(c) == ""))
 
 
-def select_sheet(raw_rows: DataFrame, first: int = 1000) -> DataFrame:
-    """The rows of each catalog's sheet with most rows among the first; auxiliary sheets only if all are; ties keep order.
+def best_sheets(raw_rows: DataFrame, first: int = 1000) -> DataFrame:
+    """catalog_id, sheet_idx of each catalog's sheet with most rows among the first; auxiliary sheets only if all are; ties keep order.
 
     raw_rows has sheet_idx beside sheet.
     """
@@ -26,8 +26,12 @@ def select_sheet(raw_rows: DataFrame, first: int = 1000) -> DataFrame:
     other = norm.rlike("|".join(T_bare(w) for w in V.OTHER_SHEETS))
     counts = raw_rows.groupBy("catalog_id", "sheet_idx", "sheet").agg(F.count_if(~is_empty_row() & (F.col("row_idx") < first)).alias("n")).withColumn("other", other)
     order = F.struct(~F.col("other"), F.when(F.col("other"), 0).otherwise(F.col("n")), -F.col("sheet_idx"))
-    best = counts.groupBy("catalog_id").agg(F.max_by("sheet_idx", order).alias("sheet_idx"))
-    return raw_rows.join(best, ["catalog_id", "sheet_idx"], "left_semi")
+    return counts.groupBy("catalog_id").agg(F.max_by("sheet_idx", order).alias("sheet_idx"))
+
+
+def select_sheet(raw_rows: DataFrame, first: int = 1000) -> DataFrame:
+    """The rows of those sheets."""
+    return raw_rows.join(best_sheets(raw_rows, first), ["catalog_id", "sheet_idx"], "left_semi")
 
 
 def T_bare(word: str) -> str:
@@ -69,8 +73,8 @@ def cell(field: str) -> Column:
 
 
 def classify_rows(rows: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Data rows with skip_reason (null: accepted) and the parsed fields. mapping: H7's columns per catalog."""
-    df = rows.join(mapping.select("catalog_id", "product_name", "cost", "sku", "category", "supplier"), "catalog_id")
+    """Data rows with skip_reason (null: accepted) and the parsed fields. mapping: H7's columns per catalog; rows of a catalog without one are kept, and refused."""
+    df = rows.join(mapping.select("catalog_id", "product_name", "cost", "sku", "category", "supplier"), "catalog_id", "left")
     raw = cell("product_name")
     df = df.withColumns({
         "raw_name": T.clean_text(raw), "price": P.parse_price(cell("cost")), "sku_text": T.clean_sku(cell("sku")),
@@ -130,10 +134,10 @@ def parse_stats(rows: DataFrame, run: int = 10) -> DataFrame:
 
 
 def parse_rates(stats: DataFrame) -> DataFrame:
-    """Valid rows of those that aren't blank, and the share that was skipped; four places, half even."""
-    base = F.col("total_rows_scanned") - F.col("skipped_empty")
-    rate = F.coalesce(F.bround(F.try_divide(F.col("valid_products").cast("double"), base.cast("double")), 4), F.lit(0.0))
-    return stats.withColumns({"success_rate": rate, "skip_rate": F.bround(1.0 - rate, 4)})
+    """Valid rows of those that aren't blank, and refused and doubled ones of all; four places, half even, 0 of none."""
+    share = lambda a, b: F.coalesce(F.bround(F.try_divide(a.cast("double"), b.cast("double")), 4), F.lit(0.0))
+    skipped = F.col("skipped_invalid_name") + F.col("skipped_invalid_cost") + F.col("skipped_subtotal") + F.col("duplicate_skus")
+    return stats.withColumns({"success_rate": share(F.col("valid_products"), F.col("total_rows_scanned") - F.col("skipped_empty")), "skip_rate": share(skipped, F.col("total_rows_scanned"))})
 
 
 def parse_confidence(rates: DataFrame, has_required: str | None = None) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 SCORE = "decimal(5,2)"
 #: Steps of each score, highest first (lowest first for competition), and weights.
 DEMAND = [(50000, 100), (20000, 85), (10000, 70), (5000, 55), (2000, 38), (1000, 20)]
@@ -74,20 +76,13 @@ def score(df: DataFrame) -> DataFrame:
     return df.withColumns({"recommendation": classify(), "explanation": explanation()})
 
 
-def rank(scored: DataFrame) -> DataFrame:
-    """rank_position per catalog, best first, ties by product_id.
-
-    Rows are numbered within ranges of scores of their catalog, each range by itself, and the sizes of the ranges
-    before are added: a catalog of any size is dealt to as many tasks as it has distinct scores.
-    """
-    part = Window.partitionBy("catalog_id", "final_score").orderBy("product_id")
-    sizes = scored.groupBy("catalog_id", "final_score").agg(F.count("*").alias("size"))
-    above = F.sum("size").over(Window.partitionBy("catalog_id").orderBy(F.desc("final_score")).rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("catalog_id", "final_score", F.coalesce(above, F.lit(0)).alias("above"))
-    return scored.withColumn("within", F.row_number().over(part)).join(starts, ["catalog_id", "final_score"]).withColumn("rank_position", (F.col("within") + F.col("above")).cast("int")).drop("within", "above")
+def rank(scored: DataFrame, written: bool = False) -> DataFrame:
+    """rank_position per catalog, best first, ties by product_id; a catalog of any size is dealt to many tasks. written: scored is a written table, or cheap to read twice."""
+    out = numbered(scored, ["catalog_id"], [F.desc("final_score"), F.col("product_id")], "rank_position", written)
+    return out.withColumn("rank_position", F.col("rank_position").cast("int"))
 
 
-def score_catalog(finance: DataFrame, market: DataFrame | None = None) -> DataFrame:
+def score_catalog(finance: DataFrame, market: DataFrame | None = None, written: bool = False) -> DataFrame:
     """Finance rows with a market row, scored and ranked per catalog. market: where finance lacks its columns."""
     need = ["product_id", "avg_sold_quantity", "listings_above_threshold", "total_sellers", "avg_match_confidence"]
-    return rank(score(finance if market is None else finance.join(market.select(*need), "product_id")))
+    return rank(score(finance if market is None else finance.join(market.select(*need), "product_id")), written)

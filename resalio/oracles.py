@@ -26,7 +26,7 @@ PRODUCTS = """p AS (
 LISTINGS = f"""l AS (
   SELECT l_partkey AS product_id, l_orderkey || '-' || l_linenumber AS item_id, CAST(l_quantity*1000 AS BIGINT) AS sold, l_suppkey AS seller_id,
     {half_up("CAST(round(l_extendedprice*100) AS BIGINT)", "CAST(l_quantity AS BIGINT)")} AS price_c, l_returnflag = 'R' AS free,
-    CASE WHEN l_linestatus='O' THEN CAST(1000+round(l_discount*100)*100 AS BIGINT) END AS fee_bp, l_orderkey, l_linenumber,
+    CASE WHEN l_linestatus='O' THEN CAST(1000+round(l_discount*100)*100 AS BIGINT) END AS fee_bp, l_orderkey, l_linenumber, l_suppkey,
     row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_returnflag) AS position FROM lineitem)"""
 
 PRICES = f"""cut AS (
@@ -40,18 +40,18 @@ price AS (
 
 MARKET = f"""m AS (
   SELECT f.*, avg_c, min_c, max_c FROM (
-    SELECT product_id, count(DISTINCT nullif(seller_id,0)) AS sellers, count(*) AS n, CAST(sum(sold) AS BIGINT)//count(*) AS avg_sold, CAST(sum(sold) AS BIGINT) AS total_sold,
+    SELECT product_id, count(DISTINCT nullif(seller_id,0)) AS sellers, count(*) AS n, 1000 AS conf, CAST(sum(sold) AS BIGINT)//count(*) AS avg_sold, CAST(sum(sold) AS BIGINT) AS total_sold,
       {half_even("CAST(sum(fee_bp) AS DOUBLE)/count(fee_bp)")} AS fee_bp, {half_even("CAST(sum(CASE WHEN free THEN 10000 ELSE 0 END) AS DOUBLE)/count(*)")} AS free_bp
     FROM l GROUP BY product_id) f JOIN price USING (product_id))"""
 
 FINANCE = f"""f0 AS (
-  SELECT p.product_id, catalog_id, {half_up("lot_c", "units")} AS cost_c, avg_c AS price_c, coalesce(fee_bp,1100) AS fee_bp, CASE WHEN free_bp<=5000 THEN 0 ELSE 2000 END AS fixed_c, m.* EXCLUDE (product_id, fee_bp)
+  SELECT p.product_id, catalog_id, {half_up("lot_c", "units")} AS cost_c, avg_c AS price_c, avg_c>0 AS sold, coalesce(fee_bp,1100) AS fee_bp, CASE WHEN free_bp<=5000 THEN 0 ELSE 2000 END AS fixed_c, m.* EXCLUDE (product_id, fee_bp)
   FROM p JOIN m USING (product_id)),
 f1 AS (SELECT *, {half_up("price_c*fee_bp", "10000")} AS ml_fee_c, {half_up("price_c*700", "10000")} AS tax_c FROM f0),
-f2 AS (SELECT *, price_c-cost_c-ml_fee_c AS gross_c, {half_up("cost_c*10000", "10000-fee_bp")} AS even_c FROM f1),
-f3 AS (SELECT *, {half_up("gross_c*10000", "price_c")} AS gross_bp, least({half_up("(price_c-even_c)*10000", "even_c")}, 99999) AS safety_bp, gross_c-fixed_c-tax_c AS net_c FROM f2),
-f4 AS (SELECT *, {half_up("net_c*10000", "price_c")} AS net_bp, CASE WHEN fee_bp+2700<10000 THEN {half_up("(cost_c+fixed_c)*10000", "10000-fee_bp-2700")} END AS least_c FROM f3),
-f AS (SELECT *, net_bp>=2000 AS is_viable FROM f4)"""
+f2 AS (SELECT *, price_c-cost_c-ml_fee_c AS gross_c, CASE WHEN sold THEN {half_up("cost_c*10000", "10000-fee_bp")} ELSE cost_c END AS even_c FROM f1),
+f3 AS (SELECT *, CASE WHEN sold THEN {half_up("gross_c*10000", "price_c")} ELSE 0 END AS gross_bp, CASE WHEN sold AND even_c>0 THEN least({half_up("(price_c-even_c)*10000", "even_c")}, 99999) ELSE 0 END AS safety_bp, CASE WHEN sold THEN gross_c-fixed_c-tax_c END AS net_c FROM f2),
+f4 AS (SELECT *, CASE WHEN sold THEN {half_up("net_c*10000", "price_c")} END AS net_bp, CASE WHEN sold AND fee_bp+2700<10000 THEN {half_up("(cost_c+fixed_c)*10000", "10000-fee_bp-2700")} END AS least_c FROM f3),
+f AS (SELECT *, sold AND net_bp>=2000 AS is_viable FROM f4)"""
 
 
 def ladder(value: str, steps: list, rest: int, sign: str = ">=", times: int = 1) -> str:
@@ -61,13 +61,13 @@ def ladder(value: str, steps: list, rest: int, sign: str = ">=", times: int = 1)
 SCORES = f"""s0 AS (
   SELECT *, CASE WHEN avg_sold>0 THEN {ladder("avg_sold", scoring.DEMAND, 5)} ELSE least(n,50)*2 END AS ds,
     CASE WHEN gross_bp<=0 THEN 0 ELSE {ladder("gross_bp", scoring.MARGIN, 10, times=100)} END AS ms, {ladder("sellers", scoring.COMPETITION, 5, "<=")} AS cs FROM f),
-s1 AS (SELECT *, 35*ds+40*ms+15*cs+1000 AS final_c FROM s0),
+s1 AS (SELECT *, 35*ds+40*ms+15*cs+least(greatest(conf, 0), 1000) AS final_c FROM s0),
 s AS (SELECT *, CASE WHEN final_c>=7500 THEN 'EXCELENTE' WHEN final_c>=5500 THEN 'BOA' WHEN final_c>=3500 THEN 'ARRISCADA' ELSE 'EVITAR' END AS recommendation,
   CAST(row_number() OVER (PARTITION BY catalog_id ORDER BY final_c DESC, product_id) AS INTEGER) AS rank_position,
   CASE WHEN NOT is_viable THEN 'Produto inviável — o preço médio de mercado não cobre o custo de compra.' ELSE
     CASE WHEN ds>=70 THEN 'Alta demanda comprovada' WHEN ds>=40 THEN 'Demanda moderada' ELSE 'Demanda limitada' END || ', ' ||
     CASE WHEN ms>=80 THEN 'margem excelente' WHEN ms>=60 THEN 'boa margem' WHEN ms>=35 THEN 'margem razoável' ELSE 'margem baixa' END || ', ' ||
-    CASE WHEN cs>=75 THEN 'baixa concorrência' WHEN cs>=55 THEN 'concorrência moderada' ELSE 'alta concorrência' END || '.' END AS explanation FROM s1)"""
+    CASE WHEN cs>=75 THEN 'baixa concorrência' WHEN cs>=55 THEN 'concorrência moderada' ELSE 'alta concorrência' END || CASE WHEN conf<600 THEN ', dados de matching com baixa confiança — verificar manualmente' ELSE '' END || '.' END AS explanation FROM s1)"""
 
 TO_LISTINGS = "WITH " + LISTINGS
 TO_MARKET = ",\n".join([TO_LISTINGS, PRICES, MARKET])
@@ -121,8 +121,8 @@ def jaccard(a: str, b: str) -> str:
 
 
 SHEET = """sheet AS (
-  SELECT CAST(l_suppkey AS VARCHAR) AS catalog_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_returnflag) AS INTEGER) AS row_idx,
-    CASE WHEN l_linenumber=1 THEN l_returnflag END AS category, CAST(l_partkey AS VARCHAR) AS sku, l_quantity>40 AS blank FROM lineitem)"""
+  SELECT CAST(l_orderkey//64 AS VARCHAR) AS catalog_id, CAST(row_number() OVER (PARTITION BY l_orderkey//64 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_returnflag) AS INTEGER) AS row_idx,
+    CASE WHEN l_linenumber=1 THEN l_returnflag END AS category, CAST(l_partkey%50 AS VARCHAR) AS sku, l_quantity>25 AS blank FROM lineitem)"""
 
 
 def match_sql() -> str:
@@ -137,6 +137,14 @@ def match_sql() -> str:
       concat_ws(',', 'kit', CASE WHEN volt>0 THEN 'voltagem' END, CASE WHEN vol>0 THEN 'volume' END, CASE WHEN boost>0 THEN 'bivolt' END) AS reasons FROM scored"""
 
 
+def decimal(c: str) -> str:
+    """Cents as text with two places."""
+    return f"CAST(CAST({c} AS DECIMAL(18,0))*0.01 AS VARCHAR)"
+
+
+SUMMARY = f"CASE WHEN is_viable THEN 'VIÁVEL' ELSE 'NÃO VIÁVEL' END||' | custo=R$'||{decimal('cost_c')}||' preco=R$'||{decimal('price_c')}||' taxa=R$'||{decimal('ml_fee_c')}||' bruta='||{decimal('gross_bp')}||'%'||CASE WHEN net_bp IS NULL THEN '' ELSE ' | líquida='||{decimal('net_bp')}||'% min_preco=R$'||coalesce({decimal('least_c')}, 'None') END"
+
+
 def filter_sql(where: str) -> str:
     return f"{TO_SCORES} SELECT product_id, catalog_id, {cents('final_c', 'final_score')}, recommendation, rank_position, is_viable, {cents('gross_bp', 'gross_margin_pct')}, n AS listings_above_threshold FROM s WHERE {where}"
 
@@ -156,10 +164,11 @@ def sql() -> dict[str, str]:
         "market_analysis": f"{TO_MARKET} SELECT product_id, {cents('avg_c', 'avg_price')}, {cents('min_c', 'min_price')}, {cents('max_c', 'max_price')}, sellers AS total_sellers, n AS total_listings_found, avg_sold AS avg_sold_quantity, total_sold AS total_sold_quantity, {cents('fee_bp', 'avg_ml_fee_pct')}, {cents('free_bp', 'free_shipping_pct')} FROM m",
         "sales_filter": f"{TO_LISTINGS} SELECT product_id, count(*) AS n, CAST(sum(sold) AS BIGINT) AS sold FROM (SELECT *, max(sold) OVER (PARTITION BY product_id) AS most FROM l) WHERE sold>=45000 OR most<45000 GROUP BY product_id",
         "top_listings": f"{TO_LISTINGS} SELECT product_id, CAST(position AS INTEGER) AS rank_position, item_id, {cents('price_c', 'price')}, nullif(sold,0) AS sold_quantity, seller_id FROM l WHERE position<=5",
-        "enrich_capped": f"{TO_LISTINGS} SELECT product_id, item_id, CAST(position AS INTEGER) AS position, CASE WHEN hit THEN max(sold) OVER (PARTITION BY item_id)//1000*7 ELSE sold END AS sold_quantity, CASE WHEN hit THEN 'new' ELSE '' END AS condition, hit OR free AS free_shipping, CASE WHEN hit THEN 'c1' ELSE '' END AS category_id FROM (SELECT *, position<=20 AND l_linenumber%2=1 AS hit FROM l)",
+        "enrich_capped": f"{TO_LISTINGS} SELECT product_id, item_id, CASE WHEN hit AND seller_id=0 THEN max(seller_id) OVER (PARTITION BY item_id) ELSE seller_id END AS seller_id, CASE WHEN hit THEN max(sold) OVER (PARTITION BY item_id)//1000*7 ELSE sold END AS sold_quantity, CASE WHEN hit THEN 'new' ELSE '' END AS condition, hit OR free AS free_shipping, CASE WHEN hit THEN 'c1' ELSE '' END AS category_id FROM (SELECT *, position<=20 AND l_linenumber%2=1 AS hit FROM l)",
         "pending_products": f"{TO_LISTINGS}, {PRODUCTS} SELECT product_id, catalog_id FROM p WHERE product_id NOT IN (SELECT product_id FROM l GROUP BY product_id HAVING count(*)>30)",
+        "finance_summary": f"{TO_FINANCE} SELECT product_id, {SUMMARY} AS summary FROM f",
         "finance": f"{TO_FINANCE} SELECT product_id, {cents('cost_c', 'cost')}, {cents('price_c', 'avg_market_price')}, {cents('ml_fee_c', 'ml_fee')}, {cents('gross_c', 'gross_margin')}, {cents('gross_bp', 'gross_margin_pct')}, {cents('even_c', 'break_even_price')}, {cents('safety_bp', 'price_safety_margin_pct')}, {cents('net_c', 'net_margin')}, {cents('net_bp', 'net_margin_pct')}, is_viable, {cents('least_c', 'min_price_for_target_margin')}, {cents('tax_c', 'tax_cost')}, CAST(nullif(fixed_c,0) AS DOUBLE)/100 AS fulfillment_cost FROM f",
-        "scores": f"{TO_SCORES} SELECT product_id, catalog_id, CAST(ds AS DOUBLE) AS demand_score, CAST(ms AS DOUBLE) AS margin_score, CAST(cs AS DOUBLE) AS competition_score, CAST(100 AS DOUBLE) AS confidence_score, {cents('final_c', 'final_score')}, recommendation, rank_position FROM s",
+        "scores": f"{TO_SCORES} SELECT product_id, catalog_id, CAST(ds AS DOUBLE) AS demand_score, CAST(ms AS DOUBLE) AS margin_score, CAST(cs AS DOUBLE) AS competition_score, CAST(conf AS DOUBLE)/10 AS confidence_score, {cents('final_c', 'final_score')}, recommendation, rank_position FROM s",
         "explanation": f"{TO_SCORES} SELECT product_id, explanation FROM s",
         "recommendation_counts": f"{TO_SCORES} {counts}",
         "pipeline_coverage": f"""{TO_SCORES} SELECT catalog_id, products, {coverage}, CASE WHEN products=0 THEN 'PARSING' WHEN market=0 THEN 'MARKET' WHEN finance=0 THEN 'FINANCE' WHEN scores=0 THEN 'SCORING' WHEN scores<products THEN 'PARTIAL' ELSE 'OK' END AS bottleneck
@@ -178,6 +187,6 @@ def sql() -> dict[str, str]:
             z AS (SELECT catalog_id, min(CASE WHEN third THEN row_idx END) AS stop FROM r GROUP BY catalog_id) SELECT catalog_id, count(*) AS n_rows, max(row_idx) AS last_row FROM sheet JOIN z USING (catalog_id) WHERE stop IS NULL OR row_idx<=stop GROUP BY catalog_id""",
         "page_slugs": """SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '[^\\pL\\pN_\\s-]', '', 'g'), '[\\s_]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
             CASE WHEN mil<>'' THEN TRY_CAST(mil AS BIGINT)*1000 WHEN first<>'' THEN TRY_CAST(first AS BIGINT) ELSE 0 END AS sold FROM (SELECT *, regexp_extract(u, '(\\d+)\\s*mil', 1) AS mil, regexp_extract(u, '(\\d+)', 1) AS first FROM (SELECT *, lower(translate(url, '.,', '')) AS u FROM pages))""",
-        "upsert": f"{TO_MARKET} SELECT product_id, CASE WHEN product_id%3=0 THEN 0.0 ELSE CAST(avg_c AS DOUBLE)/100 END AS avg_price FROM m WHERE product_id%2=0 OR product_id%3=0",
+        "upsert": f"{TO_MARKET} SELECT product_id, CASE WHEN n>30 THEN 0.0 ELSE CAST(avg_c AS DOUBLE)/100 END AS avg_price FROM m UNION ALL SELECT -1-product_id, CAST(avg_c AS DOUBLE)/100 FROM m WHERE n<=20",
         "replace_children": f"{TO_LISTINGS} SELECT product_id, CAST(position AS INTEGER) AS rank_position, CASE WHEN product_id%3=0 THEN 'new' ELSE item_id END AS item_id FROM l WHERE position<=5 AND (product_id%3<>0 OR position=1)",
     }

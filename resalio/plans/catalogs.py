@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from ..operators import finance as fin
 from ..operators import headers as H
+from ..functions import text as T
 from ..operators import market as mkt
+from ..operators import matching as M
 from ..operators import rows as R
 from ..operators import scoring
 from ..sources import sinks
+from ..sources.shared import materialize
 
 
 @dataclass(frozen=True)
 class Analysis:
-    """What a run makes of products and their listings; lazy until written."""
+    """What a run makes of products and their listings."""
 
     products: DataFrame
     market: DataFrame
@@ -27,37 +30,55 @@ class Analysis:
 
 
 def parse(raw_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Raw sheets (catalog_id, sheet_idx, sheet, row_idx, cells) to accepted products and the quality of each catalog."""
-    rows = R.select_sheet(raw_rows)
-    at = H.detect_header_row(rows)
+    """Raw sheets (catalog_id, sheet_idx, sheet, row_idx, cells) to accepted products and the quality of each catalog.
+
+    A catalog without columns of names and costs, or without any row that isn't blank, has counters of 0 and FAILED.
+    """
+    rows = raw_rows.join(materialize(R.best_sheets(raw_rows), "best-sheets"), ["catalog_id", "sheet_idx"], "left_semi")
+    at = materialize(H.detect_header_row(rows), "header-rows")
     marked = rows.join(at.select("catalog_id", "sheet", "header_row"), ["catalog_id", "sheet"])
     heads = marked.filter("row_idx = header_row").select("catalog_id", F.posexplode("cells").alias("col_idx", "header")).filter("header IS NOT NULL")
-    mapping = H.mapping_status(H.map_headers(heads))
-    data = R.cut_after_blank_run(marked.filter("row_idx > header_row").drop("header_row"))
-    classified = R.classify_rows(data, mapping)
+    mapping = materialize(H.mapping_status(H.map_headers(heads)).filter("has_required"), "mapping")
+    data = R.cut_after_blank_run(marked.filter("row_idx > header_row").drop("header_row").join(mapping.select("catalog_id"), "catalog_id", "left_semi"))
+    classified = materialize(R.classify_rows(data, mapping), "classified")
     accepted = R.flag_dup_sku(R.fill_category(classified.filter("skip_reason IS NULL")))
-    flags = accepted.select("catalog_id", "sheet", "row_idx", "is_dup_sku")
+    flags = accepted.filter("is_dup_sku").select("catalog_id", "sheet", "row_idx", "is_dup_sku")
     stats = R.parse_stats(classified.join(flags, ["catalog_id", "sheet", "row_idx"], "left").withColumn("is_dup_sku", F.coalesce("is_dup_sku", F.lit(False))))
-    quality = R.parse_confidence(R.parse_rates(stats.join(mapping.select("catalog_id", "has_required"), "catalog_id", "left")), "has_required")
+    counters = [c for c in stats.columns if c != "catalog_id"]
+    every = raw_rows.select("catalog_id").distinct().join(stats, "catalog_id", "left").na.fill(0, counters)
+    quality = R.parse_confidence(R.parse_rates(every.join(mapping.select("catalog_id", "has_required"), "catalog_id", "left")), "has_required")
     products = accepted.select("catalog_id", F.concat_ws("-", "catalog_id", F.col("row_idx").cast("string")).alias("product_id"), "raw_name", F.lit(None).cast("string").alias("normalized_name"), "sku", "category", "supplier", "cost", "is_dup_sku")
     return R.gate(products, quality), quality
 
 
 def analyze(products: DataFrame, listings: DataFrame, config: fin.FeeConfig = fin.FeeConfig.from_settings(), min_sales: int = 0) -> Analysis:
-    """I1 from listings on: market, finance, scores."""
-    market = mkt.market_analysis(mkt.sales_filter(listings, min_sales))
-    finance = fin.analyze(products, market, config)
+    """I1 from listings on: market, finance, scores. Each stage is written and read by the next, so listings are read once."""
+    market = materialize(mkt.market_analysis(mkt.sales_filter(listings, min_sales)), "market")
+    finance = materialize(fin.analyze(products, market, config), "finance")
     top = mkt.top_listings(listings) if "position" in listings.columns else None
-    return Analysis(products, market, finance, scoring.score_catalog(finance), top)
+    return Analysis(products, market, finance, scoring.score_catalog(finance, written=True), top)
+
+
+def run_pipeline(raw_rows: DataFrame, results: DataFrame, config: fin.FeeConfig = fin.FeeConfig.from_settings(), min_sales: int = 0, min_confidence: float = 0.15) -> tuple[DataFrame, Analysis]:
+    """I1 whole: catalogs' sheets and search results (query, position, listing columns) to quality and analyses.
+
+    Accepted products search by their names (T10), listings are scored against them and qualified in two phases (M13).
+    """
+    products, quality = parse(raw_rows)
+    products = materialize(products, "products")
+    asked = M.prepare(products.select("product_id", "raw_name", T.search_query("raw_name").alias("query")), "raw_name", "catalog")
+    found = M.two_phase_match(asked, M.prepare(results, "title", "listing"), min_sales, min_confidence)
+    listings = materialize(found.drop("raw_name", *[c for c in found.columns if c.startswith(("catalog_", "listing_")) and c != "listing_type"]), "listings")
+    return quality, analyze(products, listings, config, min_sales)
 
 
 def rerun_analysis(products: DataFrame, listings: DataFrame, market: DataFrame, config: fin.FeeConfig = fin.FeeConfig.from_settings()) -> Analysis:
     """Market rows are kept, missing ones worked out; finance and scores are made anew."""
     missing = mkt.pending(products, market)
     new = mkt.market_analysis(listings.join(missing.select("product_id"), "product_id", "left_semi"))
-    whole = sinks.upsert(market, new.select(*market.columns))
-    finance = fin.analyze(products, whole, config)
-    return Analysis(products, whole, finance, scoring.score_catalog(finance))
+    whole = materialize(sinks.upsert(market, new.select(*market.columns)), "market")
+    finance = materialize(fin.analyze(products, whole, config), "finance")
+    return Analysis(products, whole, finance, scoring.score_catalog(finance, written=True))
 
 
 def latest_status(events: DataFrame) -> DataFrame:

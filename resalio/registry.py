@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
@@ -12,7 +12,9 @@ from .functions import price as P
 from .functions import text as T
 from .operators import finance, market, matching, reports, rows, scoring
 from .plans import catalogs
+from .queries import feeds, pairing, runs, sheets
 from .sources import driver, sinks
+from .sources.shared import materialize
 
 FLAGSHIP = "opportunities"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,14 +45,15 @@ MARKET = ["product_id", "avg_price", "min_price", "max_price", "total_sellers",
 OPPORTUNITY = ["product_id", "catalog_id", "raw_name", "final_score", "rank_position", "recommendation", "avg_price", "gross_margin_pct", "net_margin_pct", "is_viable", "explanation"]
 
 
-def whole(spark: SparkSession, d: str) -> DataFrame:
-    """Q1 from one pass: scores carry their product's, market's and finance's columns."""
-    return scores_of(spark, d)
+def whole(a: catalogs.Analysis, **chosen) -> DataFrame:
+    """Q1, Q2."""
+    own = ["product_id", "catalog_id", "final_score", "rank_position", "recommendation", "explanation", "demand_score", "margin_score", "competition_score", "confidence_score"]
+    return reports.opportunities(a.products, a.scores.select(*own), a.market, a.finance, **chosen)
 
 
 def with_listings(spark: SparkSession, d: str) -> DataFrame:
     a = analysis(spark, d, positions=True)
-    df = reports.opportunities(a.products, a.scores.select("product_id", "rank_position"), a.market, a.finance, a.listings)
+    df = whole(a, listings=a.listings)
     top = F.transform("listings", lambda s: s.item_id)
     return df.select("product_id", "rank_position", F.size("listings").cast("long").alias("n_listings"), F.array_join(top, ",").alias("item_ids"))
 
@@ -61,7 +64,7 @@ def enrich_capped(spark: SparkSession, d: str) -> DataFrame:
     details = lines.filter("l_linenumber % 2 = 1").select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("item_id"), (F.col("l_quantity") * 7).cast("long").alias("d_sold"), F.lit("new").alias("d_condition"), F.lit("gold").alias("d_listing_type"), F.col("l_suppkey").alias("d_seller_id"), F.lit(True).alias("d_free_shipping"), F.lit("fulfillment").alias("d_logistic_type"), F.lit("c1").alias("d_category_id"))
     details = details.groupBy("item_id").agg(*[F.max(c).alias(c) for c in details.columns[1:]])
     given = driver.listings(spark, d, True).withColumns({c: F.lit("") for c in ("condition", "listing_type", "category_id", "logistic_type")})
-    return market.enrich(given, details).select("product_id", "item_id", "position", "sold_quantity", "condition", "free_shipping", "category_id")
+    return market.enrich(given, details).select("product_id", "item_id", "seller_id", "sold_quantity", "condition", "free_shipping", "category_id")
 
 
 def top_listings(spark: SparkSession, d: str) -> DataFrame:
@@ -109,12 +112,10 @@ def token_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sheet_rows(spark: SparkSession, d: str) -> DataFrame:
-    """A supplier's lines as a sheet: a category now and then, blank rows, SKUs that come again."""
-    by = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", *driver.LINE[2:])
-    line = driver.read(spark, d, "lineitem").withColumn("row_idx", F.row_number().over(by))
-    return line.select(
-        F.col("l_suppkey").cast("string").alias("catalog_id"), F.lit("s").alias("sheet"), "row_idx", F.when(F.col("l_linenumber") == 1, F.col("l_returnflag")).alias("category"),
-        F.col("l_partkey").cast("string").alias("sku"), F.when(F.col("l_quantity") > 40, F.array(F.lit(" "))).otherwise(F.array(F.col("l_partkey").cast("string"))).alias("cells"),
+    """Lines of some orders as a sheet: a category now and then, blank rows, SKUs that come again."""
+    return driver.sheet_lines(spark, d).select(
+        "catalog_id", F.lit("s").alias("sheet"), F.col("n").alias("row_idx"), F.when(F.col("l_linenumber") == 1, F.col("l_returnflag")).alias("category"),
+        (F.col("l_partkey") % 50).cast("string").alias("sku"), F.when(F.col("l_quantity") > 25, F.array(F.lit(" "))).otherwise(F.array(F.col("l_partkey").cast("string"))).alias("cells"),
     )
 
 
@@ -141,9 +142,11 @@ def pending_products(spark: SparkSession, d: str) -> DataFrame:
 
 
 def upsert(spark: SparkSession, d: str) -> DataFrame:
-    m = market_of(spark, d).select("product_id", "avg_price")
-    new = m.filter("product_id % 3 = 0").withColumn("avg_price", F.lit(0).cast(P.MONEY))
-    return doubles(sinks.upsert(m.filter("product_id % 2 = 0"), new))
+    """Market rows, those of over 30 listings with another price, and new rows beside them."""
+    m = materialize(market_of(spark, d).select("product_id", "avg_price", "total_listings_found"), "market")
+    new = m.filter("total_listings_found > 30").withColumn("avg_price", F.lit(0).cast(P.MONEY))
+    new = new.unionByName(m.filter("total_listings_found <= 20").withColumn("product_id", -1 - F.col("product_id")))
+    return doubles(sinks.upsert(m, new).drop("total_listings_found"))
 
 
 def replace_children(spark: SparkSession, d: str) -> DataFrame:
@@ -161,7 +164,7 @@ def filtered(f: reports.OpportunityFilter) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         a = analysis(spark, d)
         keep = ["product_id", "catalog_id", "final_score", "recommendation", "rank_position", "is_viable", "gross_margin_pct", "listings_above_threshold"]
-        return doubles(a.scores.filter(f.predicate()).select(*keep))
+        return doubles(reports.opportunity_filter(a.scores, a.market, a.finance, f).select(*keep))
 
     return run
 
@@ -172,8 +175,8 @@ SCORES = ["product_id", "catalog_id", "demand_score", "margin_score", "competiti
 
 def queries() -> dict[str, Query]:
     return {
-        "opportunities": lambda s, d: doubles(whole(s, d).select(*OPPORTUNITY)),
-        "opportunities_excellent": lambda s, d: doubles(whole(s, d).filter("recommendation = 'EXCELENTE' AND final_score >= 60").select(*OPPORTUNITY)),
+        "opportunities": lambda s, d: doubles(whole(analysis(s, d)).select(*OPPORTUNITY)),
+        "opportunities_excellent": lambda s, d: doubles(whole(analysis(s, d), recommendation="EXCELENTE", min_score=60).select(*OPPORTUNITY)),
         "opportunity_listings": with_listings,
         "opportunity_filter": filtered(reports.OpportunityFilter()),
         "opportunity_filter_good": filtered(reports.OpportunityFilter.good_and_above(10.0)),
@@ -189,7 +192,7 @@ def queries() -> dict[str, Query]:
         "explanation": lambda s, d: scores_of(s, d).select("product_id", "explanation"),
         "recommendation_counts": lambda s, d: reports.recommendation_counts(scores_of(s, d)),
         "pipeline_coverage": coverage,
-        "dashboard_view": lambda s, d: doubles(reports.dashboard_view(whole(s, d)).select("product_id", "margin_band", "mostly_free_shipping", "effective_price")),
+        "dashboard_view": lambda s, d: doubles(reports.dashboard_view(whole(analysis(s, d))).select("product_id", "margin_band", "mostly_free_shipping", "effective_price")),
         "price_parse": price_parse,
         "names": names,
         "norm_documents": norm_documents,
@@ -201,8 +204,8 @@ def queries() -> dict[str, Query]:
         "page_slugs": pages,
         "upsert": upsert,
         "replace_children": replace_children,
-    }
+    } | sheets.QUERIES | feeds.QUERIES | pairing.QUERIES | runs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.sql()
+    return oracles.sql() | sheets.sql() | feeds.sql() | pairing.sql() | runs.sql()

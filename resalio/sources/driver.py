@@ -25,7 +25,7 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listings(spark: SparkSession, sf_dir: str, positions: bool = False) -> DataFrame:
-    """Order lines as listings. Prices are whole cents, half up."""
+    """Order lines as listings. Prices are whole cents, half up. position: what orders a product's listings."""
     cents = F.expr("(2 * cast(round(l_extendedprice * 100) AS bigint) + cast(l_quantity AS bigint)) div (2 * cast(l_quantity AS bigint))")
     df = read(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("product_id"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("item_id"),
@@ -35,5 +35,15 @@ def listings(spark: SparkSession, sf_dir: str, positions: bool = False) -> DataF
     )
     if not positions:
         return df.drop(*LINE)
-    by = Window.partitionBy("product_id").orderBy("l_orderkey", "l_linenumber", "seller_id", *LINE[2:])
-    return df.withColumn("position", F.row_number().over(by)).drop(*LINE)
+    return df.withColumn("position", F.struct("l_orderkey", "l_linenumber", "seller_id", *LINE[2:])).drop(*LINE)
+
+
+#: Orders whose lines make one sheet: what bounds a sheet, however many orders there are.
+ORDERS = 64
+
+
+def sheet_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines numbered within sheets of ORDERS orders: catalog_id, n from 1, and the line's columns."""
+    line = read(spark, sf_dir, "lineitem").withColumn("catalog_id", F.floor(F.col("l_orderkey") / ORDERS).cast("string"))
+    by = Window.partitionBy("catalog_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *LINE[2:])
+    return line.withColumn("n", F.row_number().over(by))

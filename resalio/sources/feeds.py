@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.price import MONEY, parse_feed_price, parse_page_price, parse_sold
 from ..functions.text import item_id
+from ..operators.ordering import numbered
 
 SEPARATORS = [",", ";", "\t", "|"]
 ENCODINGS = ["utf-8", "ISO-8859-1"]
@@ -20,23 +21,29 @@ API_ITEM = "array<struct<id:string,title:string,price:decimal(18,4),sold_quantit
 ACTOR_ITEM = "array<struct<eTituloProduto:string,SKU:string,novoPreco:string,zProdutoLink:string,imagemLink:string,produtoCategoryID:string>>"
 
 
-def read_catalog_csv(spark: SparkSession, *paths: str) -> DataFrame:
-    """CSV catalogs, one dialect per file: the first separator whose header has two columns or more.
+def csv_dialects(spark: SparkSession, *paths: str) -> DataFrame:
+    """catalog_id (the file's path), head (its first line), sep, encoding and status: FAILED where no separator gives two columns.
 
-    The first line decides on the separator, all lines on the encoding (a row per file reaches the driver). Every
-    column is text; catalog_id is the file's path; files without a dialect are left out.
+    The first separator that parts the first line outside quotes decides; all lines decide on the encoding.
     """
-    heads = spark.read.option("wholetext", False).text(list(paths)).withColumn("catalog_id", F.col("_metadata.file_path")).withColumn("at", F.col("_metadata.file_block_start"))
+    lines = spark.read.text(list(paths)).withColumns({"catalog_id": F.col("_metadata.file_path"), "at": F.col("_metadata.file_block_start")})
     # within a file, ids increase from its first line on
-    first = heads.withColumn("n", F.monotonically_increasing_id()).groupBy("catalog_id").agg(F.min_by("value", F.struct("at", "n")).alias("head"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
-    broken = ~F.col("utf8")
-    found = F.coalesce(*[F.when(F.size(F.split("head", s, -1) if s != "|" else F.split("head", r"\|", -1)) >= 2, s) for s in SEPARATORS])
-    dialects = first.select("catalog_id", found.alias("sep"), F.when(broken, "ISO-8859-1").otherwise("utf-8").alias("encoding")).filter("sep IS NOT NULL").collect()
-    parts = []
-    for sep in SEPARATORS:
-        for encoding in ENCODINGS:
-            files = [d.catalog_id for d in dialects if (d.sep, d.encoding) == (sep, encoding)]
-            parts += [spark.read.csv(f, header=True, sep=sep, encoding=encoding, inferSchema=False).withColumn("catalog_id", F.col("_metadata.file_path")) for f in files]
+    first = lines.withColumn("n", F.monotonically_increasing_id()).groupBy("catalog_id").agg(F.min_by("value", F.struct("at", "n")).alias("head"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
+    bare = F.regexp_replace("head", '"[^"]*"', "")
+    sep = F.coalesce(*[F.when(bare.contains(s), s) for s in SEPARATORS])
+    return first.select("catalog_id", "head", sep.alias("sep"), F.when(F.col("utf8"), "utf-8").otherwise("ISO-8859-1").alias("encoding"), F.when(sep.isNull(), "FAILED").otherwise("OK").alias("status"))
+
+
+def read_catalog_csv(spark: SparkSession, *paths: str) -> DataFrame:
+    """CSV catalogs as text columns, catalog_id being the file's path. Files without a dialect have no rows (csv_dialects lists them).
+
+    Files of one header and dialect are one read, so the plan grows with the kinds of headers, not with the files;
+    a row per file reaches the driver.
+    """
+    kinds: dict[tuple, list[str]] = {}
+    for d in csv_dialects(spark, *paths).filter("sep IS NOT NULL").orderBy("catalog_id").collect():
+        kinds.setdefault((d.sep, d.encoding, d.head), []).append(d.catalog_id)
+    parts = [spark.read.csv(files, header=True, sep=sep, encoding=encoding, inferSchema=False).withColumn("catalog_id", F.col("_metadata.file_path")) for (sep, encoding, _), files in kinds.items()]
     if not parts:
         return spark.createDataFrame([], "catalog_id string")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -85,11 +92,10 @@ def apply_name_batches(products: DataFrame, responses: DataFrame, size: int = 50
     Products are numbered by product_id among those of their catalog without a name. Names that aren't text, are
     blank or missing leave null.
     """
-    from pyspark.sql import Window
-
     has = F.coalesce("normalized_name", F.lit("")) != ""
-    number = F.row_number().over(Window.partitionBy("catalog_id", has).orderBy("product_id")) - 1
-    df = products.withColumns({"__batch": F.when(~has, F.floor(number / size)), "__at": number % size})
+    number = F.col("__number") - 1
+    df = numbered(products.withColumn("__has", has), ["catalog_id", "__has"], [F.col("product_id")], "__number")
+    df = df.withColumns({"__batch": F.when(~F.col("__has"), F.floor(number / size)), "__at": (number % size).cast("int")}).drop("__number", "__has")
     names = responses.select(F.col("catalog_id"), F.col("batch").alias("__batch"), F.posexplode_outer(F.from_json("json", "array<string>")).alias("__at", "__name"))
     out = df.join(names, ["catalog_id", "__batch", "__at"], "left")
     return out.withColumn("normalized_name", F.when(has, F.col("normalized_name")).otherwise(F.nullif(F.trim("__name"), F.lit("")))).drop("__batch", "__at", "__name")

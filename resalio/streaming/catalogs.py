@@ -3,34 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import market as mkt
-from ..sources import sinks
 
+#: Parts of the products that are rewritten together.
+BUCKETS = 64
 
-def stream_market(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, files: int = 40) -> StreamingQuery:
-    """Each batch of files replaces the market rows of the products in it; a run that stops resumes after its last batch.
 
-    The target keeps one version per batch (batch=N); the newest is whole, so a batch that runs again writes the
-    same version again. Ends when no files are left.
+def stream_market(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, files: int = 40, buckets: int = BUCKETS) -> StreamingQuery:
+    """Each batch of files adds its listings; market rows are worked out anew for the buckets of products that it touches, from all their listings.
+
+    Under target, listings and market rows lie by batch and bucket; a bucket's newest market rows count, and only
+    touched buckets are written. A run that stops resumes after its last batch, and a batch that runs again writes
+    the same parts again. A batch whose predecessor is missing is an error. Ends when no files are left.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = mkt.market_analysis(batch)
-        if number:
-            before = read_market(spark, target, number - 1)
-            if before is not None:
-                new = sinks.upsert(before, new.select(*before.columns))
-        new.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        if number and not _written(spark, f"{target}/market/batch={number - 1}"):
+            raise RuntimeError(f"{target} lacks batch {number - 1}: the checkpoint and the target don't belong together")
+        own = batch.withColumn("bucket", F.pmod(F.xxhash64("product_id"), F.lit(buckets)).cast("int"))
+        own.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/listings/batch={number}")
+        touched = spark.read.parquet(f"{target}/listings/batch={number}").select("bucket").distinct()
+        known = spark.read.schema(f"{schema}, batch int, bucket int").parquet(f"{target}/listings").filter(F.col("batch") <= number)
+        # at most `buckets` values, and the names of parts that are read
+        known = known.filter(F.col("bucket").isin([r.bucket for r in touched.collect()]))
+        new = mkt.market_analysis(known.drop("batch", "bucket")).withColumn("bucket", F.pmod(F.xxhash64("product_id"), F.lit(buckets)).cast("int"))
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/market/batch={number}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_market(spark: SparkSession, target: str, number: int) -> DataFrame | None:
-    """The market rows after a batch; None if there is no such version."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/batch={number}/_SUCCESS")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    return spark.read.parquet(f"{target}/batch={number}")
+def read_market(spark: SparkSession, target: str, number: int | None = None) -> DataFrame:
+    """The market rows after a batch, the last one unless it is named: of each bucket those of its newest batch."""
+    rows = spark.read.parquet(f"{target}/market")
+    rows = rows if number is None else rows.filter(F.col("batch") <= number)
+    newest = rows.groupBy("bucket").agg(F.max("batch").alias("batch"))
+    return rows.join(newest, ["bucket", "batch"], "left_semi").drop("bucket", "batch")
+
+
+def _written(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from resalio.functions import price as P
 from resalio.functions import text as T
-from resalio.operators import finance, headers, market, matching, reports, rows, scoring
+from resalio.operators import finance, headers, market, matching, ordering, reports, rows, scoring
 from resalio.plans import catalogs
 from resalio.sources import feeds, sinks
 from resalio.streaming import catalogs as streaming
@@ -244,16 +244,57 @@ def test_sinks_and_reports(spark):
 
 def test_streamed_market_equals_batch(spark, tmp_path):
     rng = random.Random(2)
-    batches = [[listing(rng.randrange(5) + 5 * b, k, f"m{b}{k}", rng.randrange(5, 90)) for k in range(20)] for b in range(3)]
+    batches = [[listing(rng.randrange(7) + 3 * b, k, f"m{b}{k}", rng.randrange(5, 90)) for k in range(20)] for b in range(3)]  # products come in several batches
     for b in batches:
         spark.createDataFrame(b, LISTING).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    streaming.stream_market(spark, f"{tmp_path}/in", LISTING, f"{tmp_path}/out", f"{tmp_path}/cp", files=1).awaitTermination()
-    last = max(n for n in range(10) if streaming.read_market(spark, f"{tmp_path}/out", n) is not None)
+    run = lambda: streaming.stream_market(spark, f"{tmp_path}/in", LISTING, f"{tmp_path}/out", f"{tmp_path}/cp", files=1, buckets=4)
+    run().awaitTermination()
     key = lambda df: sorted((r.product_id, r.avg_price, r.total_listings_found) for r in df.collect())
-    assert key(streaming.read_market(spark, f"{tmp_path}/out", last)) == key(market.market_analysis(spark.createDataFrame(sum(batches, []), LISTING)))
+    want = key(market.market_analysis(spark.createDataFrame(sum(batches, []), LISTING)))
+    assert key(streaming.read_market(spark, f"{tmp_path}/out")) == want
+    last = spark.read.parquet(f"{tmp_path}/out/market").agg(F.max("batch")).first()[0]
     # a run again finds nothing new
-    streaming.stream_market(spark, f"{tmp_path}/in", LISTING, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-    assert streaming.read_market(spark, f"{tmp_path}/out", last + 1) is None
+    run().awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out/market").agg(F.max("batch")).first()[0] == last
+    # a batch whose predecessor is missing is an error
+    (tmp_path / "out" / "market" / f"batch={last}").rename(tmp_path / "gone")
+    spark.createDataFrame(batches[0], LISTING).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    with pytest.raises(Exception, match="lacks batch"):
+        run().awaitTermination()
+
+
+def test_catalogs_without_columns_fail(spark):
+    sheets = {"good": SHEET, "no cost": [["Produto", "SKU"], ["Luva", "1"]], "unknown": [["foo", "bar"], ["Luva", "1,00"]], "blank": [[None], [" "]]}
+    data = [(c, 0, "Plan1", k, cells) for c, sheet in sheets.items() for k, cells in enumerate(sheet)]
+    products, quality = catalogs.parse(spark.createDataFrame(data, feeds.RAW_ROWS).repartition(3))
+    assert {r.catalog_id: (r.confidence, r.total_rows_scanned) for r in quality.collect()} == {"good": ("PARTIAL", 9), "no cost": ("FAILED", 0), "unknown": ("FAILED", 0), "blank": ("FAILED", 0)}
+    assert {r.catalog_id for r in products.select("catalog_id").distinct().collect()} == {"good"}
+
+
+def test_csv_without_dialect_fails(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('"nome; completo",custo\n"x; y",1\n')
+    (tmp_path / "b.csv").write_text("nome\nx\n")
+    found = {r.catalog_id.rsplit("/", 1)[1]: (r.sep, r.status) for r in feeds.csv_dialects(spark, f"file://{tmp_path}/*.csv").collect()}
+    assert found == {"a.csv": (",", "OK"), "b.csv": (None, "FAILED")}
+    assert [(r["nome; completo"], r.custo) for r in feeds.read_catalog_csv(spark, f"file://{tmp_path}/*.csv").collect()] == [("x; y", "1")]
+
+
+def test_market_reads_listings_once(spark, sf):
+    from resalio.sources import driver
+
+    plan = market.market_analysis(driver.listings(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+
+
+def test_numbers_of_large_groups(spark):
+    rng = random.Random(4)
+    data = [("big" if rng.random() < 0.9 else "small", rng.randrange(50), k) for k in range(3000)]
+    df = spark.createDataFrame(data, "catalog_id string, x int, k int").repartition(5)
+    got = ordering.numbered(df, ["catalog_id"], [F.desc("x"), F.col("k")], "n").collect()
+    for c in ("big", "small"):
+        own = sorted((r for r in got if r.catalog_id == c), key=lambda r: (-r.x, r.k))
+        assert [r.n for r in own] == list(range(1, len(own) + 1))
+    assert ordering.numbered(df.limit(0), ["catalog_id"], [F.col("k")], "n").count() == 0
 
 
 def test_rows(spark):

@@ -6,7 +6,7 @@ import pytest
 
 from resalio import registry
 
-TABLES = "customer supplier part orders lineitem events documents pages benchmark".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark".split()
 SQL = registry.oracle_sql()
 
 
