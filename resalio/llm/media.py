@@ -3,8 +3,8 @@
 A payload is kept as a grayscale image: WIDTH samples a row, 8 bits each, in PNG (lossless; its header states width,
 height and depth). Each task writes the payloads of its rows to tar files of about SHARD bytes in the shared folder,
 each under its SHA-256 and only once a file; no payload is shuffled. Rows carry the shard, digest, offset and length
-of the member's bytes. Metadata columns come from a range read of the first HEAD bytes alone; features from the
-member's bytes. A shard is written whole or not at all, under a name that a retried task repeats.
+of the member's bytes. Metadata columns come from range reads of the first HEAD bytes alone; features, after that,
+from the members' bytes. A shard is written whole or not at all, under a name that a retried task repeats.
 """
 
 from __future__ import annotations
@@ -139,8 +139,9 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def _read(whole: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["width", "height", "depth", "payload_bytes", "payload_sha256", "tail_crc32", "media_sha256", "feature"]
-    kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.string(), pa.string()]
+    """Rows with what their members' first bytes tell, or what their whole bytes hold."""
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_sha256", "feature"] if whole else ["width", "height", "depth"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()] if whole else [pa.int64()] * 3
     file, at, known = None, None, {}
     for b in batches:
         found = []
@@ -155,34 +156,41 @@ def _read(whole: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
                     known.clear()
                 file.seek(offset)
                 data = file.read(length if whole else HEAD)
-                row = [*header(data[:HEAD])]
+                row = [] if whole else [*header(data)]
                 if whole:
                     samples = read_png(data)
                     payload, stored = samples.tobytes(), hashlib.sha256(data).hexdigest()
                     if stored != digest:
                         raise ValueError(f"{uri} at {offset}: the bytes are not those of {digest}")
-                    row += [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), stored, describe(samples)]
+                    row = [len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), stored, describe(samples)]
                 known[offset] = row
             found.append(known[offset])
-        more = [pa.array(c, k) for c, k in zip(zip(*found), kinds)] if found else [pa.array([], k) for k in (kinds if whole else kinds[:3])]
-        yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, *names[: len(more)]])
+        more = [pa.array(c, k) for c, k in zip(zip(*found), kinds)] if found else [pa.array([], k) for k in kinds]
+        yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, *names])
     if file:
         file.close()
 
 
 INDEX = "doc_id long, n_bytes long, shard string, digest string, offset long, length long"
+HEADER = "width long, height long, depth long"
+WHOLE = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string"
+
+
+def by_shard(index: DataFrame) -> DataFrame:
+    """The index dealt out by shards, each read from its start on: tasks share the payloads' bytes evenly, not the index's."""
+    return index.repartition("shard").sortWithinPartitions("shard", "offset")
 
 
 def metadata(index: DataFrame) -> DataFrame:
-    """The index with width, height and depth, of each member's first HEAD bytes alone."""
-    return index.mapInArrow(partial(_read, False), f"{INDEX}, width long, height long, depth long")
+    """The index with width, height and depth, of each member's first HEAD bytes alone: one range read a member."""
+    return index.mapInArrow(partial(_read, False), f"{INDEX}, {HEADER}")
 
 
-def features(index: DataFrame) -> DataFrame:
-    """The index with what the headers tell and what the stored bytes hold: payload_bytes, payload_sha256, tail_crc32, media_sha256, feature."""
-    return index.mapInArrow(partial(_read, True), f"{INDEX}, width long, height long, depth long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha256 string, feature string")
+def features(filled: DataFrame) -> DataFrame:
+    """The index with its metadata, and what the members' whole bytes hold: payload_bytes, payload_sha256, tail_crc32, media_sha256, feature."""
+    return filled.mapInArrow(partial(_read, True), f"{INDEX}, {HEADER}, {WHOLE}")
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = features(store(table(spark, sf_dir, "documents")))
+    found = features(metadata(by_shard(store(table(spark, sf_dir, "documents")))))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature", "width", "height")
