@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import materialize, new_folder
 
-__all__ = ["SPACES", "components", "forget", "held", "materialize", "new_folder", "open_store", "put", "small", "table", "texts", "writing"]
+__all__ = ["SPACES", "components", "forget", "held", "materialize", "new_folder", "open_store", "put", "small", "table", "texts", "unused", "writing"]
 
 #: ASCII white space; words are what stands between.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -63,6 +63,14 @@ def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), uri
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores after it where the table has such a column."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most so many: what a task makes of a batch is held at once."""
     for b in batches:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, materialize, small, table, texts
+from .common import forget, materialize, small, table, texts, unused
 
 DEPTH, MIN_DOCS, ALIKE = 3, 5, 0.7
 #: Words from which on a line recurs if it is in two documents word for word.
@@ -151,19 +151,22 @@ def keep(text: str | None, sigs, depth: int) -> tuple[str | None, int, int]:
     return "\n".join(out), sum(bool(p[0]) for p in parsed), len(lines) - len(out)
 
 
-def drop_recurring(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, alike: float = ALIKE) -> DataFrame:
-    """docs with recurring lines dropped from text: struct column `kept_lines` (text, n_lines, n_dropped) beside all other columns.
+def drop_recurring(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, alike: float = ALIKE, name: str = "kept_lines") -> DataFrame:
+    """docs with recurring lines dropped from text: struct column `name` (text, n_lines, n_dropped) beside all other columns.
 
     Null texts stay null, empty ones empty. Rows with a null doc_id keep all lines; rows that share a doc_id
-    count as one document, and so do rows that share a text. An empty table gives no rows.
+    count as one document, and so do rows that share a text. An empty table gives no rows. The result is the last
+    column; where docs has one of its name, underscores follow the name.
     """
 
     def cut(text: pd.Series, sigs: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([keep(t, s, depth) for t, s in zip(text, sigs)], columns=["text", "n_lines", "n_dropped"])
 
-    gone = recurring(docs, depth, min_docs, alike).select(F.col("same").alias("__same"), F.col("sigs").alias("__sigs"))
-    both = docs.join(gone, F.col("doc_id").isNotNull() & (F.xxhash64("text") == F.col("__same")), "left")
-    return both.withColumn("kept_lines", F.pandas_udf(cut, "text string, n_lines long, n_dropped long")("text", "__sigs")).drop("__same", "__sigs")
+    name = unused(docs, name)
+    same, sigs = unused(docs, "same_of_sigs"), unused(docs, "sigs_of_same")
+    gone = recurring(docs, depth, min_docs, alike).select(F.col("same").alias(same), F.col("sigs").alias(sigs))
+    both = docs.join(gone, F.col("doc_id").isNotNull() & (F.xxhash64("text") == F.col(same)), "left")
+    return both.withColumn(name, F.pandas_udf(cut, "text string, n_lines long, n_dropped long")("text", sigs)).drop(same, sigs)
 
 
 def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, texts
+from .common import materialize, table, texts, unused
 
 WIDTH = 13
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -145,20 +145,22 @@ def cut(text: str | None, spans, width: int) -> tuple[int, int, str]:
     return len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist()) if not g]).decode("utf-8", "surrogatepass")
 
 
-def drop_repeated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs with a struct column `kept_words` (n_words, n_removed, text: the words left, joined by spaces) beside its own.
+def drop_repeated(docs: DataFrame, width: int = WIDTH, name: str = "kept_words") -> DataFrame:
+    """docs with a struct column `name` (n_words, n_removed, text: the words left, joined by spaces) beside its own.
 
     Null and empty texts have no words. Rows that share a doc_id are one document to others; each is cut by the
     windows of all of them. Rows with a null doc_id neither give nor lose windows. An empty table gives no rows.
-    width: 2 to 39 words.
+    width: 2 to 39 words. The result is the last column; where docs has one of its name, underscores follow the name.
     """
 
     def words(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([cut(t, s, width) for t, s in zip(text, spans)], columns=["n_words", "n_removed", "text"])
 
-    found = repeated(docs, width).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
-    both = docs.join(found, F.col("doc_id") == F.col("__id"), "left")
-    return both.withColumn("kept_words", F.pandas_udf(words, "n_words long, n_removed long, text string")("text", "__spans")).drop("__id", "__spans")
+    name = unused(docs, name)
+    id_, spans = unused(docs, "id_of_spans"), unused(docs, "spans_of_id")
+    found = repeated(docs, width).select(F.col("doc_id").alias(id_), F.col("spans").alias(spans))
+    both = docs.join(found, F.col("doc_id") == F.col(id_), "left")
+    return both.withColumn(name, F.pandas_udf(words, "n_words long, n_removed long, text string")("text", spans)).drop(id_, spans)
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,7 +187,7 @@ def test_substrings(docs, none):
 
 
 def test_media(docs, none):
-    rows = media.features(media.store(docs)).collect()
+    rows = media.features(media.metadata(media.by_shard(media.store(docs)))).collect()
     want = sorted(hashlib.sha256(media.pad(plain(r[1]).encode())).hexdigest() for r in corpus())
     assert sorted(r.payload_sha256 for r in rows) == want
     for r in rows:
@@ -214,13 +214,13 @@ def test_personal_data(docs, none):
     parts = ["a@b.c", "+d@e.f", "1.2.3.4", "256.1.1.1", ".5", " ", "+1 (555) 555-1234", "4111 1111 1111 1111", "12 ", "-", "@", "x", "é", "1", "+"]
     for t in ["".join(rng.choice(parts) for _ in range(rng.randrange(10))) for _ in range(5000)]:
         assert [(pii.KINDS[k], a, b) for k, a, b in pii.base_spans(t)] == naive_spans(t)
-    rows = pii.detect(docs.withColumnRenamed("pii", "other")).select("doc_id", "text", "pii.*").collect()
+    rows = pii.detect(docs).select("doc_id", "text", "pii_.*").collect()
     assert len(rows) == len(corpus())
     for r in rows:
         base = [(s.kind, s.start, s.end) for s in r.base]
         assert base == naive_spans(plain(r.text)) and set(base) <= {(s.kind, s.start, s.end) for s in r.spans}
         assert (r.redacted is None) == (r.text is None)
-    assert pii.detect(none.drop("pii")).count() == 0
+    assert pii.detect(none).count() == 0
     assert len(pii.base_spans("a" * 200_000 + "@" + "1" * 200_000)) == 0
 
 
