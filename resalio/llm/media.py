@@ -177,8 +177,10 @@ WHOLE = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_sha25
 
 
 def by_shard(index: DataFrame) -> DataFrame:
-    """The index dealt out by shards, each read from its start on: tasks share the payloads' bytes evenly, not the index's."""
-    return index.repartition("shard").sortWithinPartitions("shard", "offset")
+    """The index dealt out by shards, each read from its start on: tasks share the payloads' bytes evenly, not the index's, by which Spark would join them."""
+    spark = index.sparkSession
+    width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return index.repartition(width, "shard").sortWithinPartitions("shard", "offset")
 
 
 def metadata(index: DataFrame) -> DataFrame:
