@@ -134,24 +134,28 @@ def market_analysis(listings: DataFrame) -> DataFrame:
     counts, so a product's listings meet as its distinct prices and sellers.
     """
     types = {f.name: f.dataType for f in listings.schema}
-    score = F.col("match_score").cast("decimal(10,4)") if "match_score" in types else F.lit(None).cast("decimal(10,4)")
-    facts = {"one": F.lit(1), "sold": F.col("sold_quantity"), "fee": F.col("ml_fee_pct"), "free": F.coalesce(F.col("free_shipping").cast("int"), F.lit(0)), "score": score}
+    # sums of whole numbers: cents, hundredths of percentages, ten-thousandths of scores
+    facts = {"one": F.lit(1).cast("long"), "sold": F.col("sold_quantity").cast("long"), "fee": (F.col("ml_fee_pct") * 100).cast("long"), "free": F.coalesce(F.col("free_shipping").cast("long"), F.lit(0).cast("long"))}
+    if "match_score" in types:
+        facts["score"] = F.round(F.col("match_score") * 10000).cast("long")
     priced = F.struct(F.col("price"), F.lit(None).cast(types["seller_id"]).alias("seller_id"), *[v.alias(k) for k, v in facts.items()])
-    sold_by = F.struct(F.lit(None).cast(types["price"]).alias("price"), F.nullif("seller_id", F.lit(0).cast(types["seller_id"])).alias("seller_id"), *[F.nullif(v, v).alias(k) for k, v in facts.items()])
-    sums = [F.sum(k).alias(k) for k in facts] + [F.count(k).alias(f"n_{k}") for k in ("fee", "score")]
+    sold_by = F.struct(F.lit(None).cast(types["price"]).alias("price"), F.nullif("seller_id", F.lit(0).cast(types["seller_id"])).alias("seller_id"), *[F.lit(None).cast("long").alias(k) for k in facts])
+    known = [k for k in ("fee", "score") if k in facts]
+    sums = [F.sum(k).alias(k) for k in facts] + [F.count(k).alias(f"n_{k}") for k in known]
     counts = listings.select("product_id", F.inline(F.array(priced, sold_by))).groupBy("product_id", "price", "seller_id").agg(*sums)
     counts = price_places(counts.withColumn("c", F.when(F.col("price").isNotNull(), F.col("one")).otherwise(0)))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    value = F.sum(F.col("price") * F.col("one").cast("decimal(18,0)"))
     found = counts.groupBy("product_id").agg(
-        F.count("seller_id").alias("total_sellers"), total("one").alias("total_listings_found"), total("sold").alias("total_sold_quantity"), F.sum("c").alias("n_priced"), value.alias("value"),
-        F.sum("fee").alias("fee"), F.sum("n_fee").alias("n_fee"), F.sum("score").alias("score"), F.sum("n_score").alias("n_score"), total("free").alias("free"), *price_aggregates(),
+        F.count("seller_id").alias("total_sellers"), total("one").alias("total_listings_found"), total("sold").alias("total_sold_quantity"), F.sum("c").alias("n_priced"), F.sum((F.col("price") * 100).cast("long") * F.col("one")).alias("value"),
+        total("free").alias("free"), *[F.sum(k).alias(k) for k in known], *[F.sum(f"n_{k}").alias(f"n_{k}") for k in known], *price_aggregates(),
     )
-    n, of = F.col("total_listings_found"), lambda a, b: F.try_divide(F.col(a).cast("decimal(30,4)"), F.col(b).cast("decimal(20,0)"))
+    n = F.col("total_listings_found")
+    of = lambda a, b, unit: F.try_divide(F.col(a).cast("decimal(20,0)") * F.lit(unit).cast("decimal(5,4)"), F.col(b).cast("decimal(14,0)"))
+    sure = of("score", "n_score", "0.0001") if "score" in facts else F.lit(None)
     return found.filter("n_priced > 0").select(
         "product_id", "total_sellers", "total_listings_found", n.alias("listings_above_threshold"), F.floor(F.col("total_sold_quantity") / n).cast("long").alias("avg_sold_quantity"), "total_sold_quantity",
-        F.bround(of("score", "n_score"), 3).cast("decimal(4,3)").alias("avg_match_confidence"), F.bround(of("fee", "n_fee"), 2).cast("decimal(5,2)").alias("avg_ml_fee_pct"),
-        F.bround((F.col("free") * 100).cast("decimal(20,0)") / n.cast("decimal(20,0)"), 2).cast("decimal(5,2)").alias("free_shipping_pct"), of("value", "n_priced").alias("mean_price"), *[v.alias(k) for k, v in prices().items()],
+        F.bround(sure, 3).cast("decimal(4,3)").alias("avg_match_confidence"), F.bround(of("fee", "n_fee", "0.01"), 2).cast("decimal(5,2)").alias("avg_ml_fee_pct"),
+        F.bround((F.col("free") * 100).cast("decimal(20,0)") / n.cast("decimal(14,0)"), 2).cast("decimal(5,2)").alias("free_shipping_pct"), of("value", "n_priced", "0.01").alias("mean_price"), *[v.alias(k) for k, v in prices().items()],
     ).withColumn("price_skewed", price_skew_flag())
 
 
