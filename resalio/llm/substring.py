@@ -1,21 +1,22 @@
 """Substring dedup by levels of windows.
 
 A window of `width` words is gone from a document if the same words also start in a document with a smaller doc_id.
-Level 1 looks at half windows (two of them, one word shared at most, make a window). Of the half windows in each
-window only the one with the least hash stands for it (equal windows have the same one), so about a quarter of all
-places is counted; a half window seen once ends there. Level 2 doubles: the windows that share a half window form a
-neighbourhood of up to three halves; where all neighbourhoods of a half window are equal, all its windows are, and
-the least doc_id has them first. Only where neighbourhoods differ, the windows themselves are compared, level 3.
-Rows carry 64-bit hashes and places; each level counts by partial aggregation and finds its rows again by a join,
-whose hot keys Spark can split. Texts are shuffled by doc_id twice: for open windows and for the cut.
+Levels look at runs of `first` words, then of twice as many, and so on up to the window itself. At each level the run
+with the least hash stands for the windows that hold it (equal windows have the same one), so only a part of all
+places is counted. A run met once ends there. Otherwise the windows it stands for form a neighbourhood: where all
+neighbourhoods of a run are equal, all its windows are, and the least doc_id has them first; where they differ, the
+first document of each goes on to runs of twice the length, and the others lose its windows. The loop ends when no
+windows are left, at the latest with runs as long as the window, whose neighbourhood is the window alone.
 
-Window hashes are 64 bits beside the half window's own 64.
+Rows carry 64-bit hashes and places; each level counts by partial aggregation and finds its rows again by a join,
+whose hot keys Spark can split. Texts are shuffled by doc_id for windows that go on, and for the cut.
+A window is known by the hash of its run and that of its words, 64 bits each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -24,10 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, texts, unused
+from .common import materialize, small, table, texts, unused
 
-WIDTH = 13
-BASE = 0x9E3779B97F4A7C15 | 1
+WIDTH, FIRST = 13, 4
+#: Odd multipliers: of runs, and of neighbourhoods, so that a window's two hashes are independent.
+RUN, NEAR = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -37,99 +39,94 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def powers(n: int) -> np.ndarray:
-    out = np.full(n, BASE, np.uint64)
+def powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
     out[:1] = 1
     return np.multiply.accumulate(out)
 
 
 class Windows:
-    """The hashes of a document's words, windows and half windows."""
+    """The hashes of a document's words and of runs of them."""
 
     def __init__(self, words: list[bytes], width: int) -> None:
-        self.width, self.half = width, (width + 2) // 2
-        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-        self.h, self.up = h, powers(max(3 * width, 1))
-        self.halves = self.ranges(np.arange(len(words) - self.half + 1), self.half)
-
-    def ranges(self, at: np.ndarray, n: int) -> np.ndarray:
-        """Hashes of the n words from each place on."""
-        total = np.zeros(len(at), np.uint64)
-        for k in range(n):
-            total += self.h[at + k] * self.up[k]
-        return mixed(total + np.uint64(n))
-
-    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Half windows that stand for windows: their place, the first window of each and how many follow it."""
-        n = self.width - self.half + 1
-        view = np.lib.stride_tricks.sliding_window_view(self.halves, n)
-        at = view.argmin(axis=1) + np.arange(len(view))
-        new = np.append(True, at[1:] != at[:-1])
-        first = np.nonzero(new)[0]
-        return at[first], first, np.diff(np.append(first, len(at))) - 1
+        self.width = width
+        self.h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        self.up, self.far = powers(width, RUN), powers(2 * width, NEAR)
+
+    def runs(self, length: int) -> np.ndarray:
+        """Hashes of all runs of so many words."""
+        total = np.zeros(max(len(self.h) - length + 1, 0), np.uint64)
+        for k in range(length):
+            total += self.h[k : k + len(total)] * self.up[k]
+        return mixed(total + np.uint64(length))
+
+    def anchors(self, length: int, windows: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Runs that stand for the windows (ascending; None: all): hash, place, first window of each and how many follow it."""
+        runs = self.runs(length)
+        view = np.lib.stride_tricks.sliding_window_view(runs, self.width - length + 1)
+        windows = np.arange(len(view)) if windows is None else windows[windows < len(view)]  # a row may be shorter than another of its doc_id
+        at = view[windows].argmin(axis=1) + windows
+        start = np.nonzero(np.append(True, (at[1:] != at[:-1]) | (windows[1:] != windows[:-1] + 1))[: len(at)])[0]
+        return runs[at[start]], at[start], windows[start], np.diff(np.append(start, len(at))) - 1
 
     def neighbourhoods(self, at: np.ndarray, first: np.ndarray, more: np.ndarray) -> np.ndarray:
-        """Hashes of all words of the windows that each half window stands for, and where it is in them."""
+        """Hashes of all words of the windows that each run stands for, and where it is in them."""
         size = more + self.width
         total = np.zeros(len(at), np.uint64)
         for k in range(int(size.max(initial=0))):
             on = size > k
-            total[on] += self.h[first[on] + k] * self.up[k]
+            total[on] += self.h[first[on] + k] * self.far[k]
         return mixed(total ^ mixed(((at - first) * 64 + more).astype(np.uint64)))
 
 
-def _halves(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _level(width: int, length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of a level over documents (doc_id, text, and past the first level the spans of windows that go on)."""
     with np.errstate(over="ignore"):
-        for b in batches:
-            for part in (b.slice(k, 500) for k in range(0, b.num_rows, 500)):
-                ids, columns = [], []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    words = text.encode("utf-8", "surrogatepass").split()
-                    if len(words) >= width:
-                        w = Windows(words, width)
-                        at, first, more = w.anchors()
-                        ids.append(np.full(len(at), doc_id))
-                        columns.append((w.halves[at].view(np.int64), w.neighbourhoods(at, first, more).view(np.int64), first * 64 + more))
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, *zip(*columns))], ["doc_id", "half", "near", "span"])
-
-
-def _windows(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of the half windows that were left open."""
-    with np.errstate(over="ignore"):
-        for b in batches:
-            out: list[tuple] = []
-            for doc_id, text, spans in zip(*(b.column(k).to_pylist() for k in range(3))):
-                w = Windows(text.encode("utf-8", "surrogatepass").split(), width)
-                spans = np.array(spans, np.int64)
-                first, more = spans >> 6, spans & 63
-                at = np.repeat(first, more + 1) + np.arange((more + 1).sum()) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
-                n = w.width - w.half + 1
-                where = np.lib.stride_tricks.sliding_window_view(w.halves, n)[at].argmin(axis=1) + at
-                out.append((np.full(len(at), doc_id), w.halves[where].view(np.int64), w.ranges(at, width).view(np.int64), at * 64))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["doc_id", "half", "near", "span"])
-
-
-def repeated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+        for part in small(batches):
+            ids, columns = [], []
+            for doc_id, text, *spans in zip(*(c.to_pylist() for c in part.columns)):
+                words = text.encode("utf-8", "surrogatepass").split()
+                if len(words) >= width:
+                    w = Windows(words, width)
+                    run, at, first, more = w.anchors(length, opened(spans[0]) if spans else None)
+                    ids.append(np.full(len(at), doc_id))
+                    columns.append((run.view(np.int64), w.neighbourhoods(at, first, more).view(np.int64), first * 64 + more))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, *zip(*columns))], ["doc_id", "run", "near", "span"])
+
+
+def opened(spans: list[int]) -> np.ndarray:
+    """The windows of spans, ascending, each once."""
+    spans = np.asarray(spans, np.int64)
+    first, count = spans >> 6, (spans & 63) + 1
+    return np.unique(np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum()))
+
+
+def repeated(docs: DataFrame, width: int = WIDTH, first: int = FIRST) -> DataFrame:
     """(doc_id, spans): per document the runs of windows that start in a smaller document too, as first * 64 + further windows."""
     given = texts(docs).filter("doc_id IS NOT NULL")
-    schema = "doc_id long, half long, near long, span long"
-    halves = given.mapInArrow(partial(_halves, width), schema)
-    seen = halves.groupBy("half").agg(F.count("*").alias("times"), F.min("doc_id").alias("first"), F.min("near").alias("a"), F.max("near").alias("b")).filter("times > 1")
-    # written first: then both sides of the join are dealt out for it alone, and Spark can split a hot half window
-    seen = materialize(seen.select("half", "first", (F.col("a") != F.col("b")).alias("apart")), "seen")
-    met = materialize(halves.join(seen, "half").filter("apart OR doc_id > first"), "halves")
-    same = met.filter("NOT apart").select("doc_id", "span")
-    apart = met.filter("apart")
-    least = materialize(apart.groupBy("half", "near").agg(F.min("doc_id").alias("least")), "least")
-    settled = materialize(apart.drop("first", "apart").join(least, ["half", "near"]), "neighbourhoods")
-    again = settled.filter("doc_id > least").select("doc_id", "span")
-    left = settled.filter("doc_id = least").groupBy("doc_id").agg(F.collect_list("span").alias("spans"))  # as many as a document has
-    open_ = materialize(given.join(left, "doc_id").select("doc_id", "text", "spans").mapInArrow(partial(_windows, width), schema), "windows")
-    firsts = materialize(open_.groupBy("half", "near").agg(F.min("doc_id").alias("least")), "firsts")
-    found = open_.join(firsts, ["half", "near"]).filter("doc_id > least").select("doc_id", "span")
-    return same.unionAll(again).unionAll(found).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+    schema = "doc_id long, run long, near long, span long"
+    length, texts_, gone = min(first, width), given, []
+    while True:
+        runs = texts_.mapInArrow(partial(_level, width, length), schema)
+        if gone:
+            runs = materialize(runs, "runs")
+        seen = runs.groupBy("run").agg(F.count("*").alias("times"), F.min("doc_id").alias("first"), F.min("near").alias("a"), F.max("near").alias("b")).filter("times > 1")
+        # written first: then both sides of the join are dealt out for it alone, and Spark can split a hot run
+        seen = materialize(seen.select("run", "first", (F.col("a") != F.col("b")).alias("apart")), "seen")
+        met = materialize(runs.join(seen, "run").filter("apart OR doc_id > first"), "met")
+        gone.append(met.filter("NOT apart").select("doc_id", "span"))
+        apart = met.filter("apart").select("doc_id", "run", "near", "span")
+        least = materialize(apart.groupBy("run", "near").agg(F.min("doc_id").alias("least")), "least")
+        settled = materialize(apart.join(least, ["run", "near"]), "neighbourhoods")
+        gone.append(settled.filter("doc_id > least").select("doc_id", "span"))
+        on = settled.filter("doc_id = least")
+        if length == width or on.isEmpty():
+            break
+        length = min(2 * length, width)
+        on = on.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))  # as many as a document has
+        texts_ = given.join(on, "doc_id").select("doc_id", "text", "spans")
+    return reduce(DataFrame.unionAll, gone).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
 
 
 def cut(text: str | None, spans, width: int) -> tuple[int, int, str]:
@@ -150,7 +147,7 @@ def drop_repeated(docs: DataFrame, width: int = WIDTH, name: str = "kept_words")
 
     Null and empty texts have no words. Rows that share a doc_id are one document to others; each is cut by the
     windows of all of them. Rows with a null doc_id neither give nor lose windows. An empty table gives no rows.
-    width: 2 to 39 words. The result is the last column; where docs has one of its name, underscores follow the name.
+    width: 2 to 60 words. The result is the last column; where docs has one of its name, underscores follow the name.
     """
 
     def words(text: pd.Series, spans: pd.Series) -> pd.DataFrame:

@@ -177,7 +177,7 @@ def test_substrings(docs, none):
             out[i] = len(w), sum(gone), b" ".join(x for x, g in zip(w, gone) if not g).decode()
         return out
 
-    for width in (13, 6):
+    for width in (13, 6, 3):
         want = brute([r[:2] for r in corpus()], width)
         got = substring.drop_repeated(docs, width).select("doc_id", "kept_words.*", "pii").collect()
         assert len(got) == len(corpus())
@@ -186,6 +186,32 @@ def test_substrings(docs, none):
     assert substring.drop_repeated(none).count() == 0
 
 
+def test_substrings_at_every_level(spark):
+    """Runs of 4 and of 8 words that differ outside, and windows: each first length gives brute force's windows."""
+    rng = random.Random(8)
+    run = [rng.choice(WORDS) + str(k) for k in range(40)]
+    rows = []
+    for k in range(60):
+        words = []
+        while len(words) < 80:
+            at, n = rng.randrange(30), rng.choice((3, 4, 5, 8, 9, 12, 13, 16))
+            words += run[at : at + n] + [rng.choice("abc")] * rng.randrange(3)
+        rows.append((k, " ".join(words)))
+    first, want = {}, {}
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), i)
+        want[i] = {k for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert 0 < sum(map(len, want.values())) < 2500
+    for length in (1, 4, 7, 13):
+        got = {r.doc_id: {(s >> 6) + m for s in r.spans for m in range((s & 63) + 1)} for r in substring.repeated(docs, 13, length).collect()}
+        assert all(got.get(i, set()) == want[i] for i in want)
+    uneven = spark.createDataFrame([(1, rows[0][1]), (5, rows[1][1]), (5, " ".join(run[:14])), (5, "a"), (7, rows[1][1])], "doc_id long, text string")
+    assert substring.drop_repeated(uneven).count() == 5
+
+
 def test_media(docs, none):
     rows = media.features(media.metadata(media.by_shard(media.store(docs)))).collect()
     want = sorted(hashlib.sha256(media.pad(plain(r[1]).encode())).hexdigest() for r in corpus())
