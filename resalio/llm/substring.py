@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import materialize, small, table, texts, unused
 
 WIDTH, FIRST = 13, 4
+#: Words whose hashes are worked out together, beside a longer document's own.
+WORDS = 20_000
 #: Odd multipliers: of runs, and of neighbourhoods, so that a window's two hashes are independent.
 RUN, NEAR = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
@@ -46,60 +48,84 @@ def powers(n: int, base: int) -> np.ndarray:
 
 
 class Windows:
-    """The hashes of a document's words and of runs of them."""
+    """The words of documents in a row and the hashes of ranges of them, each a difference of two sums from the first word on."""
 
-    def __init__(self, words: list[bytes], width: int) -> None:
+    def __init__(self, texts_: list[list[bytes]], width: int) -> None:
         self.width = width
-        self.h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-        self.up, self.far = powers(width, RUN), powers(2 * width, NEAR)
+        sizes = np.fromiter(map(len, texts_), np.int64, len(texts_))
+        self.start = np.cumsum(sizes) - sizes
+        self.windows = np.maximum(sizes - width + 1, 0)
+        words = [w for text in texts_ for w in text]
+        hashes = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
+        h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+        self.sums, self.back = {}, {}
+        for base in (RUN, NEAR):
+            self.sums[base] = np.append(np.uint64(0), np.cumsum(h * powers(len(h), base)))
+            self.back[base] = powers(len(h), pow(base, -1, 1 << 64))
 
     def runs(self, length: int) -> np.ndarray:
         """Hashes of all runs of so many words."""
-        total = np.zeros(max(len(self.h) - length + 1, 0), np.uint64)
-        for k in range(length):
-            total += self.h[k : k + len(total)] * self.up[k]
-        return mixed(total + np.uint64(length))
-
-    def anchors(self, length: int, windows: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Runs that stand for the windows (ascending; None: all): hash, place, first window of each and how many follow it."""
+        total = self.sums[RUN][length:] - self.sums[RUN][:-length]
+        return mixed(total * self.back[RUN][: len(total)] + np.uint64(length))
+
+    def places(self, spans: list[list[int]] | None) -> np.ndarray:
+        """Windows of each document's spans (None: all windows), ascending, each once; none that a document is too short for."""
+        if spans is None:
+            first, count, text = self.start, self.windows, None
+        else:
+            flat = np.concatenate([np.asarray(s, np.int64) for s in spans])
+            text = np.repeat(np.arange(len(spans)), np.fromiter(map(len, spans), np.int64, len(spans)))
+            first, count = flat >> 6, np.minimum((flat & 63) + 1, self.windows[text] - (flat >> 6))
+            first, count = (first + self.start[text])[count > 0], count[count > 0]
+        out = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        return out if spans is None else np.unique(out)
+
+    def anchors(self, length: int, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Runs that stand for the windows: hash, place, first window of each and how many follow it."""
         runs = self.runs(length)
         view = np.lib.stride_tricks.sliding_window_view(runs, self.width - length + 1)
-        windows = np.arange(len(view)) if windows is None else windows[windows < len(view)]  # a row may be shorter than another of its doc_id
         at = view[windows].argmin(axis=1) + windows
-        start = np.nonzero(np.append(True, (at[1:] != at[:-1]) | (windows[1:] != windows[:-1] + 1))[: len(at)])[0]
+        start = np.nonzero(np.append(True, (at[1:] != at[:-1]) | (windows[1:] != windows[:-1] + 1)))[0]
         return runs[at[start]], at[start], windows[start], np.diff(np.append(start, len(at))) - 1
 
     def neighbourhoods(self, at: np.ndarray, first: np.ndarray, more: np.ndarray) -> np.ndarray:
         """Hashes of all words of the windows that each run stands for, and where it is in them."""
-        size = more + self.width
-        total = np.zeros(len(at), np.uint64)
-        for k in range(int(size.max(initial=0))):
-            on = size > k
-            total[on] += self.h[first[on] + k] * self.far[k]
+        total = (self.sums[NEAR][first + more + self.width] - self.sums[NEAR][first]) * self.back[NEAR][first]
         return mixed(total ^ mixed(((at - first) * 64 + more).astype(np.uint64)))
 
 
+def _runs(width: int, length: int, ids: list[int], texts_: list[list[bytes]], spans: list[list[int]]) -> pa.RecordBatch | None:
+    w = Windows(texts_, width)
+    windows = w.places(spans or None)
+    if not len(windows):
+        return None
+    run, at, first, more = w.anchors(length, windows)
+    text = np.searchsorted(w.start, first, "right") - 1
+    columns = np.array(ids, np.int64)[text], run.view(np.int64), w.neighbourhoods(at, first, more).view(np.int64), (first - w.start[text]) * 64 + more
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "run", "near", "span"])
+
+
 def _level(width: int, length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of a level over documents (doc_id, text, and past the first level the spans of windows that go on)."""
+    """Runs of a level over documents (doc_id, text, and past the first level the spans of windows that go on), some thousands of words at a time."""
+    ids, texts_, spans, held_ = [], [], [], 0
     with np.errstate(over="ignore"):
         for part in small(batches):
-            ids, columns = [], []
-            for doc_id, text, *spans in zip(*(c.to_pylist() for c in part.columns)):
+            for doc_id, text, *open_ in zip(*(c.to_pylist() for c in part.columns)):
                 words = text.encode("utf-8", "surrogatepass").split()
-                if len(words) >= width:
-                    w = Windows(words, width)
-                    run, at, first, more = w.anchors(length, opened(spans[0]) if spans else None)
-                    ids.append(np.full(len(at), doc_id))
-                    columns.append((run.view(np.int64), w.neighbourhoods(at, first, more).view(np.int64), first * 64 + more))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, *zip(*columns))], ["doc_id", "run", "near", "span"])
-
-
-def opened(spans: list[int]) -> np.ndarray:
-    """The windows of spans, ascending, each once."""
-    spans = np.asarray(spans, np.int64)
-    first, count = spans >> 6, (spans & 63) + 1
-    return np.unique(np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum()))
+                if len(words) < width:
+                    continue
+                ids.append(doc_id)
+                texts_.append(words)
+                spans.extend(open_)
+                held_ += len(words)
+                if held_ >= WORDS:
+                    out = _runs(width, length, ids, texts_, spans)
+                    if out:
+                        yield out
+                    ids, texts_, spans, held_ = [], [], [], 0
+        out = _runs(width, length, ids, texts_, spans) if ids else None
+        if out:
+            yield out
 
 
 def repeated(docs: DataFrame, width: int = WIDTH, first: int = FIRST) -> DataFrame:
