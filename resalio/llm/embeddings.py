@@ -7,6 +7,11 @@ its nearest centres, as many as find 99.9 % of the sample's own links. A list's
 of the query's residual; by the triangle inequality none is passed over whose distance less its codes' error is
 within reach. What is left is compared by exact cosine in double precision.
 
+The sample bounds the first lists, so a list of over LEAF rows is parted in turn, level by level, by centres fitted on
+rows of its own: lists grow in number with the table. A query that visits a list goes on to those of its parts whose
+border with its nearest part is near enough to find 99.9 % of the list's own links. A list of which most queries would
+visit most parts (one dense group) stays whole.
+
 Lists and their queries are dealt to cells of about CELL rows each, so that no list, however large, meets in one
 task. A cell returns a row per representative at most: how many rows it links to, and the least one it is tied to.
 """
@@ -19,7 +24,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, materialize, table
@@ -27,6 +32,10 @@ from .common import components, materialize, table
 COSINE, SAMPLE, CELL = 0.9, 12_288, 1024
 SUBSPACES, CODES, FOUND = 8, 64, 0.999
 LEAST_PROBES, MOST_LISTS = 4, 768
+#: Rows above which a list is parted; its parts at most; its rows that these are fitted on; links of theirs from which on they tell how far to look.
+LEAF, BRANCH, OWN_SAMPLE, ENOUGH_LINKS = 4096, 64, 2048, 1000
+#: A list's number: its part among all parts of its level, times DEPTHS, plus its level, times TOPS, plus its first list.
+DEPTHS, TOPS = 8, 1024
 SEED = 7
 
 
@@ -112,7 +121,65 @@ def _place(index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         x = unit(b.column(2).to_pylist(), ix.width)
         probes = nearest(x, ix.centres, ix.probes)
         codes, miss = ix.code(x - ix.centres[probes[:, 0]])
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(probes[:, 0], pa.int32()), pa.array(probes.tolist(), pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(miss)], ["rep", "n", "embedding", "home", "probes", "codes", "miss"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(probes[:, 0], pa.int64()), pa.array(probes.tolist(), pa.list_(pa.int64())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(miss)], ["rep", "n", "embedding", "home", "probes", "codes", "miss"])
+
+
+def borders(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row, and how far the row is from the border between that one's part and each other's."""
+    d = (x * x).sum(1)[:, None] - 2 * (x @ centres.T) + (centres * centres).sum(1)
+    first = d.argmin(1)
+    apart = np.linalg.norm(centres[:, None] - centres[None], axis=2)
+    return first, (d - np.take_along_axis(d, first[:, None], 1)) / np.maximum(2 * apart[first], 1e-12)
+
+
+def _part(index, leaf: int, group: pd.DataFrame) -> pd.DataFrame:
+    """Centres of a list's parts from rows of its own, and how far across borders to look; no row if that would be nearly everywhere."""
+    ix, x = index.value, unit(group.embedding.tolist(), index.value.width)
+    centres = means(x, min(BRANCH, -(-int(group["rows"].iloc[0]) // leaf)))
+    first, far = borders(x, centres)
+    y = x.astype(np.float32)
+    i, j = np.nonzero(np.triu(y @ y.T >= ix.cosine, 1))
+    # two rows within reach lie on both sides of a border: one of them is within half of it
+    look = min(ix.reach, float(np.quantile(np.concatenate((far[i, first[j]], far[j, first[i]])), FOUND))) if len(i) >= ENOUGH_LINKS else ix.reach / 2
+    if (far <= look).mean() > 0.5:
+        return pd.DataFrame({"list": [], "centres": [], "look": []}, dtype=object)
+    return pd.DataFrame({"list": [group.home.iloc[0]], "centres": [centres.ravel()], "look": [look]})
+
+
+def _visit(index, group: pd.DataFrame) -> pd.DataFrame:
+    """The parts of a list that its visitors go on to, their nearest first."""
+    told, rows = group[group.centres.notna()], group[group.centres.isna()]
+    if told.empty or rows.empty:
+        return pd.DataFrame({"rep": [], "list": [], "parts": []}, dtype=object)
+    at, centres = int(group.list.iloc[0]), np.asarray(told.centres.iloc[0]).reshape(-1, index.value.width)
+    first, far = borders(unit(rows.embedding.tolist(), index.value.width), centres)
+    np.put_along_axis(far, first[:, None], -1.0, 1)
+    top, level, path = at % TOPS, at // TOPS % DEPTHS, at // TOPS // DEPTHS
+    number = lambda k: ((path * (BRANCH + 1) + k + 1) * DEPTHS + level + 1) * TOPS + top
+    parts = [[number(int(k)) for k in f.argsort(kind="stable")[: int((f <= told.look.iloc[0]).sum())]] for f in far]
+    return pd.DataFrame({"rep": rows.rep.to_numpy(), "list": at, "parts": parts})
+
+
+def grow(placed: DataFrame, index, leaf: int = LEAF) -> DataFrame:
+    """Part lists of over `leaf` rows, and send their visitors on to the parts, level by level until none is left to part."""
+    for level in range(DEPTHS - 1):
+        large = placed.groupBy("home").agg(F.count("*").alias("rows")).filter((F.col("rows") > leaf) & (F.floor(F.col("home") / TOPS) % DEPTHS == level))
+        order = Window.partitionBy("home").orderBy(F.xxhash64("rep"), "rep")
+        own = placed.join(large, "home").select("home", "rows", "embedding", F.row_number().over(order).alias("r")).filter(F.col("r") <= OWN_SAMPLE)
+        parts = materialize(own.groupBy("home").applyInPandas(partial(_part, index, leaf), "list long, centres array<double>, look double"), "parts")
+        if parts.isEmpty():
+            return placed
+        asked = placed.select(F.explode("probes").alias("list")).groupBy("list").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
+        blocks = materialize(parts.select("list").join(asked, "list"), "blocks")
+        visits = placed.select("rep", "embedding", F.explode("probes").alias("list")).join(blocks, "list")
+        visits = visits.select("list", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "rep", "embedding", F.lit(None).cast("array<double>").alias("centres"), F.lit(None).cast("double").alias("look"))
+        told = parts.join(blocks, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("rep"), F.lit(None).cast("array<double>").alias("embedding"), "centres", "look")
+        onward = visits.unionAll(told).groupBy("list", "block").applyInPandas(partial(_visit, index), "rep long, list long, parts array<long>")
+        onward = onward.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("list", "parts"))).alias("onward"))  # as many as a row has probes
+        to = lambda p: F.try_element_at("onward", p)
+        probes = F.flatten(F.transform("probes", lambda p: F.coalesce(to(p), F.array(p))))
+        placed = materialize(placed.join(onward, "rep", "left").select("rep", "n", "embedding", F.coalesce(to(F.col("home"))[0], F.col("home")).alias("home"), probes.alias("probes"), "codes", "miss"), "placed")
+    return placed
 
 
 def forest(links: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
@@ -135,7 +202,7 @@ def _cell(index, group: pd.DataFrame) -> pd.DataFrame:
         return none
     x, y = unit(q.embedding.tolist(), ix.width), unit(d.embedding.tolist(), ix.width)
     codes = np.frombuffer(b"".join(d.codes), np.uint8).reshape(len(d), -1)
-    near = ix.distances(x - ix.centres[int(group.cell_list.iloc[0])], codes) <= ix.reach + d.miss.to_numpy()[None, :] + 1e-9
+    near = ix.distances(x - ix.centres[int(group.cell_list.iloc[0]) % TOPS], codes) <= ix.reach + d.miss.to_numpy()[None, :] + 1e-9
     near &= q.rep.to_numpy()[:, None] != d.rep.to_numpy()[None, :]
     rows = np.nonzero(near.any(1))[0]  # exact cosines of the candidates' rows
     i, j = np.nonzero(near[rows] & (x[rows] @ y.T >= ix.cosine))
@@ -143,8 +210,12 @@ def _cell(index, group: pd.DataFrame) -> pd.DataFrame:
     if not len(i):
         return none
     # a pair is counted for the query here, and for the listed row too unless that will find it as a query
-    homes, probes = q.home.to_numpy(), np.array(d.probes.tolist())
-    back = ~(probes[j] == homes[i][:, None]).any(1)
+    homes, at = np.unique(q.home.to_numpy(), return_inverse=True)
+    probes = np.concatenate(d.probes.to_numpy())
+    k = np.minimum(np.searchsorted(homes, probes), len(homes) - 1)
+    asked, visits = homes[k] == probes, np.zeros((len(d), len(homes)), bool)
+    visits[np.repeat(np.arange(len(d)), d.probes.map(len))[asked], k[asked]] = True
+    back = ~visits[j, at[i]]
     ids = np.unique(np.concatenate((q.rep.to_numpy()[i], d.rep.to_numpy()[j])))
     a, b = np.searchsorted(ids, q.rep.to_numpy()[i]), np.searchsorted(ids, d.rep.to_numpy()[j])
     count = np.zeros(len(ids), np.int64)
@@ -153,7 +224,7 @@ def _cell(index, group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"rep": ids, "root": ids[forest((a, b), len(ids))], "links": count})
 
 
-def links(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE) -> DataFrame:
+def links(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of vectors (vec_id, embedding).
 
     n_links: other rows found at this cosine or more; component_id: the least vec_id reachable over such links;
@@ -173,11 +244,12 @@ def links(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE) -> D
         return given.select("vec_id", *alone)
     width = reps.agg(F.max(F.size("embedding"))).first()[0]
     index = spark.sparkContext.broadcast(Index(unit([r.embedding for r in some], width), reps.count(), cosine))
-    placed = materialize(reps.mapInArrow(partial(_place, index), "rep long, n long, embedding array<double>, home int, probes array<int>, codes binary, miss double"), "placed")
+    placed = materialize(reps.mapInArrow(partial(_place, index), "rep long, n long, embedding array<double>, home long, probes array<long>, codes binary, miss double"), "placed")
+    placed = grow(placed, index, leaf)
     blocks = lambda c: F.ceil(F.col(c) / CELL).cast("int")
     listed = placed.groupBy(F.col("home").alias("cell_list")).agg(F.count("*").alias("rows"))
     asked = placed.select(F.explode("probes").alias("cell_list")).groupBy("cell_list").agg(F.count("*").alias("queries"))
-    sizes = F.broadcast(listed.join(asked, "cell_list").select("cell_list", blocks("rows").alias("row_blocks"), blocks("queries").alias("query_blocks")))  # as many rows as lists: MOST_LISTS
+    sizes = materialize(listed.join(asked, "cell_list").select("cell_list", blocks("rows").alias("row_blocks"), blocks("queries").alias("query_blocks")), "sizes")
     keep = ["rep", "n", "embedding", "home", "probes", "codes", "miss"]
     own = F.pmod(F.xxhash64("rep"), F.col("row_blocks")).cast("int")
     rows = placed.withColumn("cell_list", F.col("home")).join(sizes, "cell_list").withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import defaultdict
+from functools import partial
 
 import numpy as np
 import public_tokenizers
@@ -160,6 +161,34 @@ def test_recall_of_quantised_search(spark):
     assert sum(got.values()) >= 0.9 * near.sum()
 
 
+def test_lists_are_parted_as_they_grow(spark):
+    """Parted lists find what brute force finds, level by level, and a dense group stays whole."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(200, 24))
+    x = np.concatenate([centres[rng.integers(0, 200, 2400)] + rng.normal(size=(2400, 24)) * 0.2, centres[0] + rng.normal(size=(400, 24)) * 0.05])
+    rows = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {r.vec_id: r.n_links for r in embeddings.links(rows, sample=100, leaf=40).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (u @ u.T >= 0.9).sum(1) - 1
+    assert near.sum() > 10_000 and all(got[k] <= near[k] for k in range(len(x)))
+    assert sum(got.values()) >= 0.97 * near.sum()
+    index = spark.sparkContext.broadcast(embeddings.Index(u[rng.choice(2800, 100, replace=False)], 2800, 0.9))
+    reps = rows.selectExpr("vec_id rep", "1L n", "embedding")
+    placed = reps.mapInArrow(partial(embeddings._place, index), "rep long, n long, embedding array<double>, home long, probes array<long>, codes binary, miss double").cache()
+    grown = embeddings.grow(placed, index, 40).cache()
+    assert grown.count() == 2800 and grown.filter("NOT array_contains(probes, home) OR size(probes) > size(array_distinct(probes))").isEmpty()
+    assert grown.select("home").distinct().count() > 2 * placed.select("home").distinct().count()
+    assert grown.selectExpr("home div 1024 % 8 AS level").distinct().count() > 1
+    # a query meets a smaller share of all rows than before
+    met = lambda df: df.selectExpr("explode(probes) AS home").groupBy("home").agg(F.count("*").alias("q")).join(df.groupBy("home").agg(F.count("*").alias("n")), "home").agg(F.sum(F.col("q") * F.col("n"))).first()[0]
+    assert met(grown) < met(placed)
+    # rows that all link with one another aren't worth parting
+    dense = [(k, 1, [float(v) for v in r]) for k, r in enumerate(u[2400:])]
+    one = spark.sparkContext.broadcast(embeddings.Index(u[2400:2500], 4, 0.9))
+    dense = spark.createDataFrame(dense, reps.schema).mapInArrow(partial(embeddings._place, one), placed.schema)
+    assert embeddings.grow(dense, one, 40).select("home").distinct().count() == dense.select("home").distinct().count()
+
+
 def test_shared_folder_has_a_scheme(spark):
     assert shared_dir(spark).startswith("file:")
 
