@@ -12,6 +12,7 @@ from .lines import op8_line_templates
 from .media import op6_media
 from .packing import op2_packing
 from .pii import op1_pii
+from .runs import op13_runs
 from .simhash import op7_simhash
 from .substring import op4_substrings
 from .token_files import op5_token_files
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_templates": op8_line_templates,
         "op9_embeddings": op9_embeddings,
         "op10_toxicity": op10_toxicity,
+        "op13_runs": op13_runs,
         "pipeline": corpus_pipeline.run,
     }
 
