@@ -12,6 +12,7 @@ from .lines import op8_line_templates
 from .media import op6_media
 from .packing import op2_packing
 from .pii import op1_pii
+from .quality import op11_quality_rules
 from .runs import op13_runs
 from .simhash import op7_simhash
 from .substring import op4_substrings
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_templates": op8_line_templates,
         "op9_embeddings": op9_embeddings,
         "op10_toxicity": op10_toxicity,
+        "op11_quality_rules": op11_quality_rules,
         "op13_runs": op13_runs,
         "pipeline": corpus_pipeline.run,
     }
