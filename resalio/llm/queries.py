@@ -18,6 +18,7 @@ from .simhash import op7_simhash
 from .substring import op4_substrings
 from .token_files import op5_token_files
 from .toxicity import op10_toxicity
+from .whitening import op12_whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -35,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_embeddings": op9_embeddings,
         "op10_toxicity": op10_toxicity,
         "op11_quality_rules": op11_quality_rules,
+        "op12_whitening": op12_whitening,
         "op13_runs": op13_runs,
         "pipeline": corpus_pipeline.run,
     }
