@@ -72,5 +72,5 @@ def units_per_package(c: ColumnOrName) -> Column:
 
 
 def unit_cost(cost: ColumnOrName, name: ColumnOrName) -> Column:
-    """A lot's cost by its units, half up."""
-    return F.round(col(cost).cast(MONEY) / units_per_package(name), 2).cast(MONEY)
+    """A lot's cost by its units, half up; null for a cost beyond the type of money."""
+    return F.round(F.round(col(cost), 2).try_cast(MONEY) / units_per_package(name), 2).cast(MONEY)

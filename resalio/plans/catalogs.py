@@ -27,6 +27,7 @@ class Analysis:
     finance: DataFrame
     scores: DataFrame
     listings: DataFrame | None = None
+    quarantine: DataFrame | None = None
 
 
 def parse(raw_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -54,9 +55,10 @@ def parse(raw_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def analyze(products: DataFrame, listings: DataFrame, config: fin.FeeConfig = fin.FeeConfig.from_settings(), min_sales: int = 0) -> Analysis:
     """I1 from listings on: market, finance, scores. Each stage is written and read by the next, so listings are read once."""
     market = materialize(mkt.market_analysis(mkt.sales_filter(listings, min_sales)), "market")
-    finance = materialize(fin.analyze(products, market, config), "finance")
+    tried = materialize(fin.attempt(products, market, config), "finance")
+    finance = fin.results(tried)
     top = mkt.top_listings(listings) if "position" in listings.columns else None
-    return Analysis(products, market, finance, scoring.score_catalog(finance, written=True), top)
+    return Analysis(products, market, finance, scoring.score_catalog(finance, written=True), top, fin.quarantine(tried))
 
 
 def run_pipeline(raw_rows: DataFrame, results: DataFrame, config: fin.FeeConfig = fin.FeeConfig.from_settings(), min_sales: int = 0, min_confidence: float = 0.15) -> tuple[DataFrame, Analysis]:
@@ -77,8 +79,9 @@ def rerun_analysis(products: DataFrame, listings: DataFrame, market: DataFrame,
     missing = mkt.pending(products, market)
     new = mkt.market_analysis(listings.join(missing.select("product_id"), "product_id", "left_semi"))
     whole = materialize(sinks.upsert(market, new.select(*market.columns)), "market")
-    finance = materialize(fin.analyze(products, whole, config), "finance")
-    return Analysis(products, whole, finance, scoring.score_catalog(finance, written=True))
+    tried = materialize(fin.attempt(products, whole, config), "finance")
+    finance = fin.results(tried)
+    return Analysis(products, whole, finance, scoring.score_catalog(finance, written=True), quarantine=fin.quarantine(tried))
 
 
 def latest_status(events: DataFrame) -> DataFrame:

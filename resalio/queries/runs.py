@@ -38,6 +38,32 @@ def finance_spread(spark: SparkSession, d: str) -> DataFrame:
     return doubled(spread(spark, d).finance.select(*cols, finance.finance_summary().alias("summary")))
 
 
+def hard_finance(spark: SparkSession, d: str) -> DataFrame:
+    """F11 on products of every fault among good ones: no cost, a cost of 0, costs that prices of a real can't bear, a market row without a price."""
+    k = F.col("product_id")
+    hard = k % 13 == 0
+    p = driver.products(spark, d).withColumns({"cost": F.when(k % 11 == 0, F.lit(None)).when(hard, F.lit("999999.00")).when(k % 17 == 0, F.lit(0)).otherwise(F.col("cost")).cast(MONEY), "raw_name": F.when(hard, F.lit("Luva")).otherwise(F.col("raw_name"))})
+    m = market.market_analysis(driver.listings(spark, d))
+    price = F.when(hard & (k % 2 == 0), F.lit("0.99")).when(hard, F.lit("10.00")).when(k % 19 == 0, F.lit(None)).otherwise(F.col("avg_price"))
+    return materialize(finance.attempt(p, m.withColumn("avg_price", price.cast(MONEY))), "attempted")
+
+
+def finance_isolated(spark: SparkSession, d: str) -> DataFrame:
+    """The results of the good products."""
+    return doubled(finance.results(hard_finance(spark, d)).select("product_id", "cost", "avg_market_price", "gross_margin_pct", "net_margin", "net_margin_pct", "is_viable", "min_price_for_target_margin"))
+
+
+def finance_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """The other products, with reasons and fields."""
+    return doubled(finance.quarantine(hard_finance(spark, d)).select("product_id", "catalog_id", "cost", "avg_price", "reason", F.array_join("fields", ",").alias("fields")))
+
+
+def finance_default(spark: SparkSession, d: str) -> DataFrame:
+    """F1's defaults: a fee of 15 %, no shipping, no tax; gross margins decide."""
+    given = market.market_analysis(driver.listings(spark, d)).withColumns({"avg_ml_fee_pct": F.lit(None).cast("decimal(5,2)"), "free_shipping_pct": F.lit(0).cast("decimal(5,2)")})
+    return doubled(finance.analyze(driver.products(spark, d), given, finance.FeeConfig()).select("product_id", "ml_fee", "gross_margin", "gross_margin_pct", "break_even_price", "price_safety_margin_pct", "net_margin", "net_margin_pct", "is_viable", "min_price_for_target_margin"))
+
+
 def price_skew(spark: SparkSession, d: str) -> DataFrame:
     return market.market_analysis(driver.listings(spark, d)).select("product_id", "price_skewed")
 
@@ -144,7 +170,7 @@ def streamed_market(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "scores_spread": scores_spread, "finance_spread": finance_spread, "price_skew": price_skew, "opportunities_good": opportunities_good, "filtered_excellent": filtered_excellent, "filtered_any": filtered_any, "listings_of": listings_of, "ranked_scores": ranked_scores,
+    "scores_spread": scores_spread, "finance_spread": finance_spread, "finance_isolated": finance_isolated, "finance_quarantine": finance_quarantine, "finance_default": finance_default, "price_skew": price_skew, "opportunities_good": opportunities_good, "filtered_excellent": filtered_excellent, "filtered_any": filtered_any, "listings_of": listings_of, "ranked_scores": ranked_scores,
     "catalogs_of": catalogs_of, "page": page, "sample_products": sample_products, "stage_progress": stage_progress, "latest_status": latest_status, "cleared_scores": cleared, "backfilled_fees": backfilled, "rerun_analysis": rerun, "full_run": full_run, "streamed_market": streamed_market,
 }
 
@@ -158,6 +184,12 @@ l AS (SELECT * REPLACE (CASE WHEN product_id%50=0 THEN 0 ELSE price_c END AS pri
     to_market = ",\n".join(["WITH " + priced, O.PRICES, sure])
     to_scores = ",\n".join([to_market, lot, O.FINANCE, O.SCORES])
     skew = O.TO_MARKET.replace("1000 AS conf", "1000 AS conf, CAST(sum(price_c) AS DOUBLE)/count(*) AS mean_c")
+    hard = ",\n".join([O.TO_MARKET.replace("\nm AS (", "\nm0 AS ("), """m AS (SELECT * REPLACE (CASE WHEN product_id%13=0 AND product_id%2=0 THEN 99 WHEN product_id%13=0 THEN 1000 WHEN product_id%19=0 THEN NULL ELSE avg_c END AS avg_c) FROM m0)""", O.PRODUCTS.replace("p AS (", "p0 AS (", 1), """p AS (SELECT * REPLACE (CASE WHEN product_id%11=0 THEN NULL WHEN product_id%13=0 THEN 99999900 WHEN product_id%17=0 THEN 0 ELSE lot_c END AS lot_c, CASE WHEN product_id%13=0 THEN 1 ELSE units END AS units) FROM p0)""", O.FINANCE])
+    unfit = ", ".join(f"CASE WHEN abs({x})>{most} THEN '{name}' END" for x, name, most in (("gross_bp", "gross_margin_pct", 9999999999), ("net_bp", "net_margin_pct", 9999999999)))
+    faults = f"""{hard}, judged AS (SELECT f.*, p.lot_c, concat_ws(',', {unfit}) AS unfit FROM f JOIN p USING (product_id)),
+faults AS (SELECT *, CASE WHEN lot_c IS NULL THEN 'no_cost' WHEN lot_c<=0 THEN 'non_positive_cost' WHEN price_c IS NULL THEN 'no_price' WHEN unfit<>'' THEN 'overflow' END AS reason FROM judged)"""
+    plain = ",\n".join([O.TO_MARKET, O.PRODUCTS, f"""f0 AS (SELECT product_id, {O.half_up("lot_c", "units")} AS cost_c, avg_c AS price_c, avg_c>0 AS sold FROM p JOIN m USING (product_id)),
+f1 AS (SELECT *, {O.half_up("price_c*15", "100")} AS fee_c, {O.half_up("cost_c*100", "85")} AS even_c FROM f0), f2 AS (SELECT *, price_c-cost_c-fee_c AS gross_c FROM f1)"""])
     again = O.TO_MARKET.replace("\nm AS (", "\nm0 AS (") + ", m AS (SELECT * REPLACE (CASE WHEN n>30 THEN avg_c+100000 ELSE avg_c END AS avg_c) FROM m0)"
     again = ",\n".join([again, O.PRODUCTS, O.FINANCE, O.SCORES])
     whole = f"""{sheets.SHEETS}, p AS (SELECT cid||'-'||(head+n) AS product_id, CAST(cid AS VARCHAR) AS catalog_id, {sheets.NAME} AS raw_name, pk, pk*7%90000+1 AS lot_c, 1 AS units FROM good JOIN judged USING (cid) WHERE confidence<>'FAILED'),
@@ -167,6 +199,9 @@ m AS (SELECT product_id, 1 AS sellers, 1 AS n, 750 AS conf, p_size*1000 AS avg_s
     return {
         "scores_spread": f"{to_scores} SELECT product_id, catalog_id, CAST(ds AS DOUBLE) AS demand_score, CAST(ms AS DOUBLE) AS margin_score, CAST(cs AS DOUBLE) AS competition_score, CAST(conf AS DOUBLE)/10 AS confidence_score, {final}, recommendation, rank_position, explanation, CAST(conf AS DOUBLE)/1000 AS avg_match_confidence FROM s",
         "finance_spread": f"{to_scores} SELECT product_id, {c('cost_c', 'cost')}, {c('price_c', 'avg_market_price')}, {c('ml_fee_c', 'ml_fee')}, {c('gross_c', 'gross_margin')}, {c('gross_bp', 'gross_margin_pct')}, {c('even_c', 'break_even_price')}, {c('safety_bp', 'price_safety_margin_pct')}, {c('net_c', 'net_margin')}, {c('net_bp', 'net_margin_pct')}, is_viable, {c('least_c', 'min_price_for_target_margin')}, {O.SUMMARY} AS summary FROM f",
+        "finance_isolated": f"{faults} SELECT product_id, {c('cost_c', 'cost')}, {c('price_c', 'avg_market_price')}, {c('gross_bp', 'gross_margin_pct')}, {c('net_c', 'net_margin')}, {c('net_bp', 'net_margin_pct')}, is_viable, {c('least_c', 'min_price_for_target_margin')} FROM faults WHERE reason IS NULL",
+        "finance_quarantine": f"{faults} SELECT product_id, catalog_id, {c('lot_c', 'cost')}, {c('price_c', 'avg_price')}, reason, CASE reason WHEN 'overflow' THEN unfit WHEN 'no_price' THEN 'avg_price' ELSE 'cost' END AS fields FROM faults WHERE reason IS NOT NULL",
+        "finance_default": f"{plain} SELECT product_id, {c('fee_c', 'ml_fee')}, {c('gross_c', 'gross_margin')}, CAST({O.half_up('gross_c*10000', 'price_c')} AS DOUBLE)/100 AS gross_margin_pct, {c('even_c', 'break_even_price')}, CAST(least({O.half_up('(price_c-even_c)*10000', 'even_c')}, 99999) AS DOUBLE)/100 AS price_safety_margin_pct, CAST(NULL AS DOUBLE) AS net_margin, CAST(NULL AS DOUBLE) AS net_margin_pct, gross_c>0 AS is_viable, CAST(NULL AS DOUBLE) AS min_price_for_target_margin FROM f2 WHERE sold",
         "price_skew": f"{skew} SELECT product_id, mean_c>0 AND abs(avg_c-mean_c)/mean_c>0.10 AS price_skewed FROM m",
         "opportunities_good": f"{to_scores} SELECT product_id, catalog_id, {final}, rank_position, recommendation, {c('avg_c', 'avg_price')}, is_viable FROM s WHERE recommendation='BOA' AND final_c>=6000",
         "filtered_excellent": f"{to_scores} SELECT product_id, {final}, {c('gross_bp', 'gross_margin_pct')} FROM s WHERE is_viable AND final_c>=7500 AND gross_bp>=0",

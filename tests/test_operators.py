@@ -158,6 +158,35 @@ def test_finance(spark):
     assert margin(spark, 50, 100, tax_pct=70).min_price_for_target_margin is None
 
 
+MARKET_IN = "product_id long, avg_price decimal(12,2), avg_ml_fee_pct decimal(5,2), free_shipping_pct decimal(5,2)"
+
+
+def test_bad_products_are_isolated(spark):
+    """what can't be worked out goes to the quarantine with its reason; the products beside it have their rows."""
+    big = Decimal("9999999999.99")
+    given = [  # cost, price, reason, fields
+        ("50", "100", None, None), ("999999.00", "1.00", "overflow", ["net_margin_pct"]), (None, "100", "no_cost", ["cost"]), ("0", "100", "non_positive_cost", ["cost"]), ("-3", "100", "non_positive_cost", ["cost"]),
+        ("50", None, "no_price", ["avg_price"]), ("99999999999.00", "100", "cost_overflow", ["cost"]), ("50", "0", None, None), (str(big), "0.01", "overflow", ["gross_margin_pct", "break_even_price", "net_margin", "net_margin_pct", "min_price_for_target_margin"]), ("0.01", str(big), None, None),
+    ]
+    number = lambda v: None if v is None else Decimal(v)
+    products = spark.createDataFrame([(k, "c", "Luva", number(g[0])) for k, g in enumerate(given)], "product_id long, catalog_id string, raw_name string, cost decimal(20,2)")
+    prices = spark.createDataFrame([(k, number(g[1]), None, Decimal(100)) for k, g in enumerate(given)], MARKET_IN)
+    tried = finance.attempt(products, prices)
+    good, bad = {r.product_id: r for r in finance.results(tried).collect()}, {r.product_id: r for r in finance.quarantine(tried).collect()}
+    assert {k: (r.reason, r.fields) for k, r in bad.items()} == {k: (g[2], g[3]) for k, g in enumerate(given) if g[2]}
+    assert set(good) == {k for k, g in enumerate(given) if not g[2]}
+    assert (good[0].net_margin_pct, good[7].is_viable, good[9].price_safety_margin_pct) == (Decimal("12.00"), False, Decimal("999.99"))
+    assert bad[1].cost == Decimal("999999.00") and "fault" not in finance.results(tried).columns
+    assert finance.analyze(products, prices).count() == len(good)
+
+
+def test_a_run_keeps_its_quarantine(spark):
+    products = spark.createDataFrame([(1, "c", "Luva", None, Decimal(5)), (2, "c", "Luva", None, Decimal("999999.00")), (3, "c", "Luva", None, Decimal(6))], "product_id long, catalog_id string, raw_name string, normalized_name string, cost decimal(12,2)")
+    df = spark.createDataFrame([listing(1, 1, "a", 100), listing(2, 1, "b", "0.99"), listing(3, 1, "c", 90)], LISTING)
+    a = catalogs.analyze(products, df)
+    assert sorted(r.product_id for r in a.scores.collect()) == [1, 3] and [(r.product_id, r.reason) for r in a.quarantine.collect()] == [(2, "overflow")]
+
+
 SCORE_IN = "product_id long, catalog_id string, gross_margin_pct decimal(10,2), listings_above_threshold long, total_sellers long, avg_sold_quantity long, avg_match_confidence decimal(4,3), is_viable boolean"
 
 
