@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.price import MONEY
+from ..sources.shared import materialize
 from .ordering import numbered
+from .selection import at_places
+
+#: Listings of a product that one task sorts at most.
+HEAVY = 5_000_000
 
 
 def pending(products: DataFrame, market: DataFrame) -> DataFrame:
@@ -93,72 +98,132 @@ def sales_filter(listings: DataFrame, min_sales: int) -> DataFrame:
     return listings.join(some, "product_id").filter(enough | ~F.col("__any")).drop("__any")
 
 
-def price_places(counts: DataFrame) -> DataFrame:
-    """counts (product_id, price, c: listings at this price, none for a null price) with `low` and `t`, and `upto` and `n`: the listings up to this price and in all."""
-    by = Window.partitionBy("product_id")
-    counts = counts.withColumns({"upto": F.sum("c").over(by.orderBy("price").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(by)})
-    part = lambda p: F.greatest(F.lit(1), F.bround(F.col("n") * F.lit(p).cast("decimal(3,2)"), 0).cast("long"))
-    small = F.col("n") <= 3
-    low, high = F.when(small, 0).otherwise(part("0.10")), F.when(small, 0).otherwise(part("0.20"))
-    return counts.withColumns({"low": F.when(low + high >= F.col("n"), 0).otherwise(low), "t": F.when(low + high >= F.col("n"), F.col("n")).otherwise(F.col("n") - low - high)})
+def cut() -> tuple[Column, Column]:
+    """K8: of n prices, how many of the lowest are left out, and how many stay after the highest are left out too."""
+    tenth = F.expr("n div 10 + CASE WHEN n % 10 > 5 OR n % 10 = 5 AND (n div 10) % 2 = 1 THEN 1 ELSE 0 END")  # to the nearest, halves to even
+    low, high = F.greatest(F.lit(1).cast("long"), tenth), F.greatest(F.lit(1).cast("long"), F.expr("(n + 2) div 5"))
+    n = F.col("n")
+    whole = (n <= 3) | (low + high >= n)
+    return F.when(whole, 0).otherwise(low).cast("long"), F.when(whole, n).otherwise(n - low - high)
 
 
-def price_aggregates() -> list[Column]:
-    """K8 over rows of price_places: each wanted place is the price whose range of places holds it."""
-    small, t = F.col("n") <= 3, F.col("t")
-    places = {"a": F.floor((t - 1) / 2), "b": F.floor(t / 2), "p25": F.when(small, 0).otherwise(F.floor(t / 4)), "p75": F.when(small, t - 1).otherwise(F.least(t - 1, F.floor(t * 3 / 4)))}
-    at = lambda k: F.max(F.when((F.col("low") + k + 1 > F.col("upto") - F.col("c")) & (F.col("low") + k + 1 <= F.col("upto")), F.col("price")))
-    return [at(k).alias(n) for n, k in places.items()]
+def places() -> dict[str, Column]:
+    """K8: the places, from 0, of the prices that make a product's row: the middle ones (one place twice if n is odd) and the quartiles."""
+    few, (low, t) = F.col("n") <= 3, cut()
+    half = lambda c: F.shiftright(c, 1)
+    found = {"a": half(t - 1), "b": half(t), "p25": F.when(few, 0).otherwise(F.shiftright(t, 2)), "p75": F.when(few, t - 1).otherwise(F.least(t - 1, F.shiftright(t * 3, 2)))}
+    return {k: low + v for k, v in found.items()}
 
 
 def prices() -> dict[str, Column]:
-    """K8 from its aggregates."""
-    median = F.bround((F.col("a") + F.col("b")) * F.lit("0.5").cast("decimal(2,1)"), 2)
-    return {"avg_price": median.cast(MONEY), "min_price": F.col("p25").cast(MONEY), "max_price": F.col("p75").cast(MONEY)}
+    """K8 from the cents at its places."""
+    reais = lambda c: (c.cast("decimal(20,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(MONEY)
+    median = F.bround((F.col("a") + F.col("b")).cast("decimal(20,0)") * F.lit("0.005").cast("decimal(4,3)"), 2)
+    return {"avg_price": median.cast(MONEY), "min_price": reais(F.col("p25")), "max_price": reais(F.col("p75"))}
 
 
-def competitive_price(listings: DataFrame) -> DataFrame:
-    """K8: avg_price (trimmed median), min_price and max_price (its quartiles) per product.
+def in_cents(listings: DataFrame) -> Column:
+    return (F.col("price").cast(MONEY) * 100).cast("long")
 
-    Prices are counted per product first, so a product's listings, however many, are sorted as their distinct prices.
-    """
-    counts = listings.filter("price IS NOT NULL").groupBy("product_id", "price").agg(F.count("*").alias("c"))
-    found = price_places(counts).groupBy("product_id").agg(*price_aggregates())
-    return found.select("product_id", *[v.alias(k) for k, v in prices().items()])
 
+def heavy_products(rows: DataFrame, most: int) -> DataFrame | None:
+    """product_id of products with more rows than one task should sort: over `most`, and over a 10,000th of all, so that they are 10,000 at most; None if there are none. Reads keys alone."""
+    counts = rows.groupBy("product_id").agg(F.count("*").alias("rows"))
+    largest, total = counts.agg(F.max("rows"), F.sum("rows")).first()
+    limit = max(most, (total or 0) // 10_000)
+    return materialize(counts.filter(F.col("rows") > limit).select("product_id"), "heavy") if (largest or 0) > limit else None
+
+
+def sorted_places(rows: DataFrame, aggregates: list[Column]) -> DataFrame:
+    """Aggregates of each product, n and the cents at its places: one exchange by product serves the sort, the places and the aggregates."""
+    by = Window.partitionBy("product_id")
+    ranked = rows.withColumn("k", F.row_number().over(by.orderBy(F.col("cents").asc_nulls_last())) - 1).withColumn("n", F.count("cents").over(by))
+    known = ranked.withColumns({f"at_{name}": place for name, place in places().items()})
+    at = [F.max(F.when(F.col("k") == F.col(f"at_{name}"), F.col("cents"))).alias(name) for name in places()]
+    return known.groupBy("product_id").agg(F.max("n").alias("n"), *aggregates, *at)
+
+
+def selected_places(rows: DataFrame, found: DataFrame, times: str | None = None) -> DataFrame:
+    """The cents at the places of heavy products, by selection; no task holds a product. found: product_id, n; times: how often each row counts."""
+    wanted = found.filter("n > 0").select("product_id", F.inline(F.array(*[F.struct(F.lit(name).alias("name"), place.alias("place")) for name, place in places().items()])))
+    at = at_places(rows, wanted, times=times).groupBy("product_id")
+    return at.agg(*[F.max(F.when(F.col("name") == name, F.col("cents"))).alias(name) for name in places()])
+
+
+def with_places(rows: DataFrame, aggregates: list[Column], most: int) -> DataFrame:
+    """Aggregates, n and places of every product: heavy ones by selection, all others by one exchange."""
+    heavy = heavy_products(rows, most)
+    if heavy is None:
+        return sorted_places(rows, aggregates)
+    known = F.broadcast(heavy)  # 10,000 rows at most
+    light = sorted_places(rows.join(known, "product_id", "left_anti"), aggregates)
+    large = rows.join(known, "product_id", "left_semi")
+    found = materialize(large.groupBy("product_id").agg(F.count("cents").alias("n"), *aggregates), "heavy-products")
+    return light.unionByName(found.join(selected_places(large, found), "product_id", "left"))
+
+
+def counted_places(counts: DataFrame, most: int = HEAVY) -> DataFrame:
+    """product_id, n and the cents at its places, from (product_id, cents, times); a product's distinct prices are sorted in one task up to `most`."""
+    by = Window.partitionBy("product_id")
+
+    def sorted_(rows: DataFrame) -> DataFrame:
+        ranked = rows.withColumn("upto", F.sum("times").over(by.orderBy("cents").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("times").over(by))
+        known = ranked.withColumns({f"at_{name}": place for name, place in places().items()})
+        here = lambda name: (F.col(f"at_{name}") < F.col("upto")) & (F.col(f"at_{name}") >= F.col("upto") - F.col("times"))
+        return known.groupBy("product_id").agg(F.max("n").alias("n"), *[F.max(F.when(here(name), F.col("cents"))).alias(name) for name in places()])
+
+    heavy = heavy_products(counts, most)
+    if heavy is None:
+        return sorted_(counts)
+    known = F.broadcast(heavy)  # 10,000 rows at most
+    large = counts.join(known, "product_id", "left_semi")
+    found = materialize(large.groupBy("product_id").agg(F.sum("times").alias("n")), "heavy-products")
+    return sorted_(counts.join(known, "product_id", "left_anti")).unionByName(found.join(selected_places(large, found, "times"), "product_id", "left"))
 
-def market_analysis(listings: DataFrame) -> DataFrame:
-    """K9: one row per product with a price, in one pass over the listings. match_score is optional.
 
-    Each listing is a row of its price and a row of its seller; both are counted per product in one shuffle of
-    counts, so a product's listings meet as its distinct prices and sellers.
+def competitive_price(listings: DataFrame, most: int = HEAVY) -> DataFrame:
+    """K8: avg_price (trimmed median), min_price and max_price (its quartiles) per product with a price.
+
+    A product of up to `most` listings is sorted in one task; larger ones are never (see heavy_products).
     """
+    rows = listings.filter("price IS NOT NULL").select("product_id", in_cents(listings).alias("cents"))
+    return with_places(rows, [], most).select("product_id", *[v.alias(k) for k, v in prices().items()])
+
+
+def facts_of(listings: DataFrame) -> DataFrame:
+    """What K9 needs of each listing, in whole numbers: cents, units sold, hundredths of fees, ten-thousandths of scores; sellers of 0 are none."""
     types = {f.name: f.dataType for f in listings.schema}
-    # sums of whole numbers: cents, hundredths of percentages, ten-thousandths of scores
-    facts = {"one": F.lit(1).cast("long"), "sold": F.col("sold_quantity").cast("long"), "fee": (F.col("ml_fee_pct") * 100).cast("long"), "free": F.coalesce(F.col("free_shipping").cast("long"), F.lit(0).cast("long"))}
-    if "match_score" in types:
-        facts["score"] = F.round(F.col("match_score") * 10000).cast("long")
-    priced = F.struct(F.col("price"), F.lit(None).cast(types["seller_id"]).alias("seller_id"), *[v.alias(k) for k, v in facts.items()])
-    sold_by = F.struct(F.lit(None).cast(types["price"]).alias("price"), F.nullif("seller_id", F.lit(0).cast(types["seller_id"])).alias("seller_id"), *[F.lit(None).cast("long").alias(k) for k in facts])
-    known = [k for k in ("fee", "score") if k in facts]
-    sums = [F.sum(k).alias(k) for k in facts] + [F.count(k).alias(f"n_{k}") for k in known]
-    counts = listings.select("product_id", F.inline(F.array(priced, sold_by))).groupBy("product_id", "price", "seller_id").agg(*sums)
-    counts = price_places(counts.withColumn("c", F.when(F.col("price").isNotNull(), F.col("one")).otherwise(0)))
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    found = counts.groupBy("product_id").agg(
-        F.count("seller_id").alias("total_sellers"), total("one").alias("total_listings_found"), total("sold").alias("total_sold_quantity"), F.sum("c").alias("n_priced"), F.sum((F.col("price") * 100).cast("long") * F.col("one")).alias("value"),
-        total("free").alias("free"), *[F.sum(k).alias(k) for k in known], *[F.sum(f"n_{k}").alias(f"n_{k}") for k in known], *price_aggregates(),
-    )
-    n = F.col("total_listings_found")
+    facts = {"cents": in_cents(listings), "seller_id": F.nullif("seller_id", F.lit(0).cast(types["seller_id"])), "sold": F.col("sold_quantity").cast("long"), "fee": (F.col("ml_fee_pct") * 100).cast("long"), "free": F.coalesce(F.col("free_shipping").cast("long"), F.lit(0).cast("long"))}
+    facts["score"] = F.round(F.col("match_score") * 10000).cast("long") if "match_score" in types else F.lit(None).cast("long")
+    return listings.select("product_id", *[v.alias(k) for k, v in facts.items()])
+
+
+def sums_of_facts() -> dict[str, Column]:
+    """Sums of K9's facts by name; those of parts of a product's listings add up to the product's."""
+    return {"listings": F.count("*"), "sold": F.coalesce(F.sum("sold"), F.lit(0)), "value": F.sum("cents"), "free": F.sum("free"), "fee": F.sum("fee"), "n_fee": F.count("fee"), "score": F.sum("score"), "n_score": F.count("score")}
+
+
+def market_rows(found: DataFrame) -> DataFrame:
+    """K9 from a product's sums, number of sellers and places."""
+    n = F.col("listings")
     of = lambda a, b, unit: F.try_divide(F.col(a).cast("decimal(20,0)") * F.lit(unit).cast("decimal(5,4)"), F.col(b).cast("decimal(14,0)"))
-    sure = of("score", "n_score", "0.0001") if "score" in facts else F.lit(None)
-    return found.filter("n_priced > 0").select(
-        "product_id", "total_sellers", "total_listings_found", n.alias("listings_above_threshold"), F.floor(F.col("total_sold_quantity") / n).cast("long").alias("avg_sold_quantity"), "total_sold_quantity",
-        F.bround(sure, 3).cast("decimal(4,3)").alias("avg_match_confidence"), F.bround(of("fee", "n_fee", "0.01"), 2).cast("decimal(5,2)").alias("avg_ml_fee_pct"),
-        F.bround((F.col("free") * 100).cast("decimal(20,0)") / n.cast("decimal(14,0)"), 2).cast("decimal(5,2)").alias("free_shipping_pct"), of("value", "n_priced", "0.01").alias("mean_price"), *[v.alias(k) for k, v in prices().items()],
+    return found.filter("n > 0").select(
+        "product_id", "total_sellers", n.alias("total_listings_found"), n.alias("listings_above_threshold"), F.floor(F.col("sold") / n).cast("long").alias("avg_sold_quantity"), F.col("sold").alias("total_sold_quantity"),
+        F.bround(of("score", "n_score", "0.0001"), 3).cast("decimal(4,3)").alias("avg_match_confidence"), F.bround(of("fee", "n_fee", "0.01"), 2).cast("decimal(5,2)").alias("avg_ml_fee_pct"),
+        F.bround((F.col("free") * 100).cast("decimal(20,0)") / n.cast("decimal(14,0)"), 2).cast("decimal(5,2)").alias("free_shipping_pct"), of("value", "n", "0.01").alias("mean_price"), *[v.alias(k) for k, v in prices().items()],
     ).withColumn("price_skewed", price_skew_flag())
 
 
+def market_analysis(listings: DataFrame, most: int = HEAVY) -> DataFrame:
+    """K9: one row per product with a price. match_score is optional.
+
+    Listings are read once for their keys, to find products of over `most` listings, and once for their facts: these
+    cross the network once, by product; heavy products by selection instead.
+    """
+    sums = [*[a.alias(k) for k, a in sums_of_facts().items()], F.countDistinct("seller_id").alias("total_sellers")]
+    return market_rows(with_places(facts_of(listings), sums, most))
+
+
 def price_skew_flag() -> Column:
     """The competitive price is more than a tenth off the mean."""
     mean = F.col("mean_price").cast("double")

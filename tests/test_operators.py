@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from resalio.functions import price as P
 from resalio.functions import text as T
-from resalio.operators import finance, headers, market, matching, ordering, reports, rows, scoring
+from resalio.operators import finance, headers, market, matching, ordering, reports, rows, scoring, selection
 from resalio.plans import catalogs
 from resalio.sources import feeds, sinks
 from resalio.streaming import catalogs as streaming
@@ -271,25 +271,90 @@ def test_sinks_and_reports(spark):
     assert [(r.d, r.m) for r in got] == [(30, 3), (100, None)]
 
 
+def streamed(spark, folder, batches):
+    for b in batches:
+        spark.createDataFrame(b, LISTING).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    streaming.stream_market(spark, f"{folder}/in", LISTING, f"{folder}/out", f"{folder}/cp", files=1, buckets=4).awaitTermination()
+
+
+def market_key(df):
+    return sorted(tuple(r) for r in df.select(*sorted(df.columns)).collect())
+
+
+def test_segments_are_binary_digits():
+    assert [streaming.segments(n) for n in (0, 1, 2, 3, 6, 8)] == [[], [(0, 0)], [(0, 1)], [(0, 1), (2, 2)], [(0, 3), (4, 5)], [(0, 7)]]
+    for n in range(200):
+        before, after = streaming.segments(n), streaming.segments(n + 1)
+        assert set(after[:-1]) <= set(before) and after[-1][1] == n and len(after) <= 8
+    # each batch is written once for every digit at most
+    assert sum(s[1] - s[0] + 1 for s in (streaming.segments(n + 1)[-1] for n in range(256))) <= 256 * 9
+
+
 def test_streamed_market_equals_batch(spark, tmp_path):
     rng = random.Random(2)
-    batches = [[listing(rng.randrange(7) + 3 * b, k, f"m{b}{k}", rng.randrange(5, 90)) for k in range(20)] for b in range(3)]  # products come in several batches
-    for b in batches:
-        spark.createDataFrame(b, LISTING).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    run = lambda: streaming.stream_market(spark, f"{tmp_path}/in", LISTING, f"{tmp_path}/out", f"{tmp_path}/cp", files=1, buckets=4)
-    run().awaitTermination()
-    key = lambda df: sorted((r.product_id, r.avg_price, r.total_listings_found) for r in df.collect())
-    want = key(market.market_analysis(spark.createDataFrame(sum(batches, []), LISTING)))
-    assert key(streaming.read_market(spark, f"{tmp_path}/out")) == want
-    last = spark.read.parquet(f"{tmp_path}/out/market").agg(F.max("batch")).first()[0]
-    # a run again finds nothing new
-    run().awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out/market").agg(F.max("batch")).first()[0] == last
+    batches = [[listing(rng.randrange(7) + 3 * b, k, f"m{b}{k}", rng.randrange(5, 90), seller=rng.randrange(4)) for k in range(20)] for b in range(3)]  # products come in several batches
+    streamed(spark, tmp_path, batches[:2])
+    assert market_key(streaming.read_market(spark, f"{tmp_path}/out")) == market_key(market.market_analysis(spark.createDataFrame(sum(batches[:2], []), LISTING)))
+    streamed(spark, tmp_path, batches[2:])  # resumes
+    want = market_key(market.market_analysis(spark.createDataFrame(sum(batches, []), LISTING)))
+    state = streaming.State(spark, f"{tmp_path}/out", 4)
+    assert market_key(streaming.read_market(spark, f"{tmp_path}/out")) == want and state.there() == [(0, 1), (2, 2)]
+    # a batch that runs again writes the same, a run again finds nothing new
+    streaming.add_batch(state, spark.createDataFrame(batches[2], LISTING), 2)
+    streamed(spark, tmp_path, [])
+    assert market_key(streaming.read_market(spark, f"{tmp_path}/out")) == want and state.there() == [(0, 1), (2, 2)]
     # a batch whose predecessor is missing is an error
-    (tmp_path / "out" / "market" / f"batch={last}").rename(tmp_path / "gone")
-    spark.createDataFrame(batches[0], LISTING).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    with pytest.raises(Exception, match="lacks batch"):
-        run().awaitTermination()
+    (tmp_path / "out" / "segment=2-2").rename(tmp_path / "gone")
+    with pytest.raises(Exception, match="lacks batches"):
+        streaming.add_batch(state, spark.createDataFrame(batches[0], LISTING), 3)
+
+
+def test_a_batch_reads_touched_state_only(spark, tmp_path):
+    """Buckets that a batch doesn't touch may even be unreadable."""
+    state = streaming.State(spark, f"{tmp_path}/out", 8)
+    rows_ = [[listing(p, 1, f"m{p}", 10 + p) for p in range(40)], [listing(p, 2, f"n{p}", 20 + p) for p in range(40)]]
+    for k, r in enumerate(rows_):
+        streaming.add_batch(state, spark.createDataFrame(r, LISTING), k)
+    bucket = state.bucketed(spark.createDataFrame([(7,)], "product_id long")).first().bucket
+    spoilt = [f for f in tmp_path.rglob("segment=0-1/*/bucket=*/*.parquet") if f.parent.name != f"bucket={bucket}"]
+    for f in spoilt:
+        f.write_bytes(b"no parquet")
+    streaming.add_batch(state, spark.createDataFrame([listing(7, 3, "x", 1000)], LISTING), 2)
+    got = state.read("market", [(2, 2)], spark.read.parquet(state.folder((2, 2), "market")).schema).collect()
+    assert len(spoilt) > 9 and [(r.product_id, r.total_listings_found, r.max_price) for r in got] == [(7, 3, Decimal(1000))]
+
+
+def test_heavy_products_are_selected(spark):
+    """Products over the limit give the same rows by selection; their listings are never dealt by product."""
+    rng = random.Random(3)
+    sizes = {1: 400, 2: 3, 3: 55, 4: 1, 5: 121, 6: 60, 7: 20}
+    data = [listing(p, k, f"m{p}-{k}", rng.choice([Decimal(rng.randrange(1, 5000)) / 100, Decimal(-3), Decimal("9999999999.99"), 7]), rng.randrange(50), rng.randrange(9)) for p, n in sizes.items() for k in range(n)]
+    df = spark.createDataFrame(data, LISTING).repartition(5)
+    for f in (market.market_analysis, market.competitive_price):
+        assert market_key(f(df, 50)) == market_key(f(df))
+    plain = {r.product_id: r for r in market.competitive_price(df, 50).collect()}
+    for p in sizes:
+        a, low, high = model_price([Decimal(r[3]) for r in data if r[0] == p])
+        assert (plain[p].avg_price, plain[p].min_price, plain[p].max_price) == (round(a, 2), low, high)
+
+
+def test_market_crosses_the_network_once(spark, sf):
+    from resalio.sources import driver
+
+    plan = market.market_analysis(driver.listings(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1
+
+
+def test_places_of_large_groups(spark):
+    rng = random.Random(6)
+    groups = {g: [rng.choice([rng.randrange(-(2**39), 2**39), rng.randrange(5), 2**39]) for _ in range(n)] for g, n in ((1, 1), (2, 50), (3, 700))}
+    values = spark.createDataFrame([(g, v, 1 + v % 3) for g, vs in groups.items() for v in vs] + [(3, None, 1)], "product_id long, cents long, times long").repartition(4)
+    wanted = spark.createDataFrame([(g, f"at{k}", k) for g, vs in groups.items() for k in {0, len(vs) // 2, len(vs) - 1, len(vs)}], "product_id long, name string, place long")
+    got = {(r.product_id, r.name): r.cents for r in selection.at_places(values, wanted).collect()}
+    assert got == {(g, f"at{k}"): sorted(vs)[k] for g, vs in groups.items() for k in {0, len(vs) // 2, len(vs) - 1}}
+    often = {g: sorted(v for v in vs for _ in range(1 + v % 3)) for g, vs in groups.items()}
+    got = {(r.product_id, r.name): r.cents for r in selection.at_places(values, wanted, times="times").collect()}
+    assert all(got[g, f"at{k}"] == often[g][k] for g, vs in groups.items() for k in {0, len(vs) // 2, len(vs) - 1})
 
 
 def test_catalogs_without_columns_fail(spark):
