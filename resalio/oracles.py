@@ -189,4 +189,6 @@ def sql() -> dict[str, str]:
             CASE WHEN mil<>'' THEN TRY_CAST(mil AS BIGINT)*1000 WHEN first<>'' THEN TRY_CAST(first AS BIGINT) ELSE 0 END AS sold FROM (SELECT *, regexp_extract(u, '(\\d+)\\s*mil', 1) AS mil, regexp_extract(u, '(\\d+)', 1) AS first FROM (SELECT *, lower(translate(url, '.,', '')) AS u FROM pages))""",
         "upsert": f"{TO_MARKET} SELECT product_id, CASE WHEN n>30 THEN 0.0 ELSE CAST(avg_c AS DOUBLE)/100 END AS avg_price FROM m UNION ALL SELECT -1-product_id, CAST(avg_c AS DOUBLE)/100 FROM m WHERE n<=20",
         "replace_children": f"{TO_LISTINGS} SELECT product_id, CAST(position AS INTEGER) AS rank_position, CASE WHEN product_id%3=0 THEN 'new' ELSE item_id END AS item_id FROM l WHERE position<=5 AND (product_id%3<>0 OR position=1)",
+        "keyed_upsert": f"{TO_MARKET} SELECT product_id, CASE WHEN n>30 THEN 0.0 ELSE CAST(avg_c AS DOUBLE)/100 END AS avg_price FROM m UNION ALL SELECT -1-product_id, CAST(avg_c AS DOUBLE)/100 FROM m WHERE n<=20",
+        "keyed_children": f"{TO_LISTINGS} SELECT product_id, CAST(position AS INTEGER) AS rank_position, CASE WHEN product_id%3=0 THEN 'new' ELSE item_id END AS item_id FROM l WHERE position<=5 AND (product_id%3<>0 OR position=1) AND product_id%7<>1",
     }

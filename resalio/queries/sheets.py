@@ -115,9 +115,9 @@ def header_rows(spark: SparkSession, d: str) -> DataFrame:
 def classified_rows(spark: SparkSession, d: str) -> DataFrame:
     """R3 to R7 with the mapping that headers give."""
     rows = materialize(R.select_sheet(raw_sheets(spark, d)), "rows")
-    marked = rows.join(H.detect_header_row(rows).select("catalog_id", "header_row"), "catalog_id")
+    marked = rows.join(materialize(H.detect_header_row(rows).select("catalog_id", "header_row"), "header-rows"), "catalog_id")
     heads = marked.filter("row_idx = header_row").select("catalog_id", F.posexplode("cells").alias("col_idx", "header")).filter("header IS NOT NULL")
-    mapping = H.mapping_status(H.map_headers(heads)).filter("has_required")
+    mapping = materialize(H.mapping_status(H.map_headers(heads)).filter("has_required"), "mapping")
     data = R.cut_after_blank_run(marked.filter("row_idx > header_row").join(mapping.select("catalog_id"), "catalog_id", "left_semi"))
     ok = F.col("skip_reason").isNull()
     shown = {"raw_name": F.col("raw_name"), "cost": F.col("cost").cast("double"), "sku": F.col("sku"), "supplier": F.col("supplier")}

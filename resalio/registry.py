@@ -14,7 +14,8 @@ from .operators import finance, market, matching, reports, rows, scoring
 from .plans import catalogs
 from .queries import feeds, pairing, runs, sheets
 from .sources import driver, sinks
-from .sources.shared import materialize
+from .sources.shared import materialize, new_folder
+from .sources.tables import KeyedTable
 
 FLAGSHIP = "opportunities"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,6 +156,24 @@ def replace_children(spark: SparkSession, d: str) -> DataFrame:
     return sinks.replace_children(top, new)
 
 
+def keyed_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """S8 on disk: the same change of a table of buckets, in place; only the buckets of the updates are written again."""
+    m = materialize(market_of(spark, d).select("product_id", "avg_price", "total_listings_found"), "market")
+    table = KeyedTable(spark, new_folder(spark, "keyed"), buckets=16).create(m)
+    new = m.filter("total_listings_found > 30").withColumn("avg_price", F.lit(0).cast(P.MONEY))
+    table.upsert(new.unionByName(m.filter("total_listings_found <= 20").withColumn("product_id", -1 - F.col("product_id"))))
+    return doubles(table.read().drop("total_listings_found"))
+
+
+def keyed_children(spark: SparkSession, d: str) -> DataFrame:
+    """S9 and S11 on disk: first listings of some products are replaced, those of others go."""
+    top = materialize(market.top_listings(driver.listings(spark, d, True)).select("product_id", "rank_position", "item_id"), "top")
+    table = KeyedTable(spark, new_folder(spark, "keyed"), buckets=16).create(top)
+    table.replace_children(top.filter("product_id % 3 = 0 AND rank_position = 1").withColumn("item_id", F.lit("new")))
+    table.delete(top.filter("product_id % 7 = 1"))
+    return table.read()
+
+
 def coverage(spark: SparkSession, d: str) -> DataFrame:
     a = analysis(spark, d)
     return reports.pipeline_coverage(a.products, a.market.filter("total_sellers > 0"), a.finance.filter("is_viable"), a.scores.filter("final_score >= 75"))
@@ -204,6 +223,8 @@ def queries() -> dict[str, Query]:
         "page_slugs": pages,
         "upsert": upsert,
         "replace_children": replace_children,
+        "keyed_upsert": keyed_upsert,
+        "keyed_children": keyed_children,
     } | sheets.QUERIES | feeds.QUERIES | pairing.QUERIES | runs.QUERIES
 
 
