@@ -7,8 +7,9 @@ starts; one of the two halves of segments 6 to 10 must then agree too, and the k
 Fingerprints that share a key are candidates; the chain's budgets prune them before the full Hamming check.
 
 Only distinct fingerprints are compared, so exact copies cost nothing. Large groups of near copies are first tied
-to the least and greatest fingerprint of each key (one comparison a row); the pairs that the second, complete join
-returns are only those that are not yet in one component, so no group's pairs are listed.
+to the least and greatest fingerprint of each key (one comparison a row). The second, complete pass takes only keys
+that still hold fingerprints of several components, and compares those of different ones: pairs within a component,
+however large, are neither listed nor met.
 """
 
 from __future__ import annotations
@@ -80,9 +81,13 @@ def linked(fps: DataFrame) -> DataFrame:
     stars = keyed.join(ends, (keyed.key == ends.key) & near() & (F.col("fp") != F.col("v"))).select(F.col("fp").alias("u"), "v")
     first = components(stars)
     tied = materialize(fps.join(first.withColumnRenamed("u", "fp"), "fp", "left").select("fp", F.coalesce("v", "fp").alias("root")), "tied")
-    a = _starts(tied, "root")
-    b = a.select(F.col("key").alias("key2"), F.col("rot").alias("rot2"), F.col("root").alias("v"))
-    more = a.join(b, (a.key == b.key2) & (a.rot < b.rot2) & (a.root != b.v) & near()).select(F.col("root").alias("u"), "v")
+    keyed = _starts(tied, "root")
+    open_keys = keyed.groupBy("key").agg(F.min("root").alias("u"), F.max("root").alias("v")).filter("u <> v").select("key")
+    rows = materialize(keyed.join(open_keys, "key", "left_semi").select("key", "rot", "root"), "unsettled")
+    roots = rows.select("key", "root").distinct()
+    apart = roots.withColumnRenamed("root", "u").join(roots.withColumnRenamed("root", "v"), "key").filter("u < v")
+    one, two = rows.withColumnRenamed("root", "u"), rows.withColumnsRenamed({"root": "v", "rot": "rot2"})
+    more = apart.join(one, ["key", "u"]).join(two, ["key", "v"]).filter(near()).select("u", "v").distinct()
     second = components(more)
     return tied.join(second.withColumnRenamed("u", "root"), "root", "left").select("fp", F.coalesce("v", "root").alias("root")).filter("fp <> root")
 
