@@ -164,8 +164,10 @@ def grow(placed: DataFrame, index, leaf: int = LEAF) -> DataFrame:
     """Part lists of over `leaf` rows, and send their visitors on to the parts, level by level until none is left to part."""
     for level in range(DEPTHS - 1):
         large = placed.groupBy("home").agg(F.count("*").alias("rows")).filter((F.col("rows") > leaf) & (F.floor(F.col("home") / TOPS) % DEPTHS == level))
+        # a share of each list by a hash, half as much again as is wanted, is cut to it: no list is sorted whole
+        drawn = F.pmod(F.xxhash64(F.lit(1), "rep"), F.lit(1 << 40)) / float(1 << 40) < F.lit(1.5 * OWN_SAMPLE) / F.col("rows")
         order = Window.partitionBy("home").orderBy(F.xxhash64("rep"), "rep")
-        own = placed.join(large, "home").select("home", "rows", "embedding", F.row_number().over(order).alias("r")).filter(F.col("r") <= OWN_SAMPLE)
+        own = placed.join(large, "home").filter(drawn).select("home", "rows", "embedding", F.row_number().over(order).alias("r")).filter(F.col("r") <= OWN_SAMPLE)
         parts = materialize(own.groupBy("home").applyInPandas(partial(_part, index, leaf), "list long, centres array<double>, look double"), "parts")
         if parts.isEmpty():
             return placed
