@@ -87,3 +87,22 @@ def find_precision_cols(headers: DataFrame) -> DataFrame:
     norm = T.norm_header("header")
     first = lambda words: F.min(F.when(F.greatest(*[norm.contains(w) for w in words]), F.col("col_idx")))
     return headers.groupBy("catalog_id").agg(first(V.QUERY_COLUMNS).alias("query_col"), first(V.MODEL_COLUMNS).alias("model_col"), first(V.BRAND_COLUMNS).alias("brand_col"))
+
+
+def page_tables(tables: DataFrame, first: int = 5) -> DataFrame:
+    """H7 for tables of pages (catalog_id, table_idx, row_idx, cells): catalog_id, table_idx, header_row and the column of each field, for tables of two rows or more whose best header row, or else row 0, names a product and a cost.
+
+    A table's header is looked for among its first rows; where that row has no columns of names and costs, row 0 is
+    tried.
+    """
+    keyed = tables.withColumn("sheet", F.col("table_idx").cast("string"))
+    long_enough = keyed.groupBy("catalog_id", "sheet").agg(F.count("*").alias("__n")).filter("__n > 1").select("catalog_id", "sheet")
+    found = detect_header_row(keyed.join(long_enough, ["catalog_id", "sheet"], "left_semi"), first).select("catalog_id", "sheet", F.col("header_row").alias("best"))
+    # one table's two candidates are two catalogs to the mapping
+    tried = found.select("catalog_id", "sheet", F.explode(F.array_distinct(F.array("best", F.lit(0).cast("int")))).alias("row_idx"), "best").withColumn("__key", F.concat_ws("\u0001", "catalog_id", "sheet", F.col("row_idx").cast("string")))
+    heads = keyed.filter(F.col("row_idx") < first).join(tried, ["catalog_id", "sheet", "row_idx"]).select("catalog_id", "table_idx", "row_idx", "best", "__key", F.col("cells"))
+    names = heads.select(F.col("__key").alias("catalog_id"), F.posexplode("cells").alias("col_idx", "header")).filter("header IS NOT NULL")
+    mapping = mapping_status(map_headers(names)).filter("has_required").withColumnRenamed("catalog_id", "__key")
+    good = heads.drop("cells").join(mapping.select("__key", *FIELDS), "__key")
+    chosen = good.groupBy("catalog_id", "table_idx").agg(F.max_by(F.struct(F.col("row_idx").alias("header_row"), *FIELDS), (F.col("row_idx") == F.col("best")).cast("int")).alias("m"))
+    return chosen.select("catalog_id", "table_idx", "m.*")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import price as P
 from ..functions import text as T
 from ..functions import vocabulary as V
+from . import headers as H
 
 SHEET = ["catalog_id", "sheet"]
 
@@ -113,6 +114,24 @@ def clean_csv_rows(df: DataFrame) -> DataFrame:
     return df.withColumn("cost", P.parse_price("cost_text")).filter(~F.lower(F.coalesce(name, F.lit(""))).isin("nan", "none", "") & P.is_valid_cost("cost")).withColumn("raw_name", name)
 
 
+def csv_fields(rows: DataFrame) -> DataFrame:
+    """R11 with H4 and H8: records of CSV files (catalog_id, row_idx, cells; row 0 is the header) as raw_name, cost_text, sku, category, supplier and normalized_name.
+
+    Files without columns of names and costs have no rows. A name that says what to search for is the query column's,
+    else the model's code with the brand before it; the supplier's column is the brand's, where there is one.
+    """
+    heads = rows.filter("row_idx = 0").select("catalog_id", F.posexplode("cells").alias("col_idx", "header"))
+    mapping = H.mapping_status(H.map_headers(heads)).filter("has_required").join(H.find_precision_cols(heads), "catalog_id", "left")
+    df = rows.filter("row_idx > 0").select("catalog_id", "row_idx", "cells").join(mapping, "catalog_id")
+    bare = lambda c: F.regexp_replace(cell(c), r"^\s+|\s+$", "")
+    said = lambda c: F.get(F.filter(F.array(bare(c)), lambda v: ~F.lower(v).isin("nan", "none", "")), F.lit(0))
+    df = df.withColumn("brand_col", F.coalesce("supplier", "brand_col"))
+    fields = {"raw_name": bare("product_name"), "cost_text": bare("cost"), "query": said("query_col"), "model": said("model_col"), "brand": said("brand_col"), **{f"of_{c}": said(c) for c in ("sku", "category", "supplier")}}
+    found = df.select("catalog_id", "row_idx", F.col("brand_col").isNotNull().alias("coded"), *[v.alias(k) for k, v in fields.items()])
+    coded = F.when(F.col("model").isNotNull() & F.col("coded"), F.concat_ws(" ", "brand", "model"))
+    return found.select("catalog_id", "row_idx", "raw_name", "cost_text", *[F.col(f"of_{c}").alias(c) for c in ("sku", "category", "supplier")], F.coalesce("query", coded).alias("normalized_name"))
+
+
 def first_usable_table(df: DataFrame) -> DataFrame:
     """Of each catalog's tables (table_idx, skip_reason) the rows of the first that has an accepted row."""
     first = df.filter("skip_reason IS NULL").groupBy("catalog_id").agg(F.min("table_idx").alias("table_idx"))

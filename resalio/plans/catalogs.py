@@ -52,6 +52,24 @@ def parse(raw_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return R.gate(products, quality), quality
 
 
+def parse_csv(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records of CSV files (read_csv_files) to accepted products and the quality of each file.
+
+    A file without a dialect, without columns of names and costs or without records is FAILED with counters of 0.
+    product_id is the file and the record's number.
+    """
+    fields = materialize(R.csv_fields(rows), "csv-fields")
+    good = R.clean_csv_rows(fields)
+    products = good.select("catalog_id", F.concat_ws("-", "catalog_id", F.col("row_idx").cast("string")).alias("product_id"), "raw_name", "normalized_name", "sku", "category", "supplier", "cost")
+    named = ~F.lower(F.coalesce("raw_name", F.lit(""))).isin("nan", "none", "")
+    counts = fields.groupBy("catalog_id").agg(F.count("*").alias("total_rows_scanned"), F.count_if(~named).alias("skipped_invalid_name")).join(good.groupBy("catalog_id").agg(F.count("*").alias("valid_products")), "catalog_id", "left")
+    every = rows.select("catalog_id").distinct().join(counts, "catalog_id", "left").na.fill(0, ["total_rows_scanned", "skipped_invalid_name", "valid_products"])
+    zero = F.lit(0).cast("long")
+    stats = every.withColumns({"skipped_invalid_cost": F.col("total_rows_scanned") - F.col("skipped_invalid_name") - F.col("valid_products"), "skipped_empty": zero, "skipped_subtotal": zero, "duplicate_skus": zero})
+    level = F.when(F.col("success_rate") >= 0.80, "RELIABLE").when(F.col("valid_products") > 0, "PARTIAL").otherwise("FAILED")
+    return products, R.parse_rates(stats).withColumn("confidence", level).drop("skipped_empty", "skipped_subtotal", "duplicate_skus")
+
+
 def analyze(products: DataFrame, listings: DataFrame, config: fin.FeeConfig = fin.FeeConfig.from_settings(), min_sales: int = 0) -> Analysis:
     """I1 from listings on: market, finance, scores. Each stage is written and read by the next, so listings are read once."""
     market = materialize(mkt.market_analysis(mkt.sales_filter(listings, min_sales)), "market")

@@ -12,7 +12,7 @@ from ..operators import headers as H
 from ..operators import rows as R
 from ..oracles import bare, replaced, squeeze
 from ..plans import catalogs
-from ..sources import driver, feeds, sinks
+from ..sources import csv_files, driver, sinks
 from ..sources.shared import materialize, new_folder
 
 #: Headers of catalogs by their number modulo 5. The last have no known column.
@@ -166,18 +166,55 @@ def csv_catalogs(spark: SparkSession, d: str) -> DataFrame:
     """Parts written as CSV files of four separators and two encodings, and read again."""
     folder = new_folder(spark, "csv")
     p = driver.read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("Código"), F.concat("p_name", F.lit(" maçã, doce")).alias("Descrição"), F.col("p_retailprice").cast("string").alias("Preço"))
-    for k, sep in enumerate(feeds.SEPARATORS):
-        for j, encoding in enumerate(feeds.ENCODINGS):
+    for k, sep in enumerate(csv_files.SEPARATORS):
+        for j, encoding in enumerate(csv_files.ENCODINGS):
             part = p.filter(F.pmod(F.col("Código").cast("long"), F.lit(8)) == 2 * k + j)
             part.write.csv(f"{folder}/{k}{j}", header=True, sep=sep, encoding=encoding, quoteAll=True)
-    rows = feeds.read_catalog_csv(spark, f"{folder}/*")
-    return rows.select(F.col("Código").alias("code"), F.col("Descrição").alias("name"), F.col("Preço").cast("double").alias("price"))
+    record = F.col("record")
+    rows = csv_files.csv_records(csv_files.read_csv_files(spark, f"{folder}/*"))
+    return rows.select(record["Código"].alias("code"), record["Descrição"].alias("name"), record["Preço"].cast("double").alias("price"))
+
+
+def many_csv(spark: SparkSession, d: str) -> DataFrame:
+    """S1 on a file for every ten parts: headers of their own by file, four separators, quoted line ends, prices and names of none, some files without a dialect or without known columns."""
+    part = driver.read(spark, d, "part").select(F.floor(F.col("p_partkey") / 10).alias("f"), F.col("p_partkey").alias("k"), "p_name", "p_brand")
+    sep = F.element_at(F.array(*[F.lit(s) for s in csv_files.SEPARATORS]), (F.col("f") % 4 + 1).cast("int"))
+    line = lambda *cells: F.concat_ws("\u0002", *cells)
+    head = F.when(F.col("f") % 9 == 8, line(F.lit("foo"), F.lit("bar"), F.lit("x"), F.lit("y"))).otherwise(line(F.concat(F.lit("Produto "), F.col("f").cast("string")), F.lit("Preço de Custo"), F.lit("Código Modelo"), F.lit("Marca")))
+    name = F.when(F.col("k") % 7 == 0, F.lit("nan")).otherwise(F.concat(F.lit('"'), F.col("p_name"), F.when(F.col("k") % 5 == 0, F.lit('\nlinha, 2; ""x"" |\t')).otherwise(F.lit("")), F.lit('"')))
+    cost = F.when(F.col("k") % 11 == 0, F.lit("grátis")).otherwise(F.concat(F.lit('"R$ '), (F.col("k") % 900 + 1).cast("string"), F.lit(',50"')))
+    rows = part.select("f", "k", sep.alias("sep"), head.alias("head"), line(name, cost, F.when(F.col("k") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("M"), F.col("k").cast("string"))), F.col("p_brand")).alias("row"))
+    files = rows.groupBy("f", "sep", "head").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "row"))), lambda r: r["row"]), "\n").alias("body"))  # ten rows
+    content = F.when(F.col("f") % 13 == 12, F.lit("one column\nx")).otherwise(F.concat_ws("\n", "head", "body"))
+    folder = new_folder(spark, "many-csv")
+    files.select("f", F.replace(content, F.lit("\u0002"), "sep").alias("value")).repartition(8, "f").write.partitionBy("f").text(folder)
+    return csv_files.read_csv_files(spark, f"{folder}/*/*.txt").withColumn("catalog_id", F.regexp_extract("catalog_id", "f=([0-9]+)", 1))
+
+
+def many_csv_products(spark: SparkSession, d: str) -> DataFrame:
+    products, _ = catalogs.parse_csv(materialize(many_csv(spark, d), "csv-rows"))
+    return products.select("product_id", F.regexp_replace("raw_name", "\\s+", " ").alias("raw_name"), F.col("cost").cast("double").alias("cost"), "normalized_name", "supplier")
+
+
+def many_csv_quality(spark: SparkSession, d: str) -> DataFrame:
+    _, quality = catalogs.parse_csv(materialize(many_csv(spark, d), "csv-rows"))
+    return quality.select("catalog_id", "total_rows_scanned", "valid_products", "skipped_invalid_name", "skipped_invalid_cost", "success_rate", "confidence")
+
+
+def page_tables(spark: SparkSession, d: str) -> DataFrame:
+    """H7's fallback: tables of five lines whose header is their first row, a later one, the first one though a later one looks better, or none."""
+    line = driver.read(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 4).alias("kind"))
+    good, other = row("Produto", "Custo", "Obs", None), row("Produto", "Produto Nome", "Item", "Código Modelo Marca SKU")
+    filler = row("Luva", "10,00", "x", None)
+    tables = F.when(F.col("kind") == 0, F.array(good, filler, filler)).when(F.col("kind") == 1, F.array(row("Lista", None, None, None), good, filler)).when(F.col("kind") == 2, F.array(good, other, filler)).otherwise(F.array(row("foo", "bar", "x", "y"), filler, filler))
+    rows = line.select(F.floor(F.col("o_orderkey") / 50).cast("string").alias("catalog_id"), (F.col("o_orderkey") % 50).cast("int").alias("table_idx"), F.posexplode(tables).alias("row_idx", "cells"))
+    return H.page_tables(materialize(rows, "page-tables")).select("catalog_id", "table_idx", F.col("header_row").cast("long").alias("header_row"), F.col("product_name").cast("long").alias("product_name"), F.col("cost").cast("long").alias("cost"))
 
 
 QUERIES = {
     "header_scores": header_scores, "header_fields": header_fields, "header_mapping": header_mapping, "precision_cols": precision_cols, "sheet_choice": sheet_choice, "header_rows": header_rows,
     "classified_rows": classified_rows, "parse_quality": parse_quality, "parse_records": parse_records, "parsed_products": parsed_products,
-    "first_table": first_table, "dedup_names": dedup_names, "csv_rows": csv_rows, "csv_catalogs": csv_catalogs,
+    "first_table": first_table, "dedup_names": dedup_names, "csv_rows": csv_rows, "csv_catalogs": csv_catalogs, "many_csv_products": many_csv_products, "many_csv_quality": many_csv_quality, "page_tables": page_tables,
 }
 
 
@@ -201,6 +238,8 @@ def sql() -> dict[str, str]:
     wide = ", ".join(f"CAST(max(col_idx) FILTER (WHERE field='{f}') AS BIGINT) AS {f}" for f in V.COLUMN_NAMES)
     lost = ", ".join(f"CASE WHEN {f} IS NULL THEN '{f}' END" for f in ("sku", "category", "supplier"))
     tables = "WITH line AS (SELECT l_orderkey//64 AS cid, l_orderkey%64 AS t, row_number() OVER (PARTITION BY l_orderkey//64 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_returnflag) AS n, CASE WHEN l_linenumber%2=0 THEN 'LUVA ' ELSE 'Luva ' END||(l_partkey%40) AS name, l_partkey%3>0 AS sold, l_quantity>=40 AS ok FROM lineitem)"
+    many = """WITH p AS (SELECT p_partkey//10 AS f, p_partkey AS k, p_name, p_brand, row_number() OVER (PARTITION BY p_partkey//10 ORDER BY p_partkey) AS i FROM part),
+r AS (SELECT *, f%13=12 OR f%9=8 AS lost, k%7=0 AS unnamed, k%11=0 AS unpriced FROM p)"""
     record = ", ".join(f"{c} := {c}" for c in COUNTERS.split(", "))
     return {
         "header_scores": f"{h} SELECT catalog_id, col_idx, field, score, keyword, ignored FROM b",
@@ -216,5 +255,8 @@ def sql() -> dict[str, str]:
         "first_table": f"{tables} SELECT CAST(cid AS VARCHAR) AS catalog_id, CAST(t AS INTEGER) AS table_idx, count(*) AS n FROM line JOIN (SELECT cid, min(t) AS t FROM line WHERE ok GROUP BY cid) USING (cid, t) GROUP BY cid, t",
         "dedup_names": f"{tables} SELECT CAST(cid AS VARCHAR) AS catalog_id, n AS row_idx, name AS raw_name FROM (SELECT *, row_number() OVER (PARTITION BY cid, lower(name) ORDER BY n) AS r FROM line) WHERE r=1 AND sold",
         "csv_rows": "SELECT 'Luva '||l_partkey AS raw_name, l_suppkey+0.5 AS cost, count(*) AS n FROM lineitem WHERE l_partkey%6>2 AND l_linenumber NOT IN (2, 3) GROUP BY 1, 2".replace("l_suppkey+0.5", "CAST(l_suppkey AS DOUBLE)+0.5"),
+        "many_csv_products": f"{many} SELECT f||'-'||i AS product_id, p_name||CASE WHEN k%5=0 THEN ' linha, 2; \"x\" |' ELSE '' END AS raw_name, CAST(k%900+1 AS DOUBLE)+0.5 AS cost, CASE WHEN k%3<>0 THEN p_brand||' M'||k END AS normalized_name, p_brand AS supplier FROM r WHERE NOT lost AND NOT unnamed AND NOT unpriced",
+        "many_csv_quality": f"{many} SELECT *, CASE WHEN success_rate>=0.8 THEN 'RELIABLE' WHEN valid_products>0 THEN 'PARTIAL' ELSE 'FAILED' END AS confidence FROM (SELECT *, coalesce(round_even(CAST(valid_products AS DOUBLE)/nullif(total_rows_scanned, 0), 4), 0.0) AS success_rate FROM (SELECT CAST(f AS VARCHAR) AS catalog_id, count(*) FILTER (WHERE NOT lost) AS total_rows_scanned, count(*) FILTER (WHERE NOT lost AND NOT unnamed AND NOT unpriced) AS valid_products, count(*) FILTER (WHERE NOT lost AND unnamed) AS skipped_invalid_name, count(*) FILTER (WHERE NOT lost AND NOT unnamed AND unpriced) AS skipped_invalid_cost FROM r GROUP BY f))",
+        "page_tables": "SELECT CAST(o_orderkey//50 AS VARCHAR) AS catalog_id, CAST(o_orderkey%50 AS INTEGER) AS table_idx, CASE WHEN o_orderkey%4=1 THEN 1 ELSE 0 END AS header_row, 0 AS product_name, 1 AS cost FROM orders WHERE o_orderkey%4<3",
         "csv_catalogs": "SELECT CAST(p_partkey AS VARCHAR) AS code, p_name||' maçã, doce' AS name, p_retailprice AS price FROM part",
     }

@@ -12,7 +12,7 @@ from resalio.functions import price as P
 from resalio.functions import text as T
 from resalio.operators import finance, headers, market, matching, ordering, reports, rows, scoring, selection
 from resalio.plans import catalogs
-from resalio.sources import feeds, sinks
+from resalio.sources import csv_files, feeds, sinks
 from resalio.streaming import catalogs as streaming
 
 
@@ -251,11 +251,40 @@ def test_feeds(spark):
     assert {r.product_id: r.normalized_name for r in names.collect()} == {0: "a", 1: "x", 2: None, 3: None}
 
 
-def test_csv_dialects(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("nome,custo\nx,1\n")
+def test_csv_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("nome,custo\nx,1\n\n\"y\nz\",\"1,5\"\n,2\nNA\n")
     (tmp_path / "b.csv").write_bytes("nome;preço\ny;2\n".encode("latin-1"))
-    got = feeds.read_catalog_csv(spark, f"file://{tmp_path}/a.csv", f"file://{tmp_path}/b.csv")
-    assert set(got.columns) == {"nome", "custo", "preço", "catalog_id"} and sorted(r.nome for r in got.collect()) == ["x", "y"]
+    (tmp_path / "c.csv").write_bytes("\ufeffnome|nome|\nó|2|3\n".encode())
+    (tmp_path / "d.csv").write_text("nome,custo\nx,1,2\n")  # more cells than columns: no separator fits
+    (tmp_path / "e.csv").write_text("\n")
+    (tmp_path / "f.csv").write_text("")  # Spark passes files of no length over
+    rows_ = csv_files.read_csv_files(spark, f"file://{tmp_path}/*.csv")
+    got = {(r.catalog_id.rsplit("/", 1)[1][0], r.row_idx): r for r in rows_.collect()}
+    assert {k: r.cells for k, r in got.items()} == {("a", 0): ["nome", "custo"], ("a", 1): ["x", "1"], ("a", 2): ["y\nz", "1,5"], ("a", 3): [None, "2"], ("a", 4): [None, None], ("b", 0): ["nome", "preço"], ("b", 1): ["y", "2"], ("c", 0): ["nome", "nome.1", "Unnamed: 2"], ("c", 1): ["ó", "2", "3"], ("d", None): None, ("e", None): None}
+    assert {r.catalog_id[-5]: (r.sep, r.encoding, r.status, r.n_rows) for r in csv_files.csv_dialects(spark, f"file://{tmp_path}/*.csv").collect()} == {"a": (",", "utf-8", "OK", 4), "b": (";", "ISO-8859-1", "OK", 1), "c": ("|", "utf-8", "OK", 1), "d": (None, "utf-8", "FAILED", 0), "e": (None, "utf-8", "FAILED", 0)}
+    assert sorted(r.record["nome"] or "" for r in csv_files.csv_records(rows_).collect()) == ["", "", "x", "y", "y\nz", "ó"]
+    plan = rows_._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1
+
+
+def test_csv_catalogs(spark, tmp_path):
+    """Names of precision, texts of none, files without the columns that are needed."""
+    (tmp_path / "a.csv").write_text("Produto,Custo,Query ML,Código Modelo,Marca,SKU\n Luva ,\"1,50\",luva nitrilo,M1,Exbom,1\nCaixa,2,,M2,Exbom,nan\nCabo,3,,M3,,2\nFone,4,none,,Exbom,3\nnone,5,,,,\nPano,x,,,,\n")
+    (tmp_path / "b.csv").write_text("foo,bar\n1,2\n")
+    (tmp_path / "c.csv").write_text("one\n")
+    (tmp_path / "d.csv").write_text("Produto;Custo;Modelo\nLuva;1;M1\n")  # a model without a brand's column says nothing
+    products, quality = catalogs.parse_csv(csv_files.read_csv_files(spark, f"file://{tmp_path}/*.csv"))
+    got = {(r.catalog_id[-5], r.raw_name): (float(r.cost), r.normalized_name, r.sku, r.supplier) for r in products.collect()}
+    assert got == {("a", "Luva"): (1.5, "luva nitrilo", "1", "Exbom"), ("a", "Caixa"): (2, "Exbom M2", None, "Exbom"), ("a", "Cabo"): (3, "M3", "2", None), ("a", "Fone"): (4, None, "3", "Exbom"), ("d", "Luva"): (1, None, None, None)}
+    assert {r.catalog_id[-5]: (r.total_rows_scanned, r.valid_products, r.skipped_invalid_name, r.skipped_invalid_cost, r.confidence) for r in quality.collect()} == {"a": (6, 4, 1, 1, "PARTIAL"), "b": (0, 0, 0, 0, "FAILED"), "c": (0, 0, 0, 0, "FAILED"), "d": (1, 1, 0, 0, "RELIABLE")}
+
+
+def test_page_tables(spark):
+    good, weak = ["Produto", "Custo"], ["Item", "Código Modelo Marca"]
+    tables = {0: [good, ["x", "1"]], 1: [["Lista", None], good, ["x", "1"]], 2: [good, ["Produto Nome", "SKU Código"], ["x", "1"]], 3: [weak, ["x", "1"]], 4: [good]}
+    df = spark.createDataFrame([("c", t, k, cells) for t, rs in tables.items() for k, cells in enumerate(rs)], "catalog_id string, table_idx int, row_idx int, cells array<string>").repartition(3)
+    got = {r.table_idx: (r.header_row, r.product_name, r.cost) for r in headers.page_tables(df).collect()}
+    assert got == {0: (0, 0, 1), 1: (1, 0, 1), 2: (0, 0, 1)}
 
 
 def test_sinks_and_reports(spark):
@@ -365,14 +394,6 @@ def test_catalogs_without_columns_fail(spark):
     assert {r.catalog_id for r in products.select("catalog_id").distinct().collect()} == {"good"}
 
 
-def test_csv_without_dialect_fails(spark, tmp_path):
-    (tmp_path / "a.csv").write_text('"nome; completo",custo\n"x; y",1\n')
-    (tmp_path / "b.csv").write_text("nome\nx\n")
-    found = {r.catalog_id.rsplit("/", 1)[1]: (r.sep, r.status) for r in feeds.csv_dialects(spark, f"file://{tmp_path}/*.csv").collect()}
-    assert found == {"a.csv": (",", "OK"), "b.csv": (None, "FAILED")}
-    assert [(r["nome; completo"], r.custo) for r in feeds.read_catalog_csv(spark, f"file://{tmp_path}/*.csv").collect()] == [("x; y", "1")]
-
-
 def test_market_reads_listings_once(spark, sf):
     from resalio.sources import driver
 
