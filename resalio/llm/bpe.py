@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -47,12 +48,17 @@ class BytePairs:
 
     def merged(self, piece: bytes) -> list[bytes]:
         """Merging by rank, step by step; for the few bytes of one token or two."""
+        rank, none = self.ranks.get, len(self.ranks)
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(a + b, len(self.ranks)), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank == len(self.ranks):
-                break
+        pairs = [rank(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+        while pairs and (least := min(pairs)) < none:
+            at = pairs.index(least)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = rank(parts[at - 1] + parts[at], none)
+            if at < len(pairs):
+                pairs[at] = rank(parts[at] + parts[at + 1], none)
         return parts
 
     def whole(self, b: bytes) -> bool:
@@ -73,27 +79,31 @@ class BytePairs:
         """The ids of one match of the pattern."""
         if (known := self.ranks.get(piece)) is not None:
             return [known]
-        ending: list[list[bytes]] = [[] for _ in range(len(piece) + 1)]
-        for last, b in self.automaton.iter(piece.decode("latin-1")):
-            ending[last + 1].append(b)  # the longest comes first
+        found = list(self.automaton.iter(piece.decode("latin-1")))  # by last byte, the longest first
+        n, sound, fits = len(found), self.sound, self.fits
         dead = bytearray(len(piece) + 1)
-        at, taken, tried = len(piece), [], [0]
+        at, taken = len(piece), []
+        k = bisect_left(found, (at - 1,))
+        tried = []  # where the search goes on at each place, once what was taken there has led nowhere
         while at:
             after = taken[-1] if taken else None
-            for k in range(tried[-1], len(ending[at])):
-                b = ending[at][k]
-                if not dead[at - len(b)] and self.whole(b) and (after is None or self.beside(b, after)):
-                    tried[-1] = k + 1
+            while k < n and found[k][0] == at - 1:
+                b = found[k][1]
+                k += 1
+                if dead[at - len(b)] or not (sound[b] if b in sound else self.whole(b)):
+                    continue
+                if after is None or (fits[b, after] if (b, after) in fits else self.beside(b, after)):
                     taken.append(b)
-                    tried.append(0)
+                    tried.append(k)
                     at -= len(b)
+                    k = bisect_left(found, (at - 1,))
                     break
             else:
                 if not taken:
                     raise ValueError("a byte of the text is in no token")
                 dead[at] = 1
                 at += len(taken.pop())
-                tried.pop()
+                k = tried.pop()
         return [self.ranks[b] for b in reversed(taken)]
 
     def encode(self, strings: list[str]) -> list[bytes]:
