@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.price import MONEY
 from ..sources.shared import materialize
-from .ordering import numbered
+from .ordering import carried, numbered
 from .selection import at_places
 
 #: Listings of a product that one task sorts at most.
@@ -44,14 +44,17 @@ def blank(c: str) -> Column:
 def enrich(listings: DataFrame, details: DataFrame, fees: DataFrame | None = None, first: int = 20) -> DataFrame:
     """K5, K6: the first so many listings of each product take what item details and fees tell.
 
-    The first ones are found by a ranking that each task cuts at `first` before rows are shuffled, and marked by a
-    join, so that a product's listings don't meet in one task. position orders the listings of a product, each once.
+    The first ones, by position and item, are found by a ranking that each task cuts at `first` before rows are
+    shuffled, and marked by a join, so that a product's listings don't meet in one task.
     details: item_id, d_sold, d_condition, d_listing_type, d_seller_id, d_free_shipping, d_logistic_type,
-    d_category_id. fees: category_id, price_from, price_to (exclusive), fee_pct. Both are joined by key.
+    d_category_id; of an item's repeated rows the greatest counts. fees: category_id, price_from, price_to
+    (exclusive), fee_pct. Both are joined by key; a listing stays one row whatever repeats.
     """
-    ranked = listings.select("product_id", "position").withColumn("__n", F.row_number().over(Window.partitionBy("product_id").orderBy("position")))
-    head = ranked.filter(F.col("__n") <= first).select("product_id", "position", F.lit(True).alias("__head"))
-    df = listings.join(head, ["product_id", "position"], "left").withColumn("__head", F.coalesce("__head", F.lit(False))).join(details.withColumn("__known", F.lit(True)), "item_id", "left")
+    ranked = listings.select("product_id", "position", "item_id").withColumn("__n", F.row_number().over(Window.partitionBy("product_id").orderBy("position", "item_id")))
+    head = ranked.filter(F.col("__n") <= first).select("product_id", "position", "item_id", F.lit(True).alias("__head")).distinct()
+    told = [c for c in details.columns if c != "item_id"]
+    once = details.groupBy("item_id").agg(F.max(F.struct(*told)).alias("d")).select("item_id", "d.*", F.lit(True).alias("__known"))
+    df = listings.join(head, ["product_id", "position", "item_id"], "left").withColumn("__head", F.coalesce("__head", F.lit(False))).join(once, "item_id", "left")
     on = F.col("__head") & F.coalesce("__known", F.lit(False))
     take = lambda c, d, when: F.when(on & when, F.col(d)).otherwise(F.col(c))
     df = df.withColumns({
@@ -67,11 +70,22 @@ def enrich(listings: DataFrame, details: DataFrame, fees: DataFrame | None = Non
 
 
 def lookup_fee(listings: DataFrame, fees: DataFrame) -> DataFrame:
-    """K6: the fee of a listing's category and price band, for rows marked __head."""
-    f = fees.select(F.col("category_id").alias("__c"), "price_from", "price_to", "fee_pct")
-    on = (F.col("category_id") == F.col("__c")) & (F.col("price") >= F.col("price_from")) & (F.col("price") < F.col("price_to")) & F.col("__head") & (F.col("price") > 0)
+    """K6: the fee of a listing's category and price band, for rows marked __head.
+
+    An as-of join: listings and bands of a category lie in one order of prices, dealt out by ranges, and the last
+    band is carried along it. Neither a category's listings nor its bands meet in one task, and no listing meets a
+    band that isn't its own. Bands of a category don't overlap; where they begin at one price the last to end counts.
+    """
     wanted = F.col("__head") & ~blank("category_id") & (F.col("price") > 0)
-    return listings.join(f, on, "left").withColumn("ml_fee_pct", F.when(wanted, F.col("fee_pct")).otherwise(F.col("ml_fee_pct"))).drop("__c", "price_from", "price_to", "fee_pct")
+    keep = listings.columns
+    given = listings.select(F.when(wanted, F.col("category_id")).alias("__c"), F.col("price").alias("__p"), F.lit(1).alias("__kind"), F.struct(*keep).alias("__row"), wanted.alias("__wanted"), F.lit(None).cast("struct<until:decimal(12,2),fee:decimal(5,2)>").alias("__band"))
+    bands = fees.select(F.col("category_id").alias("__c"), F.col("price_from").cast(MONEY).alias("__p"), F.lit(0).alias("__kind"), F.lit(None).cast(given.schema["__row"].dataType).alias("__row"), F.lit(False).alias("__wanted"), F.struct(F.col("price_to").cast(MONEY).alias("until"), F.col("fee_pct").cast("decimal(5,2)").alias("fee")).alias("__band"))
+    # rows that look nothing up are spread by a hash, not gathered under the null category
+    both = given.withColumn("__c", F.when(F.col("__wanted"), F.concat(F.lit("c"), F.col("__c"))).otherwise(F.concat(F.lit("-"), (F.monotonically_increasing_id() % 1024).cast("string")))).unionByName(bands.withColumn("__c", F.concat(F.lit("c"), F.col("__c"))))
+    found = carried(both, ["__c"], ["__p", "__kind", "__band"], {"__last": F.col("__band")}).filter("__kind = 1")
+    fee = F.when(F.col("__p") < F.col("__last.until"), F.col("__last.fee"))
+    out = found.select("__row", "__wanted", fee.alias("__fee"))
+    return out.select(*[F.when(F.col("__wanted"), F.col("__fee")).otherwise(F.col("__row.ml_fee_pct")).alias(c) if c == "ml_fee_pct" else F.col(f"__row.{c}").alias(c) for c in keep])
 
 
 def enrich_pages(listings: DataFrame, details: DataFrame, first: int = 5, misses: int = 2) -> DataFrame:

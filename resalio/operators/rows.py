@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import price as P
 from ..functions import text as T
 from ..functions import vocabulary as V
+from ..sources.shared import materialize
 from . import headers as H
+from .ordering import carried
 
 SHEET = ["catalog_id", "sheet"]
+#: Rows of a sheet that one task orders at most.
+LARGE = 2_000_000
 
 
 def is_empty_row() -> Column:
@@ -40,15 +46,46 @@ def T_bare(word: str) -> str:
     return word.translate(str.maketrans(V.ACCENTED, V.BARE))
 
 
-def cut_after_blank_run(df: DataFrame, run: int = 10) -> DataFrame:
-    """The rows of each sheet before its first run of so many blank rows ends; blank_stop tells whether there was one."""
-    by = Window.partitionBy(*SHEET).orderBy("row_idx")
-    df = df.withColumn("__blank", is_empty_row()).withColumn("__island", F.sum(F.when(F.col("__blank"), 0).otherwise(1)).over(by))
-    inside = Window.partitionBy(*SHEET, "__island").orderBy("row_idx")
-    df = df.withColumn("__n", F.sum(F.col("__blank").cast("int")).over(inside))
-    stop = F.min(F.when(F.col("__n") >= run, F.col("row_idx"))).over(Window.partitionBy(*SHEET))
-    df = df.withColumn("__stop", stop).filter(F.col("__stop").isNull() | (F.col("row_idx") <= F.col("__stop")))
-    return df.withColumn("blank_stop", F.col("__stop").isNotNull()).drop("__blank", "__island", "__n", "__stop")
+def large_sheets(raw_rows: DataFrame, most: int = LARGE) -> DataFrame | None:
+    """catalog_id, sheet of sheets with more rows than one task should order: over `most`, and over a 10,000th of all, so that they are 10,000 at most; None if there are none."""
+    counts = raw_rows.groupBy(*SHEET).agg(F.count("*").alias("rows"))
+    largest, total = counts.agg(F.max("rows"), F.sum("rows")).first()
+    limit = max(most, (total or 0) // 10_000)
+    return materialize(counts.filter(F.col("rows") > limit).select(*SHEET), "large-sheets") if (largest or 0) > limit else None
+
+
+def by_size(df: DataFrame, large: DataFrame | None, small_way: Callable[[DataFrame], DataFrame], large_way: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of large sheets by one way, all others by the other."""
+    if large is None:
+        return small_way(df)
+    known = F.broadcast(large)  # 10,000 rows at most
+    return small_way(df.join(known, SHEET, "left_anti")).unionByName(large_way(df.join(known, SHEET, "left_semi")))
+
+
+def cut_after_blank_run(df: DataFrame, run: int = 10, large: DataFrame | None = None) -> DataFrame:
+    """The rows of each sheet before its first run of so many blank rows ends; blank_stop tells whether there was one.
+
+    Sheets named in `large` (large_sheets) are numbered in many tasks; the number of the last row that isn't blank is
+    carried along, and what a row's number is beyond it is its run.
+    """
+
+    def small_way(df: DataFrame) -> DataFrame:
+        by = Window.partitionBy(*SHEET).orderBy("row_idx")
+        df = df.withColumn("__blank", is_empty_row()).withColumn("__island", F.sum(F.when(F.col("__blank"), 0).otherwise(1)).over(by))
+        inside = Window.partitionBy(*SHEET, "__island").orderBy("row_idx")
+        df = df.withColumn("__n", F.sum(F.col("__blank").cast("int")).over(inside))
+        stop = F.min(F.when(F.col("__n") >= run, F.col("row_idx"))).over(Window.partitionBy(*SHEET))
+        df = df.withColumn("__stop", stop).filter(F.col("__stop").isNull() | (F.col("row_idx") <= F.col("__stop")))
+        return df.withColumn("blank_stop", F.col("__stop").isNotNull()).drop("__blank", "__island", "__n", "__stop")
+
+    def large_way(df: DataFrame) -> DataFrame:
+        rows = carried(df, SHEET, ["row_idx"], {"__full": F.when(~is_empty_row(), F.col("__no"))}, number="__no")
+        rows = materialize(rows.withColumn("__run", F.col("__no") - F.coalesce("__full", F.lit(0))), "runs")
+        stops = rows.filter(F.col("__run") >= run).groupBy(*SHEET).agg(F.min("row_idx").alias("__stop"))
+        rows = rows.join(F.broadcast(stops), SHEET, "left").filter(F.col("__stop").isNull() | (F.col("row_idx") <= F.col("__stop")))  # a row of each large sheet
+        return rows.withColumn("blank_stop", F.col("__stop").isNotNull()).drop("__no", "__full", "__run", "__stop")
+
+    return by_size(df, large, small_way, large_way)
 
 
 def is_subtotal(name: Column) -> Column:
@@ -88,17 +125,29 @@ def classify_rows(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     return df.select(*keep, "skip_reason", "cost_unparsed", "raw_name", F.col("price").alias("cost"), F.col("sku_text").alias("sku"), F.col("category_text").alias("category"), F.col("supplier_text").alias("supplier"))
 
 
-def fill_category(accepted: DataFrame) -> DataFrame:
-    """A missing category is the last one above it among accepted rows."""
+def fill_category(accepted: DataFrame, large: DataFrame | None = None) -> DataFrame:
+    """A missing category is the last one above it among accepted rows. Sheets named in `large` are filled in many tasks."""
     by = Window.partitionBy(*SHEET).orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
-    return accepted.withColumn("category", F.last("category", ignorenulls=True).over(by))
+    last = lambda df: df.withColumn("category", F.last("category", ignorenulls=True).over(by))
+    far = lambda df: carried(df, SHEET, ["row_idx"], {"__last": F.col("category")}).withColumn("category", F.col("__last")).drop("__last")
+    return by_size(accepted, large, last, far)
 
 
-def flag_dup_sku(df: DataFrame) -> DataFrame:
-    """is_dup_sku for all but the first row of a SKU in a catalog."""
+def flag_dup_sku(df: DataFrame, large: DataFrame | None = None) -> DataFrame:
+    """is_dup_sku for all but the first row of a SKU in a catalog. In sheets named in `large` the first rows are counted before they are joined, and Spark splits a hot SKU's join."""
     sku = F.upper(F.trim("sku"))
-    by = Window.partitionBy("catalog_id", sku).orderBy("row_idx")
-    return df.withColumn("is_dup_sku", F.col("sku").isNotNull() & (F.trim("sku") != "") & (F.row_number().over(by) > 1))
+    known = F.col("sku").isNotNull() & (F.trim("sku") != "")
+
+    def small_way(df: DataFrame) -> DataFrame:
+        by = Window.partitionBy("catalog_id", sku).orderBy("row_idx")
+        return df.withColumn("is_dup_sku", known & (F.row_number().over(by) > 1))
+
+    def large_way(df: DataFrame) -> DataFrame:
+        rows = df.withColumn("__sku", F.when(known, sku))
+        first = materialize(rows.filter("__sku IS NOT NULL").groupBy("catalog_id", "__sku").agg(F.min("row_idx").alias("__first")), "first-skus")
+        return rows.join(first, ["catalog_id", "__sku"], "left").withColumn("is_dup_sku", F.coalesce(F.col("row_idx") > F.col("__first"), F.lit(False))).drop("__sku", "__first")
+
+    return by_size(df, large, small_way, large_way)
 
 
 def dedup_names(df: DataFrame) -> DataFrame:
@@ -128,8 +177,8 @@ def csv_fields(rows: DataFrame) -> DataFrame:
     df = df.withColumn("brand_col", F.coalesce("supplier", "brand_col"))
     fields = {"raw_name": bare("product_name"), "cost_text": bare("cost"), "query": said("query_col"), "model": said("model_col"), "brand": said("brand_col"), **{f"of_{c}": said(c) for c in ("sku", "category", "supplier")}}
     found = df.select("catalog_id", "row_idx", F.col("brand_col").isNotNull().alias("coded"), *[v.alias(k) for k, v in fields.items()])
-    coded = F.when(F.col("model").isNotNull() & F.col("coded"), F.concat_ws(" ", "brand", "model"))
-    return found.select("catalog_id", "row_idx", "raw_name", "cost_text", *[F.col(f"of_{c}").alias(c) for c in ("sku", "category", "supplier")], F.coalesce("query", coded).alias("normalized_name"))
+    precise = T.precision_name("query", "brand", F.when(F.col("coded"), F.col("model")))
+    return found.select("catalog_id", "row_idx", "raw_name", "cost_text", *[F.col(f"of_{c}").alias(c) for c in ("sku", "category", "supplier")], precise.alias("normalized_name"))
 
 
 def first_usable_table(df: DataFrame) -> DataFrame:

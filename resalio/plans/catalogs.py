@@ -30,7 +30,7 @@ class Analysis:
     quarantine: DataFrame | None = None
 
 
-def parse(raw_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def parse(raw_rows: DataFrame, most: int = R.LARGE) -> tuple[DataFrame, DataFrame]:
     """Raw sheets (catalog_id, sheet_idx, sheet, row_idx, cells) to accepted products and the quality of each catalog.
 
     A catalog without columns of names and costs, or without any row that isn't blank, has counters of 0 and FAILED.
@@ -40,9 +40,10 @@ def parse(raw_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     marked = rows.join(at.select("catalog_id", "sheet", "header_row"), ["catalog_id", "sheet"])
     heads = marked.filter("row_idx = header_row").select("catalog_id", F.posexplode("cells").alias("col_idx", "header")).filter("header IS NOT NULL")
     mapping = materialize(H.mapping_status(H.map_headers(heads)).filter("has_required"), "mapping")
-    data = R.cut_after_blank_run(marked.filter("row_idx > header_row").drop("header_row").join(mapping.select("catalog_id"), "catalog_id", "left_semi"))
+    large = R.large_sheets(rows, most)
+    data = R.cut_after_blank_run(marked.filter("row_idx > header_row").drop("header_row").join(mapping.select("catalog_id"), "catalog_id", "left_semi"), large=large)
     classified = materialize(R.classify_rows(data, mapping), "classified")
-    accepted = R.flag_dup_sku(R.fill_category(classified.filter("skip_reason IS NULL")))
+    accepted = R.flag_dup_sku(R.fill_category(classified.filter("skip_reason IS NULL"), large), large)
     flags = accepted.filter("is_dup_sku").select("catalog_id", "sheet", "row_idx", "is_dup_sku")
     stats = R.parse_stats(classified.join(flags, ["catalog_id", "sheet", "row_idx"], "left").withColumn("is_dup_sku", F.coalesce("is_dup_sku", F.lit(False))))
     counters = [c for c in stats.columns if c != "catalog_id"]

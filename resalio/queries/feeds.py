@@ -9,7 +9,7 @@ from ..functions import price as P
 from ..functions import text as T
 from ..operators import market, matching, reports
 from ..operators.ordering import numbered
-from ..oracles import TO_FINANCE, cents, half_up
+from ..oracles import TO_FINANCE, TO_LISTINGS, cents, half_up
 from ..sources import driver, feeds, sinks
 from ..sources.shared import new_folder
 
@@ -157,9 +157,18 @@ def listing_fees(spark: SparkSession, d: str) -> DataFrame:
     return market.lookup_fee(given, fees).select("item_id", F.col("ml_fee_pct").cast("double").alias("fee"))
 
 
+def banded_fees(spark: SparkSession, d: str) -> DataFrame:
+    """K6 with a schedule made of parts: a band of prices a part in four categories, with gaps; all listings ask."""
+    given = driver.listings(spark, d).withColumns({"__head": F.lit(True), "category_id": F.concat(F.lit("c"), (F.col("seller_id") % 4).cast("string"))})
+    k = F.floor(F.col("p_partkey") / 4)
+    reais = lambda c: c.cast(P.MONEY)
+    fees = driver.read(spark, d, "part").select(F.concat(F.lit("c"), (F.col("p_partkey") % 4).cast("string")).alias("category_id"), reais(k * 40).alias("price_from"), reais(k * 40 + 32).alias("price_to"), (k % 20 + F.lit("0.5").cast("decimal(2,1)")).cast("decimal(5,2)").alias("fee_pct"))
+    return market.lookup_fee(given, fees).groupBy("item_id", F.col("price").cast("double").alias("price")).agg(F.max(F.col("ml_fee_pct").cast("double")).alias("fee"), F.count("*").alias("n"))
+
+
 QUERIES = {
     "api_listings": api_listings, "actor_listings": actor_listings, "listing_cards": listing_cards, "joined_feeds": joined_feeds, "written_products": written_products, "products_of": products_of, "migrated_classes": migrated,
-    "named_products": named_products, "cell_texts": cell_texts, "distinct_queries": distinct_queries, "query_batches": query_batches, "assembled_pages": assembled_pages, "enriched_pages": enriched_pages, "listing_fees": listing_fees,
+    "named_products": named_products, "cell_texts": cell_texts, "distinct_queries": distinct_queries, "query_batches": query_batches, "assembled_pages": assembled_pages, "enriched_pages": enriched_pages, "listing_fees": listing_fees, "banded_fees": banded_fees,
 }
 
 ORDER = f"PARTITION BY l_orderkey ORDER BY {', '.join(KEY)}"
@@ -197,5 +206,6 @@ def sql() -> dict[str, str]:
             w AS (SELECT *, known AND position<=5 AND NOT coalesce(max(two) OVER ({ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS hit FROM z),
             v AS (SELECT l_orderkey AS product_id, position, l_orderkey||'-'||position AS item_id, CASE WHEN hit THEN l_suppkey*2 ELSE CAST(l_quantity AS BIGINT) END AS sold_quantity, l_partkey*0.5+CASE WHEN hit THEN 1 ELSE 0 END AS price, CASE WHEN hit THEN 'new' ELSE '' END AS condition, hit AS free_shipping, CASE WHEN hit THEN l_suppkey ELSE 0 END AS seller_id FROM w)
             SELECT * REPLACE (row_number() OVER (PARTITION BY product_id ORDER BY sold_quantity DESC, position) AS position, CAST(price AS DOUBLE) AS price) FROM v""",
+        "banded_fees": f"{TO_LISTINGS} SELECT item_id, CAST(price_c AS DOUBLE)/100 AS price, max(CASE WHEN price_c%4000<3200 THEN CAST(price_c//4000%20 AS DOUBLE)+0.5 END) FILTER (WHERE p_partkey IS NOT NULL) AS fee, count(*) AS n FROM l LEFT JOIN part ON p_partkey=price_c//4000*4+seller_id%4 GROUP BY item_id, price_c",
         "listing_fees": f"{PLACED} SELECT l_orderkey||'-'||position AS item_id, CASE WHEN position<=3 AND l_suppkey%4>0 AND l_partkey>0 THEN CASE WHEN l_suppkey%4<3 THEN l_suppkey%4+CASE WHEN l_partkey*0.5<79 THEN 12.0 ELSE 16.0 END END ELSE 9.5 END AS fee FROM x".replace("END AS fee", "END::DOUBLE AS fee"),
     }

@@ -96,7 +96,7 @@ def read_csv_files(spark: SparkSession, *paths: str) -> DataFrame:
 def csv_dialects(spark: SparkSession, *paths: str) -> DataFrame:
     """catalog_id, sep, encoding, status (FAILED or OK) and number of records of each file."""
     rows = read_csv_files(spark, *paths)
-    return rows.groupBy("catalog_id").agg(*[F.first(c).alias(c) for c in ("sep", "encoding", "status")], F.count_if("row_idx > 0").alias("n_rows"))
+    return rows.groupBy("catalog_id").agg(*[F.first(c).alias(c) for c in ("sep", "encoding", "status")], F.count_if(F.col("row_idx") > 0).alias("n_rows"))
 
 
 def csv_records(rows: DataFrame) -> DataFrame:

@@ -417,3 +417,53 @@ def test_rows(spark):
     assert [r.raw_name for r in rows.dedup_names(df).collect()] == ["B"]
     t = spark.createDataFrame([("c", 0, "x"), ("c", 1, None), ("c", 2, None)], "catalog_id string, table_idx int, skip_reason string")
     assert [r.table_idx for r in rows.first_usable_table(t).collect()] == [1]
+
+
+def test_values_are_carried_over_ranges(spark):
+    rng = random.Random(5)
+    data = [("big" if rng.random() < 0.9 else f"s{rng.randrange(4)}", k, rng.randrange(100) if rng.random() < 0.02 else None) for k in range(3000)]
+    df = spark.createDataFrame(data, "g string, k int, v int").repartition(6)
+    got = {(r.g, r.k): (r.last, r.no) for r in ordering.carried(df, ["g"], ["k"], {"last": F.col("v")}, number="no").collect()}
+    last, no = {}, {}
+    for g, k, v in sorted(data, key=lambda r: (r[0], r[1])):
+        last[g] = v if v is not None else last.get(g)
+        no[g] = no.get(g, 0) + 1
+        assert got[g, k] == (last[g], no[g]), (g, k)
+    assert ordering.carried(df.limit(0), ["g"], ["k"], {"last": F.col("v")}).count() == 0
+
+
+def test_large_sheets_parse_alike(spark):
+    """R3, R8, R9 over ranges of a sheet give what windows give."""
+    rng = random.Random(8)
+    line = lambda k: rng.choice([[f"Luva {rng.randrange(40)}x", "1,00", f"s{rng.randrange(30)}", f"c{k}" if rng.random() < 0.1 else None, "f"], [None, " "], ["Luva ruim", "abc", "x", None, None]])
+    sheets = {"a": [line(k) for k in range(400)], "b": [line(k) for k in range(60)] + [[None]] * 10 + [line(k) for k in range(50)], "c": [[None]] * 9 + [line(k) for k in range(90)] + [[None]] * 10 + [line(1)]}
+    head = ["Produto", "Custo", "SKU", "Categoria", "Fornecedor"]
+    data = [(c, 0, "Plan1", k, cells) for c, rs in sheets.items() for k, cells in enumerate([head, *rs])]
+    df = spark.createDataFrame(data, feeds.RAW_ROWS).repartition(3)
+    key = lambda t: sorted((tuple(r) for r in t.collect()), key=str)
+    assert rows.large_sheets(df, 50).count() == 3 and rows.large_sheets(df) is None
+    for whole, parted in zip(catalogs.parse(df), catalogs.parse(df, most=70)):
+        assert key(whole) == key(parted) and len(key(whole)) >= 3
+
+
+def test_fees_of_many_bands(spark):
+    rng = random.Random(9)
+    bands = [(f"c{c}", Decimal(10 * k), Decimal(10 * k + 8), Decimal(k % 20)) for c in range(3) for k in range(300)]
+    fees = spark.createDataFrame(bands, feeds.FEES).repartition(3)
+    data = [listing(1, k, f"m{k}", rng.randrange(0, 3100), category=rng.choice(["c0", "c0", "c0", "c1", "c9", ""])) for k in range(600)]
+    df = spark.createDataFrame(data, LISTING).withColumns({"__head": F.col("position") % 5 > 0, "ml_fee_pct": F.lit(99).cast("decimal(5,2)")})
+    got = {r.item_id: r.ml_fee_pct for r in market.lookup_fee(df, fees).collect()}
+    for p, k, item, price, *_, category, _, _, _, _ in ((*r[:4], *r[4:]) for r in data):
+        asked = k % 5 > 0 and category and price > 0
+        want = next((f for c, a, b, f in bands if c == category and a <= price < b), None) if asked else Decimal(99)
+        assert got[item] == want, (item, price, category)
+    assert len(got) == len(data) and market.lookup_fee(df, fees).columns == df.columns
+
+
+def test_enrichment_keeps_one_row_a_listing(spark):
+    """Positions that are shared and details that come twice multiply nothing."""
+    df = spark.createDataFrame([listing(1, 1, "a", 10), listing(1, 1, "b", 10), listing(1, 2, "c", 10)], LISTING)
+    detail = ("a", 5, "new", "gold", 7, True, "full", "c1", Decimal(1))
+    details = spark.createDataFrame([detail, detail, ("a", 9, *detail[2:]), ("b", 3, *detail[2:])], feeds.DETAILS).drop("d_price")
+    got = sorted((r.item_id, r.sold_quantity) for r in market.enrich(df, details, first=2).collect())
+    assert got == [("a", 9), ("b", 3), ("c", 0)]
