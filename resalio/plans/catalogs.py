@@ -15,7 +15,7 @@ from ..operators import matching as M
 from ..operators import rows as R
 from ..operators import scoring
 from ..sources import sinks
-from ..sources.shared import materialize
+from ..sources.shared import Run, materialize
 
 
 @dataclass(frozen=True)
@@ -71,26 +71,38 @@ def parse_csv(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return products, R.parse_rates(stats).withColumn("confidence", level).drop("skipped_empty", "skipped_subtotal", "duplicate_skus")
 
 
-def analyze(products: DataFrame, listings: DataFrame, config: fin.FeeConfig = fin.FeeConfig.from_settings(), min_sales: int = 0) -> Analysis:
-    """I1 from listings on: market, finance, scores. Each stage is written and read by the next, so listings are read once."""
-    market = materialize(mkt.market_analysis(mkt.sales_filter(listings, min_sales)), "market")
-    tried = materialize(fin.attempt(products, market, config), "finance")
+def analyze(products: DataFrame, listings: DataFrame, config: fin.FeeConfig = fin.FeeConfig.from_settings(), min_sales: int = 0, run: Run | None = None) -> Analysis:
+    """I1 from listings on: market, finance, scores. Each stage is written and read by the next, so listings are read once.
+
+    A run that stopped goes on after its last complete stage, if it is given again.
+    """
+    spark, kept = products.sparkSession, run is not None
+    run = run or Run(spark)
+    market = run.stage("market", lambda: mkt.market_analysis(mkt.sales_filter(listings, min_sales)))
+    tried = run.stage("finance", lambda: fin.attempt(products, market, config))
     finance = fin.results(tried)
+    ranked = lambda: scoring.score_catalog(finance, written=True)
     top = mkt.top_listings(listings) if "position" in listings.columns else None
-    return Analysis(products, market, finance, scoring.score_catalog(finance, written=True), top, fin.quarantine(tried))
+    return Analysis(products, market, finance, run.stage("scores", ranked) if kept else ranked(), top, fin.quarantine(tried))
 
 
-def run_pipeline(raw_rows: DataFrame, results: DataFrame, config: fin.FeeConfig = fin.FeeConfig.from_settings(), min_sales: int = 0, min_confidence: float = 0.15) -> tuple[DataFrame, Analysis]:
+def run_pipeline(raw_rows: DataFrame, results: DataFrame, config: fin.FeeConfig = fin.FeeConfig.from_settings(), min_sales: int = 0, min_confidence: float = 0.15, run: Run | None = None) -> tuple[DataFrame, Analysis]:
     """I1 whole: catalogs' sheets and search results (query, position, listing columns) to quality and analyses.
 
     Accepted products search by their names (T10), listings are scored against them and qualified in two phases (M13).
+    Stages (products and quality, listings, market, finance, scores) are complete or not there: a run that stopped is
+    given again to go on.
     """
-    products, quality = parse(raw_rows)
-    products = materialize(products, "products")
-    asked = M.prepare(products.select("product_id", "raw_name", T.search_query("raw_name").alias("query")), "raw_name", "catalog")
-    found = M.two_phase_match(asked, M.prepare(results, "title", "listing"), min_sales, min_confidence)
-    listings = materialize(found.drop("raw_name", *[c for c in found.columns if c.startswith(("catalog_", "listing_")) and c != "listing_type"]), "listings")
-    return quality, analyze(products, listings, config, min_sales)
+    run = run or Run(raw_rows.sparkSession)
+    products, quality = run.stages(["products", "quality"], lambda: parse(raw_rows))
+
+    def matched() -> DataFrame:
+        asked = M.prepare(products.select("product_id", "raw_name", T.search_query("raw_name").alias("query")), "raw_name", "catalog")
+        found = M.two_phase_match(asked, M.prepare(results, "title", "listing"), min_sales, min_confidence)
+        return found.drop("raw_name", *[c for c in found.columns if c.startswith(("catalog_", "listing_")) and c != "listing_type"])
+
+    listings = run.stage("listings", matched)
+    return quality, analyze(products, listings, config, min_sales, run)
 
 
 def rerun_analysis(products: DataFrame, listings: DataFrame, market: DataFrame, config: fin.FeeConfig = fin.FeeConfig.from_settings()) -> Analysis:

@@ -10,7 +10,7 @@ from ..functions.price import MONEY
 from ..operators import finance, market, reports
 from ..plans import catalogs
 from ..sources import driver, sinks
-from ..sources.shared import materialize, new_folder
+from ..sources.shared import Run, materialize, new_folder
 from ..streaming import catalogs as streaming
 from . import sheets
 
@@ -159,6 +159,14 @@ def full_run(spark: SparkSession, d: str) -> DataFrame:
     return doubled(a.scores.select("product_id", "catalog_id", "cost", "avg_market_price", "net_margin_pct", "confidence_score", "final_score", "rank_position", "is_viable"))
 
 
+def resumed_run(spark: SparkSession, d: str) -> DataFrame:
+    """I1 started twice: the second start has no listings, and reads what the first has made of them."""
+    run, p = Run(spark), driver.products(spark, d)
+    run.stage("market", lambda: market.market_analysis(driver.listings(spark, d)))
+    a = catalogs.analyze(p, driver.listings(spark, d).limit(0), run=run)
+    return doubled(a.scores.select("product_id", "catalog_id", "avg_market_price", "final_score", "rank_position", "recommendation"))
+
+
 def streamed_market(spark: SparkSession, d: str) -> DataFrame:
     """Listings in files, a product's in several, streamed file by file into market rows."""
     folder = new_folder(spark, "stream")
@@ -171,7 +179,7 @@ def streamed_market(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "scores_spread": scores_spread, "finance_spread": finance_spread, "finance_isolated": finance_isolated, "finance_quarantine": finance_quarantine, "finance_default": finance_default, "price_skew": price_skew, "opportunities_good": opportunities_good, "filtered_excellent": filtered_excellent, "filtered_any": filtered_any, "listings_of": listings_of, "ranked_scores": ranked_scores,
-    "catalogs_of": catalogs_of, "page": page, "sample_products": sample_products, "stage_progress": stage_progress, "latest_status": latest_status, "cleared_scores": cleared, "backfilled_fees": backfilled, "rerun_analysis": rerun, "full_run": full_run, "streamed_market": streamed_market,
+    "catalogs_of": catalogs_of, "page": page, "sample_products": sample_products, "stage_progress": stage_progress, "latest_status": latest_status, "cleared_scores": cleared, "backfilled_fees": backfilled, "rerun_analysis": rerun, "full_run": full_run, "resumed_run": resumed_run, "streamed_market": streamed_market,
 }
 
 
@@ -217,5 +225,6 @@ m AS (SELECT product_id, 1 AS sellers, 1 AS n, 750 AS conf, p_size*1000 AS avg_s
         "backfilled_fees": f"{to_scores} SELECT product_id, CAST(CASE WHEN product_id%3=0 THEN ml_fee_c ELSE ml_fee_c+100 END AS DOUBLE)/100 AS ml_fee FROM f",
         "rerun_analysis": f"{again} SELECT product_id, {c('price_c', 'avg_market_price')}, {c('gross_bp', 'gross_margin_pct')}, {final}, rank_position FROM s",
         "full_run": f"{whole} SELECT product_id, catalog_id, {c('cost_c', 'cost')}, {c('price_c', 'avg_market_price')}, {c('net_bp', 'net_margin_pct')}, CAST(conf AS DOUBLE)/10 AS confidence_score, {final}, rank_position, is_viable FROM s",
+        "resumed_run": f"{O.TO_SCORES} SELECT product_id, catalog_id, {c('price_c', 'avg_market_price')}, {final}, rank_position, recommendation FROM s",
         "streamed_market": f"{O.TO_MARKET} SELECT product_id, {c('avg_c', 'avg_price')}, n AS total_listings_found, total_sold AS total_sold_quantity FROM m",
     }

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import delete, materialize
 from .sinks import replace_children, upsert
 
 
@@ -68,12 +68,7 @@ class KeyedTable:
             self._write(rest.drop("bucket"), "dynamic")
             left = {r.bucket for r in rest.select("bucket").distinct().collect()}  # at most `buckets` numbers
             for b in set(touched) - left:
-                _delete(self.spark, f"{self.path}/bucket={b}")
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                delete(self.spark, f"{self.path}/bucket={b}")
 
 
 def save_laid_out(df: DataFrame, name: str, buckets: int = 64) -> DataFrame:

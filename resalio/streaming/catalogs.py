@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import market as mkt
-from ..sources.shared import materialize
+from ..sources.shared import delete, materialize, scratch, written
 
 #: Parts of the products; a batch reads the parts of the products in it.
 BUCKETS = 64
@@ -60,8 +60,7 @@ class State:
 
     def complete(self, segment: Segment) -> bool:
         """Whether all tables of a segment are written: the market rows are the last."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder(segment, 'market')}/_SUCCESS")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return written(self.spark, self.folder(segment, "market"))
 
     def there(self) -> list[Segment]:
         """All complete segments."""
@@ -71,8 +70,7 @@ class State:
         return sorted(tuple(map(int, n.removeprefix("segment=").split("-"))) for n in names)
 
     def drop(self, segment: Segment) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.target}/segment={segment[0]}-{segment[1]}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, f"{self.target}/segment={segment[0]}-{segment[1]}")
 
 
 def merged(table: str, rows: DataFrame) -> DataFrame:
@@ -141,8 +139,13 @@ def stream_market(spark: SparkSession, source: str, schema: str, target: str, ch
     A run that stops resumes after its last batch. Ends when no files are left.
     """
     state = State(spark, target, buckets)
+
+    def add(batch: DataFrame, number: int) -> None:
+        with scratch(spark):
+            add_batch(state, batch, number)
+
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
-    return stream.writeStream.foreachBatch(lambda batch, number: add_batch(state, batch, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_market(spark: SparkSession, target: str, number: int | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from resalio.functions import price as P
 from resalio.functions import text as T
 from resalio.operators import finance, headers, market, matching, ordering, reports, rows, scoring, selection
 from resalio.plans import catalogs
-from resalio.sources import csv_files, feeds, sinks
+from resalio.sources import csv_files, feeds, shared, sinks
 from resalio.streaming import catalogs as streaming
 
 
@@ -467,3 +467,36 @@ def test_enrichment_keeps_one_row_a_listing(spark):
     details = spark.createDataFrame([detail, detail, ("a", 9, *detail[2:]), ("b", 3, *detail[2:])], feeds.DETAILS).drop("d_price")
     got = sorted((r.item_id, r.sold_quantity) for r in market.enrich(df, details, first=2).collect())
     assert got == [("a", 9), ("b", 3), ("c", 0)]
+
+
+def test_a_run_goes_on_after_its_last_stage(spark, tmp_path, monkeypatch):
+    """A run that stops after market finishes without its listings; steps on the way are gone."""
+    products = spark.createDataFrame([(k, "c", "Luva", None, Decimal(5)) for k in range(4)], "product_id long, catalog_id string, raw_name string, normalized_name string, cost decimal(12,2)")
+    spark.createDataFrame([listing(k, 1, f"m{k}", 50 + k) for k in range(4)], LISTING).write.parquet(f"{tmp_path}/listings")
+    listings = spark.read.parquet(f"{tmp_path}/listings")
+    run = shared.Run(spark, f"file://{tmp_path}/run")
+    with monkeypatch.context() as m:
+        m.setattr(catalogs.fin, "attempt", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            catalogs.analyze(products, listings, run=run)
+    assert sorted(p.name for p in (tmp_path / "run").iterdir()) == ["market"]
+    (tmp_path / "listings").rename(tmp_path / "gone")
+    a = catalogs.analyze(products, listings, run=shared.Run(spark, f"file://{tmp_path}/run"))
+    assert a.scores.count() == 4 and sorted(p.name for p in (tmp_path / "run").iterdir()) == ["finance", "market", "scores"]
+    assert shared.written(spark, f"{run.folder}/scores") and not shared.written(spark, f"{run.folder}/other")
+    run.clear()
+    assert not (tmp_path / "run").exists()
+
+
+def test_steps_are_cleared(spark):
+    kept = shared.materialize(spark.range(3), "kept")
+    inner = []
+
+    def make():
+        inner.append(shared.materialize(kept, "inner"))
+        return inner[0].withColumn("x", F.col("id") + 1)
+
+    out = shared.settled(spark, "out", make)
+    assert out.count() == 3 and kept.count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        inner[0].collect()
