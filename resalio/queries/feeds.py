@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import market, matching, reports
 from ..operators.ordering import numbered
 from ..oracles import TO_FINANCE, TO_LISTINGS, cents, half_up
-from ..sources import driver, feeds, sinks
+from ..sources import driver, feeds, markup, sinks
 from ..sources.shared import new_folder
 
 KEY = ["l_linenumber", "l_partkey", "l_suppkey", *driver.LINE[2:]]
@@ -55,14 +55,20 @@ def actor_listings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def listing_cards(spark: SparkSession, d: str) -> DataFrame:
-    """Pages with three cards after what they hold: one as now, one without an item, one in older markup."""
+    """Pages with six cards after what they hold: nested tags and entities; single quotes, no quotes and capitals; one without an item; older markup with a card within a card; and cards in a comment and a script, which are none."""
     i = text("page_id")
-    open_ = '<li class="a ui-search-layout__item b">'
-    now = F.concat(F.lit(f'{open_}<a href="https://x/MLB-'), i, F.lit('-y"><h2 class="poly-component__title">Luva <b>'), i, F.lit('</b></h2></a><span class="andes-money-amount__fraction">1.'), F.lpad((F.col("page_id") % 1000).cast("string"), 3, "0"), F.lit('</span><span class="poly-component__sold-title">+'), (F.col("page_id") % 9 + 1).cast("string"), F.lit(" mil vendidos</span></li>"))
-    none = F.lit(f'{open_}<a href="https://x/nada"><h2 class="poly-component__title">Luva</h2></a></li>')
-    old = F.concat(F.lit(f'{open_}<a href="https://x/MLB9'), i, F.lit('"><h2 class="ui-search-item__title">Bota</h2></a><span class="price-tag-fraction">99</span></li>'))
-    pages = driver.read(spark, d, "pages").select(i.alias("query"), F.concat("html", now, none, old).alias("html"))
-    return feeds.extract_listing_cards(pages).select("query", "position", "item_id", "title", F.col("price").cast("double").alias("price"), "sold_quantity", "permalink")
+    now = F.concat(F.lit('<li class="a ui-search-layout__item b"><div><a data-x="a>b" class="ui-search-link x" href="https://x/MLB-'), i, F.lit('-y?a=1&amp;b=2"><h2 class="poly-component__title"> Luva <b>'), i, F.lit('</b> &amp; <i>p&atilde;o</i></h2></a><span class="andes-money-amount__fraction">1.'), F.lpad((F.col("page_id") % 1000).cast("string"), 3, "0"), F.lit('</span><br><span class="poly-component__sold-title">+'), (F.col("page_id") % 9 + 1).cast("string"), F.lit(" mil vendidos</span></div></li>"))
+    single = F.concat(F.lit("<!-- <li class='ui-search-layout__item'><a class='ui-search-link' href='MLB-1'>x</a></li> --><script>var t = \"<li class='ui-search-layout__item'>\";</script><LI CLASS='ui-search-layout__item'><A CLASS=poly-component__title HREF=https://x/mlb7"), i, F.lit(">Bola</A><p>unclosed<span class='qty-sold big'>5 vendidos</LI>"))
+    none = F.lit('<li class="ui-search-layout__item"><a class="ui-search-link" href="https://x/nada"><h2 class="poly-component__title">Luva</h2></a></li><li class="ui-search-layout__item"><a href="https://x/MLB5">Luva</a></li>')
+    old = F.concat(F.lit('<li class="ui-search-layout__item"><a href="https://www.mercadolivre.com/MLB9'), i, F.lit('"><h2 class="ui-search-item__title">Bota</h2></a><ul><li class="x">y</li></ul><span class="price-tag-fraction">99</span></li>'))
+    pages = driver.read(spark, d, "pages").select(i.alias("query"), F.concat("html", F.lit("<ol>"), now, single, none, old, F.lit("</ol>")).alias("html"))
+    return markup.extract_listing_cards(pages).select("query", "position", "item_id", "title", F.col("price").cast("double").alias("price"), "sold_quantity", "permalink")
+
+
+def page_titles(spark: SparkSession, d: str) -> DataFrame:
+    """T15 and T10 on the html of pages: titles read from their markup, as slugs and as searches."""
+    found = markup.page_outlines(driver.read(spark, d, "pages"))
+    return found.select("page_id", "title", T.query_slug("title").alias("slug"))
 
 
 def joined_feeds(spark: SparkSession, d: str) -> DataFrame:
@@ -167,7 +173,7 @@ def banded_fees(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "api_listings": api_listings, "actor_listings": actor_listings, "listing_cards": listing_cards, "joined_feeds": joined_feeds, "written_products": written_products, "products_of": products_of, "migrated_classes": migrated,
+    "api_listings": api_listings, "actor_listings": actor_listings, "listing_cards": listing_cards, "page_titles": page_titles, "joined_feeds": joined_feeds, "written_products": written_products, "products_of": products_of, "migrated_classes": migrated,
     "named_products": named_products, "cell_texts": cell_texts, "distinct_queries": distinct_queries, "query_batches": query_batches, "assembled_pages": assembled_pages, "enriched_pages": enriched_pages, "listing_fees": listing_fees, "banded_fees": banded_fees,
 }
 
@@ -186,8 +192,11 @@ def sql() -> dict[str, str]:
     return {
         "api_listings": f"{PLACED}, {API} SELECT query, position, item_id, title, {cents('price_c', 'price')}, sold_quantity, seller_id, 'gold_special' AS listing_type, '' AS category_id FROM api",
         "actor_listings": f"{PLACED}, {ACTOR} SELECT query, position, item_id, title, {cents('price_c', 'price')}, 0 AS sold_quantity, 0 AS seller_id, permalink FROM actor",
-        "listing_cards": """SELECT CAST(page_id AS VARCHAR) AS query, 1 AS position, 'MLB'||page_id AS item_id, 'Luva '||page_id AS title, CAST(1000+page_id%1000 AS DOUBLE) AS price, (page_id%9+1)*1000 AS sold_quantity, 'https://x/MLB-'||page_id||'-y' AS permalink FROM pages
-            UNION ALL SELECT CAST(page_id AS VARCHAR), 3, 'MLB9'||page_id, 'Bota', 99.0, 0, 'https://x/MLB9'||page_id FROM pages""",
+        "listing_cards": """SELECT CAST(page_id AS VARCHAR) AS query, 1 AS position, 'MLB'||page_id AS item_id, 'Luva'||page_id||'&pão' AS title, CAST(1000+page_id%1000 AS DOUBLE) AS price, (page_id%9+1)*1000 AS sold_quantity, 'https://x/MLB-'||page_id||'-y?a=1&b=2' AS permalink FROM pages
+            UNION ALL SELECT CAST(page_id AS VARCHAR), 2, 'MLB7'||page_id, 'Bola', 0.0, 5, 'https://x/mlb7'||page_id FROM pages
+            UNION ALL SELECT CAST(page_id AS VARCHAR), 5, 'MLB9'||page_id, 'Bota', 99.0, 0, 'https://www.mercadolivre.com/MLB9'||page_id FROM pages""",
+        "page_titles": """SELECT page_id, title, regexp_replace(regexp_replace(regexp_replace(lower(trim(title)), '[^\\pL\\pN_\\s-]', '', 'g'), '[\\s_]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug
+            FROM (SELECT page_id, trim(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&quot;', '"'), '&amp;', '&')) AS title FROM pages)""",
         "joined_feeds": f"{PLACED}, {API}, {ACTOR} SELECT query, n, value, coalesce(n_first, 0) AS n_first FROM (SELECT query, count(*) AS n, CAST(sum(price_c) AS DOUBLE)/100 AS value FROM (SELECT query, price_c FROM api UNION ALL SELECT query, price_c FROM actor) GROUP BY query) LEFT JOIN (SELECT query, count(*) AS n_first FROM api GROUP BY query) USING (query)",
         "written_products": "SELECT p_partkey AS product_id, p_brand AS catalog_id, p_name||' CX'||p_size AS raw_name FROM part",
         "products_of": "SELECT p_partkey AS product_id, p_name||' CX'||p_size AS raw_name FROM part WHERE p_brand='Brand#7'",

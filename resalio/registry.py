@@ -103,7 +103,7 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Parts whose names are alike, with questions of the benchmark as listings of the same kind."""
+    """Names of parts with their types against names with their brands, each name once: pairs of a similarity of a half or more."""
     part = driver.read(spark, d, "part")
     a = matching.prepare(part.groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("product_id")).withColumn("name", F.concat_ws(" ", "p_name", "p_type")), "name", "catalog").select("product_id", "catalog_tokens")
     b = matching.prepare(part.groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("item_id")).withColumn("name", F.concat_ws(" ", "p_name", "p_brand")), "name", "listing").select("item_id", "listing_tokens")
@@ -133,7 +133,7 @@ def blank_run_cut(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    """Links of raw pages with the last part of their addresses as titles' slugs."""
+    """T15 and P5 on the addresses of pages (page_titles has what their html holds)."""
     return driver.read(spark, d, "pages").select("page_id", T.query_slug("url").alias("slug"), P.parse_sold("url").alias("sold"))
 
 

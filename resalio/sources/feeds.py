@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.price import MONEY, parse_feed_price, parse_page_price, parse_sold
+from ..functions.price import MONEY, parse_feed_price
 from ..functions.text import item_id
 from ..operators.ordering import numbered
 
@@ -39,20 +39,6 @@ def parse_actor_listings(df: DataFrame) -> DataFrame:
     )
 
 
-def extract_listing_cards(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Listing cards of search pages (query, html): link with an item id, title, price (0 if none), units sold."""
-    card = r'(?s)<li[^>]*class="[^"]*ui-search-layout__item'
-    tag = lambda c, cls: F.trim(F.regexp_replace(F.regexp_extract(c, rf'(?s)class="[^"]*{cls}[^"]*"[^>]*>(.*?)</', 1), "<[^>]*>", ""))
-    cards = pages.select("query", F.posexplode(F.split(html, card)).alias("at", "card")).filter("at > 0")
-    link = F.regexp_extract("card", r'(?s)<a[^>]*href="([^"]*)"', 1)
-    out = cards.select(
-        "query", F.col("at").alias("position"), item_id(link).alias("item_id"), F.coalesce(F.nullif(tag("card", "poly-component__title"), F.lit("")), tag("card", "ui-search-item__title")).alias("title"),
-        parse_page_price(F.coalesce(F.nullif(tag("card", "andes-money-amount__fraction"), F.lit("")), tag("card", "price-tag-fraction"))).alias("price"),
-        parse_sold(F.coalesce(F.nullif(tag("card", "poly-component__sold-title"), F.lit("")), tag("card", "sold"))).alias("sold_quantity"), link.alias("permalink"),
-    )
-    return out.filter("item_id IS NOT NULL AND title <> ''")
-
-
 def apply_name_batches(products: DataFrame, responses: DataFrame, size: int = 50) -> DataFrame:
     """Names from responses (catalog_id, batch, json array) put on products without one, by place in batches of so many.
 

@@ -12,7 +12,7 @@ from resalio.functions import price as P
 from resalio.functions import text as T
 from resalio.operators import finance, headers, market, matching, ordering, reports, rows, scoring, selection
 from resalio.plans import catalogs
-from resalio.sources import csv_files, feeds, shared, sinks
+from resalio.sources import csv_files, feeds, markup, shared, sinks
 from resalio.streaming import catalogs as streaming
 
 
@@ -244,7 +244,7 @@ def test_feeds(spark):
     got = feeds.parse_actor_listings(spark.createDataFrame([("q", actor)], "query string, json string")).collect()
     assert [(r.item_id, r.price, r.position) for r in got] == [("MLB12", Decimal("1234.50"), 2)]
     card = '<li class="ui-search-layout__item"><a class="poly-component__title" href="https://x/MLB-99-a">Luva</a><span class="andes-money-amount__fraction">1.234</span><span class="poly-component__sold-title">+5 mil</span></li>'
-    got = feeds.extract_listing_cards(spark.createDataFrame([("q", "<ul>" + card + '<li class="ui-search-layout__item">none</li></ul>')], "query string, html string")).collect()
+    got = markup.extract_listing_cards(spark.createDataFrame([("q", "<ul>" + card + '<li class="ui-search-layout__item">none</li></ul>')], "query string, html string")).collect()
     assert [(r.item_id, r.title, int(r.price), r.sold_quantity) for r in got] == [("MLB99", "Luva", 1234, 5000)]
     products = spark.createDataFrame([("c", k, "x" if k == 1 else None) for k in range(4)], "catalog_id string, product_id long, normalized_name string")
     names = feeds.apply_name_batches(products, spark.createDataFrame([("c", 0, '["a"," ",null]')], "catalog_id string, batch long, json string"))
@@ -500,3 +500,14 @@ def test_steps_are_cleared(spark):
     assert out.count() == 3 and kept.count() == 3
     with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
         inner[0].collect()
+
+
+def test_markup():
+    page = markup.Page("<p class=\"a b\">x <b>y<br>z</p> t &amp; u<style>p{}</style></i><div data-x='1>2'>w")
+    assert [e.tag for e in page.elements] == ["p", "b", "br", "style", "div"] and page.texts == ["x", "y", "z", "t & u", "w"]
+    p, b, _, _, div = page.elements
+    assert page.text(p) == "xyz" and page.text(b) == "yz" and page.text(div) == "w" and page.within(p, markup.has("none"), lambda e: e.tag == "b") is b
+    assert markup.cards(None) == markup.cards("") == markup.cards("<<<>&&") == []
+    wide = markup.cards('<div class="x andes-card ui-search-result"><a class="ui-search-link" href="MLB-3">t</a><h2 class="ui-search-item__title"> </h2></div>')
+    assert wide == [{"permalink": "MLB-3", "title": "", "price": None, "sold": None}]
+    assert markup.outline("<title>a &lt; b</title><a href=x>1</a><a name=y>2</a>") == {"title": "a < b", "links": 1}
