@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import price as P
 from ..functions import text as T
+from ..functions import vocabulary as V
 from ..operators import market, matching, reports
 from ..operators.ordering import numbered
-from ..oracles import TO_FINANCE, TO_LISTINGS, cents, half_up
+from ..oracles import TO_FINANCE, TO_LISTINGS, cents, half_up, listed, norm, tokens
 from ..sources import driver, feeds, markup, sinks
 from ..sources.shared import new_folder
 
@@ -163,6 +164,14 @@ def listing_fees(spark: SparkSession, d: str) -> DataFrame:
     return market.lookup_fee(given, fees).select("item_id", F.col("ml_fee_pct").cast("double").alias("fee"))
 
 
+def plural_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """T4, T5 on names that begin with a plural of a word that weighs, of one that doesn't, or of a short one."""
+    words = [w for w in V.HIGH_WEIGHT if w.isascii() and w.isalpha()]
+    word = F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("p_partkey") % len(words) + 1).cast("int"))
+    name = F.concat(word, F.when(F.col("p_size") % 4 == 0, F.lit("ss")).otherwise(F.lit("s")), F.lit(" "), F.col("p_name"), F.lit("s "), F.col("p_size").cast("string"))
+    return driver.read(spark, d, "part").select("p_partkey", F.array_join(T.tokens(name), " ").alias("tokens"))
+
+
 def banded_fees(spark: SparkSession, d: str) -> DataFrame:
     """K6 with a schedule made of parts: a band of prices a part in four categories, with gaps; all listings ask."""
     given = driver.listings(spark, d).withColumns({"__head": F.lit(True), "category_id": F.concat(F.lit("c"), (F.col("seller_id") % 4).cast("string"))})
@@ -174,7 +183,7 @@ def banded_fees(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "api_listings": api_listings, "actor_listings": actor_listings, "listing_cards": listing_cards, "page_titles": page_titles, "joined_feeds": joined_feeds, "written_products": written_products, "products_of": products_of, "migrated_classes": migrated,
-    "named_products": named_products, "cell_texts": cell_texts, "distinct_queries": distinct_queries, "query_batches": query_batches, "assembled_pages": assembled_pages, "enriched_pages": enriched_pages, "listing_fees": listing_fees, "banded_fees": banded_fees,
+    "named_products": named_products, "cell_texts": cell_texts, "distinct_queries": distinct_queries, "query_batches": query_batches, "assembled_pages": assembled_pages, "enriched_pages": enriched_pages, "listing_fees": listing_fees, "banded_fees": banded_fees, "plural_tokens": plural_tokens,
 }
 
 ORDER = f"PARTITION BY l_orderkey ORDER BY {', '.join(KEY)}"
@@ -215,6 +224,7 @@ def sql() -> dict[str, str]:
             w AS (SELECT *, known AND position<=5 AND NOT coalesce(max(two) OVER ({ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS hit FROM z),
             v AS (SELECT l_orderkey AS product_id, position, l_orderkey||'-'||position AS item_id, CASE WHEN hit THEN l_suppkey*2 ELSE CAST(l_quantity AS BIGINT) END AS sold_quantity, l_partkey*0.5+CASE WHEN hit THEN 1 ELSE 0 END AS price, CASE WHEN hit THEN 'new' ELSE '' END AS condition, hit AS free_shipping, CASE WHEN hit THEN l_suppkey ELSE 0 END AS seller_id FROM w)
             SELECT * REPLACE (row_number() OVER (PARTITION BY product_id ORDER BY sold_quantity DESC, position) AS position, CAST(price AS DOUBLE) AS price) FROM v""",
+        "plural_tokens": f"SELECT p_partkey, array_to_string({tokens('n')}, ' ') AS tokens FROM (SELECT p_partkey, {norm('x')} AS n FROM (SELECT p_partkey, {listed(w for w in V.HIGH_WEIGHT if w.isascii() and w.isalpha())}[p_partkey%{len([w for w in V.HIGH_WEIGHT if w.isascii() and w.isalpha()])}+1]||CASE WHEN p_size%4=0 THEN 'ss' ELSE 's' END||' '||p_name||'s '||p_size AS x FROM part))",
         "banded_fees": f"{TO_LISTINGS} SELECT item_id, CAST(price_c AS DOUBLE)/100 AS price, max(CASE WHEN price_c%4000<3200 THEN CAST(price_c//4000%20 AS DOUBLE)+0.5 END) FILTER (WHERE p_partkey IS NOT NULL) AS fee, count(*) AS n FROM l LEFT JOIN part ON p_partkey=price_c//4000*4+seller_id%4 GROUP BY item_id, price_c",
         "listing_fees": f"{PLACED} SELECT l_orderkey||'-'||position AS item_id, CASE WHEN position<=3 AND l_suppkey%4>0 AND l_partkey>0 THEN CASE WHEN l_suppkey%4<3 THEN l_suppkey%4+CASE WHEN l_partkey*0.5<79 THEN 12.0 ELSE 16.0 END END ELSE 9.5 END AS fee FROM x".replace("END AS fee", "END::DOUBLE AS fee"),
     }

@@ -44,7 +44,7 @@ def qualify_stats(spark: SparkSession, d: str) -> DataFrame:
     return M.qualify_stats(marked_pairs(spark, d), "product_id", min_sales=2000, min_confidence=0.0)
 
 
-def phases(spark: SparkSession, d: str) -> DataFrame:
+def phases(spark: SparkSession, d: str, retry_empty: bool = True) -> DataFrame:
     """Parts ask for their name within a block of 200 parts and a kind; some kinds have listings of their own, and blocks have some under the shorter query."""
     part, block = driver.read(spark, d, "part"), F.concat(F.lit("b"), F.translate(F.floor(F.col("p_partkey") / 200).cast("string"), "0123456789", "abcdefghij"))
     size = F.concat(F.col("p_size").cast("string"), F.lit("ml"))
@@ -52,18 +52,23 @@ def phases(spark: SparkSession, d: str) -> DataFrame:
     long, short = F.upper(F.concat_ws(" ", "p_name", block, "p_type")), F.concat_ws(" ", "p_name", block)
     kind = F.when(F.col("p_type").isin("ECONOMY", "SMALL"), long).when(F.col("p_size") % 2 == 0, short)
     found = part.select(kind.alias("query"), F.col("p_partkey").alias("item_id"), F.concat_ws(" ", F.when(F.col("p_size") % 7 == 0, "Kit 2"), "p_name", block, "p_type", size).alias("title"), (F.col("p_size") * 100).cast("long").alias("sold_quantity")).filter("query IS NOT NULL")
-    return M.two_phase_match(M.prepare(asked, "name", "catalog"), M.prepare(found, "title", "listing"), 500, 0.55)
+    return M.two_phase_match(M.prepare(asked, "name", "catalog"), M.prepare(found, "title", "listing"), 500, 0.55, retry_empty)
 
 
 def two_phase(spark: SparkSession, d: str) -> DataFrame:
     return phases(spark, d).select("product_id", "item_id", "match_score", F.col("phase").cast("long").alias("phase"))
 
 
+def two_phase_once(spark: SparkSession, d: str) -> DataFrame:
+    """M13 for a feed that doesn't ask again for products without any result."""
+    return phases(spark, d, False).select("product_id", "item_id", "match_score", F.col("phase").cast("long").alias("phase"))
+
+
 def match_quality(spark: SparkSession, d: str) -> DataFrame:
     return M.match_quality(materialize(phases(spark, d), "matches"))
 
 
-QUERIES = {"match_marks": match_marks, "qualified_pairs": qualified_pairs, "qualify_stats": qualify_stats, "two_phase_match": two_phase, "match_quality": match_quality}
+QUERIES = {"match_marks": match_marks, "qualified_pairs": qualified_pairs, "qualify_stats": qualify_stats, "two_phase_match": two_phase, "two_phase_once": two_phase_once, "match_quality": match_quality}
 
 
 def picked(words: list[str], number: str) -> str:
@@ -108,5 +113,6 @@ def sql() -> dict[str, str]:
         "qualified_pairs": f"{marks} SELECT product_id, item_id, match_score FROM scored WHERE sold_quantity>=2000 AND match_score>=0.2",
         "qualify_stats": f"{marks} SELECT product_id, count(*) FILTER (WHERE sold_quantity<2000) AS discarded_low_sales, count(*) FILTER (WHERE sold_quantity>=2000 AND match_score<0.5) AS discarded_low_match, count(*) FILTER (WHERE sold_quantity>=2000 AND match_score>=0.5) AS qualified FROM scored GROUP BY product_id",
         "two_phase_match": f"{two} SELECT product_id, item_id, match_score, phase FROM kept",
+        "two_phase_once": f"{two} SELECT product_id, item_id, match_score, phase FROM kept WHERE phase=1 OR product_id IN (SELECT product_id FROM scored WHERE phase=1)",
         "match_quality": f"{two} SELECT product_id, count(*) FILTER (WHERE raw>=0.8) AS high_matches, count(*) FILTER (WHERE raw>=0.5 AND raw<0.8) AS medium_matches, round_even(avg(match_score), 3) AS avg_score, CAST(sum(sold_quantity) AS BIGINT) AS total_sold FROM kept GROUP BY product_id",
     }

@@ -201,6 +201,14 @@ def many_csv_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.select("catalog_id", "total_rows_scanned", "valid_products", "skipped_invalid_name", "skipped_invalid_cost", "success_rate", "confidence")
 
 
+def header_warnings(spark: SparkSession, d: str) -> DataFrame:
+    """H5, H6 on sheets of two rows: numbers alone and a single text are doubtful headers; a product and a cost, or a product beside a number, aren't."""
+    kind = F.col("o_orderkey") % 4
+    head = F.when(kind == 0, row("10", "20,5")).when(kind == 1, row("Xyz", None)).when(kind == 2, row("Produto", "Custo")).otherwise(row("Produto", "10"))
+    sheets_ = driver.read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("catalog_id"), F.lit("s").alias("sheet"), F.posexplode(F.array(head, row("5", "7"))).alias("row_idx", "cells"))
+    return H.detect_header_row(sheets_).select("catalog_id", F.col("header_row").cast("long").alias("header_row"), "header_confidence", "header_warning")
+
+
 def page_tables(spark: SparkSession, d: str) -> DataFrame:
     """H7's fallback: tables of five lines whose header is their first row, a later one, the first one though a later one looks better, or none."""
     line = driver.read(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 4).alias("kind"))
@@ -214,7 +222,7 @@ def page_tables(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "header_scores": header_scores, "header_fields": header_fields, "header_mapping": header_mapping, "precision_cols": precision_cols, "sheet_choice": sheet_choice, "header_rows": header_rows,
     "classified_rows": classified_rows, "parse_quality": parse_quality, "parse_records": parse_records, "parsed_products": parsed_products,
-    "first_table": first_table, "dedup_names": dedup_names, "csv_rows": csv_rows, "csv_catalogs": csv_catalogs, "many_csv_products": many_csv_products, "many_csv_quality": many_csv_quality, "page_tables": page_tables,
+    "first_table": first_table, "dedup_names": dedup_names, "csv_rows": csv_rows, "csv_catalogs": csv_catalogs, "many_csv_products": many_csv_products, "many_csv_quality": many_csv_quality, "page_tables": page_tables, "header_warnings": header_warnings,
 }
 
 
@@ -257,6 +265,7 @@ r AS (SELECT *, f%13=12 OR f%9=8 AS lost, k%7=0 AS unnamed, k%11=0 AS unpriced F
         "csv_rows": "SELECT 'Luva '||l_partkey AS raw_name, l_suppkey+0.5 AS cost, count(*) AS n FROM lineitem WHERE l_partkey%6>2 AND l_linenumber NOT IN (2, 3) GROUP BY 1, 2".replace("l_suppkey+0.5", "CAST(l_suppkey AS DOUBLE)+0.5"),
         "many_csv_products": f"{many} SELECT f||'-'||i AS product_id, p_name||CASE WHEN k%5=0 THEN ' linha, 2; \"x\" |' ELSE '' END AS raw_name, CAST(k%900+1 AS DOUBLE)+0.5 AS cost, CASE WHEN k%3<>0 THEN p_brand||' M'||k END AS normalized_name, p_brand AS supplier FROM r WHERE NOT lost AND NOT unnamed AND NOT unpriced",
         "many_csv_quality": f"{many} SELECT *, CASE WHEN success_rate>=0.8 THEN 'RELIABLE' WHEN valid_products>0 THEN 'PARTIAL' ELSE 'FAILED' END AS confidence FROM (SELECT *, coalesce(round_even(CAST(valid_products AS DOUBLE)/nullif(total_rows_scanned, 0), 4), 0.0) AS success_rate FROM (SELECT CAST(f AS VARCHAR) AS catalog_id, count(*) FILTER (WHERE NOT lost) AS total_rows_scanned, count(*) FILTER (WHERE NOT lost AND NOT unnamed AND NOT unpriced) AS valid_products, count(*) FILTER (WHERE NOT lost AND unnamed) AS skipped_invalid_name, count(*) FILTER (WHERE NOT lost AND NOT unnamed AND unpriced) AS skipped_invalid_cost FROM r GROUP BY f))",
+        "header_warnings": "SELECT CAST(o_orderkey AS VARCHAR) AS catalog_id, 0 AS header_row, CASE o_orderkey%4 WHEN 0 THEN 0.0 WHEN 1 THEN 0.1 WHEN 2 THEN 1.0 ELSE 0.4 END::DOUBLE AS header_confidence, o_orderkey%4<2 AS header_warning FROM orders",
         "page_tables": "SELECT CAST(o_orderkey//50 AS VARCHAR) AS catalog_id, CAST(o_orderkey%50 AS INTEGER) AS table_idx, CASE WHEN o_orderkey%4=1 THEN 1 ELSE 0 END AS header_row, 0 AS product_name, 1 AS cost FROM orders WHERE o_orderkey%4<3",
         "csv_catalogs": "SELECT CAST(p_partkey AS VARCHAR) AS code, p_name||' maçã, doce' AS name, p_retailprice AS price FROM part",
     }
