@@ -139,9 +139,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """(text, toxic) of at most so many labelled documents, those with the least hashes of their doc_id."""
+    """(text, toxic) of at most so many labels, those with the least hashes of their doc_id. Of rows that share a doc_id, however many, the least text is the labelled one."""
     chosen = labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & ~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
-    return texts(docs).join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("long").alias("toxic"))  # the limit bounds what is broadcast
+    chosen = materialize(chosen, "chosen")
+    known = F.broadcast(chosen)  # the limit bounds what is broadcast
+    one = texts(docs).join(known, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return one.join(known, "doc_id").select("text", F.col("toxic").cast("long").alias("toxic"))
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

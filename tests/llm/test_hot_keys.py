@@ -7,7 +7,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from resalio.llm import embeddings, jaccard, pii, simhash
+from resalio.llm import embeddings, jaccard, pii, simhash, toxicity
 from resalio.llm.queries import queries
 
 
@@ -96,3 +96,12 @@ def test_vectors_with_links_as_a_query(spark, tmp_path):
     assert sum(have.values()) >= 0.97 * sum(want.values()) and all(have[i] <= want[i] for i in want) and sum(want.values()) > 1000
     assert {(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None} == {(0, None, False)}
     assert all(r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id is not None)
+
+
+def test_a_labelled_id_of_many_rows_is_one_text(spark):
+    """The driver gets a row for each label, however many rows share its id."""
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(7, 0)], "doc_id long, toxic int")
+    got = toxicity.sample(docs, labels, 1000).collect()
+    asked = labels.filter(~toxicity.held_out()).join(docs.select("doc_id").distinct(), "doc_id").count()
+    assert len(got) == asked and sum(r.text == "text 0" for r in got) in (0, 2)
