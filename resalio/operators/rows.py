@@ -88,21 +88,25 @@ def cut_after_blank_run(df: DataFrame, run: int = 10, large: DataFrame | None =
     return by_size(df, large, small_way, large_way)
 
 
-def is_subtotal(name: Column) -> Column:
-    """The first cell that isn't empty holds a word of totals, or the name starts with one."""
-    words = [T_bare(w) for w in V.SUBTOTALS]
-    first = T.norm_header(F.get(F.filter("cells", lambda c: F.trim(c) != ""), F.lit(0)))
-    return F.coalesce(first.rlike("|".join(words)), F.lit(False)) | F.coalesce(T.norm_header(name).rlike("^(" + "|".join(words) + ")"), F.lit(False))
+def first_text() -> Column:
+    """The first cell of a row that isn't empty."""
+    return F.get(F.filter("cells", lambda c: F.trim(c) != ""), F.lit(0))
+
+
+def is_subtotal(first: Column, name: Column) -> Column:
+    """R4, on normalised texts: the first cell that isn't empty holds a word of totals, or the name starts with one."""
+    words = "|".join(T_bare(w) for w in V.SUBTOTALS)
+    return F.coalesce(first.rlike(words), F.lit(False)) | F.coalesce(name.rlike(f"^({words})"), F.lit(False))
 
 
 def is_header_repeat(name: Column) -> Column:
-    """R5."""
-    return F.coalesce(T.norm_header(name).isin(V.RESERVED_NAMES), F.lit(False))
+    """R5, on a normalised name."""
+    return F.coalesce(name.isin(V.RESERVED_NAMES), F.lit(False))
 
 
-def is_valid_name(name: Column) -> Column:
+def is_valid_name(name: Column, norm: Column) -> Column:
     """R6."""
-    return F.coalesce(F.length(name).between(2, 300) & ~name.rlike(r"^[\d\s.\-/]+$") & ~T.norm_header(name).isin(V.RESERVED_NAMES), F.lit(False))
+    return F.coalesce(F.length(name).between(2, 300) & ~name.rlike(r"^[\d\s.\-/]+$") & ~norm.isin(V.RESERVED_NAMES), F.lit(False))
 
 
 def cell(field: str) -> Column:
@@ -113,14 +117,15 @@ def cell(field: str) -> Column:
 def classify_rows(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     """Data rows with skip_reason (null: accepted) and the parsed fields. mapping: H7's columns per catalog; rows of a catalog without one are kept, and refused."""
     df = rows.join(mapping.select("catalog_id", "product_name", "cost", "sku", "category", "supplier"), "catalog_id", "left")
-    raw = cell("product_name")
+    # worked out once a row, as columns of their own
+    df = df.withColumns({"__raw": cell("product_name"), "__first": first_text()})
     df = df.withColumns({
-        "raw_name": T.clean_text(raw), "price": P.parse_price(cell("cost")), "sku_text": T.clean_sku(cell("sku")),
-        "category_text": T.clean_text(cell("category")), "supplier_text": T.clean_text(cell("supplier")),
-        "__empty": is_empty_row(), "__subtotal": is_subtotal(raw), "__repeat": is_header_repeat(raw),
+        "raw_name": T.clean_text("__raw"), "price": P.parse_price(cell("cost")), "sku_text": T.clean_sku(cell("sku")), "__norm": T.norm_header("__raw"), "__first": T.norm_header("__first"),
+        "category_text": T.clean_text(cell("category")), "supplier_text": T.clean_text(cell("supplier")), "__empty": is_empty_row(),
     })
-    reason = F.when(F.col("__empty"), "empty").when(F.col("__subtotal"), "subtotal").when(F.col("__repeat"), "header_repeat").when(~is_valid_name(F.col("raw_name")), "invalid_name").when(~P.is_valid_cost("price"), "invalid_cost")
-    df = df.withColumns({"skip_reason": reason, "cost_unparsed": F.coalesce(reason == "invalid_cost", F.lit(False)) & F.col("price").isNull()})
+    subtotal, repeat, named = is_subtotal(F.col("__first"), F.col("__norm")), is_header_repeat(F.col("__norm")), is_valid_name(F.col("raw_name"), F.col("__norm"))
+    reason = F.when(F.col("__empty"), "empty").when(subtotal, "subtotal").when(repeat, "header_repeat").when(~named, "invalid_name").when(~P.is_valid_cost("price"), "invalid_cost")
+    df = df.withColumn("skip_reason", reason).withColumn("cost_unparsed", F.coalesce(F.col("skip_reason") == "invalid_cost", F.lit(False)) & F.col("price").isNull())
     keep = [c for c in rows.columns]
     return df.select(*keep, "skip_reason", "cost_unparsed", "raw_name", F.col("price").alias("cost"), F.col("sku_text").alias("sku"), F.col("category_text").alias("category"), F.col("supplier_text").alias("supplier"))
 

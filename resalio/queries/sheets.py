@@ -114,7 +114,8 @@ def header_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def classified_rows(spark: SparkSession, d: str) -> DataFrame:
     """R3 to R7 with the mapping that headers give."""
-    rows = materialize(R.select_sheet(raw_sheets(spark, d)), "rows")
+    raw = raw_sheets(spark, d)
+    rows = raw.join(materialize(R.best_sheets(raw), "best-sheets"), ["catalog_id", "sheet_idx"], "left_semi")
     marked = rows.join(materialize(H.detect_header_row(rows).select("catalog_id", "header_row"), "header-rows"), "catalog_id")
     heads = marked.filter("row_idx = header_row").select("catalog_id", F.posexplode("cells").alias("col_idx", "header")).filter("header IS NOT NULL")
     mapping = materialize(H.mapping_status(H.map_headers(heads)).filter("has_required"), "mapping")
