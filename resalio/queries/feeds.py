@@ -90,6 +90,13 @@ def products_of(spark: SparkSession, d: str) -> DataFrame:
     return reports.products_of(driver.products(spark, d), "Brand#7").select("product_id", "raw_name")
 
 
+def written_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """Products written by catalog; a report on one catalog reads its folder alone."""
+    folder = new_folder(spark, "products")
+    sinks.write_products(driver.products(spark, d).repartition("catalog_id"), folder)
+    return reports.products_of(spark.read.parquet(folder), "Brand#7").select("product_id", "raw_name", F.col("cost").cast("double").alias("cost"))
+
+
 def migrated(spark: SparkSession, d: str) -> DataFrame:
     old = F.when(F.col("o_orderpriority").startswith("1"), "ALTA").when(F.col("o_orderpriority").startswith("2"), "MEDIA").when(F.col("o_orderpriority").startswith("3"), "BAIXA").otherwise("EVITAR")
     return driver.read(spark, d, "orders").select("o_orderkey", old.alias("recommendation")).select("o_orderkey", sinks.migrate_recommendation().alias("recommendation"))
@@ -182,7 +189,7 @@ def banded_fees(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "api_listings": api_listings, "actor_listings": actor_listings, "listing_cards": listing_cards, "page_titles": page_titles, "joined_feeds": joined_feeds, "written_products": written_products, "products_of": products_of, "migrated_classes": migrated,
+    "api_listings": api_listings, "actor_listings": actor_listings, "listing_cards": listing_cards, "page_titles": page_titles, "joined_feeds": joined_feeds, "written_products": written_products, "products_of": products_of, "written_catalog": written_catalog, "migrated_classes": migrated,
     "named_products": named_products, "cell_texts": cell_texts, "distinct_queries": distinct_queries, "query_batches": query_batches, "assembled_pages": assembled_pages, "enriched_pages": enriched_pages, "listing_fees": listing_fees, "banded_fees": banded_fees, "plural_tokens": plural_tokens,
 }
 
@@ -208,6 +215,7 @@ def sql() -> dict[str, str]:
             FROM (SELECT page_id, trim(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&quot;', '"'), '&amp;', '&')) AS title FROM pages)""",
         "joined_feeds": f"{PLACED}, {API}, {ACTOR} SELECT query, n, value, coalesce(n_first, 0) AS n_first FROM (SELECT query, count(*) AS n, CAST(sum(price_c) AS DOUBLE)/100 AS value FROM (SELECT query, price_c FROM api UNION ALL SELECT query, price_c FROM actor) GROUP BY query) LEFT JOIN (SELECT query, count(*) AS n_first FROM api GROUP BY query) USING (query)",
         "written_products": "SELECT p_partkey AS product_id, p_brand AS catalog_id, p_name||' CX'||p_size AS raw_name FROM part",
+        "written_catalog": "SELECT p_partkey AS product_id, p_name||' CX'||p_size AS raw_name, round(p_retailprice, 2) AS cost FROM part WHERE p_brand='Brand#7'",
         "products_of": "SELECT p_partkey AS product_id, p_name||' CX'||p_size AS raw_name FROM part WHERE p_brand='Brand#7'",
         "migrated_classes": "SELECT o_orderkey, CASE left(o_orderpriority, 1) WHEN '1' THEN 'EXCELENTE' WHEN '2' THEN 'BOA' WHEN '3' THEN 'ARRISCADA' ELSE 'EVITAR' END AS recommendation FROM orders",
         "named_products": """SELECT product_id, name AS normalized_name, coalesce(name, raw_name) AS search_name FROM (SELECT product_id, raw_name, CASE WHEN product_id%4=0 THEN 'Pronto' WHEN product_id%5>1 AND i%50<47 AND (i%50<=n-i//50*50-1) THEN 'Nome '||product_id END AS name

@@ -63,3 +63,10 @@ def test_reports_prune_and_join_without_shuffles(spark):
     assert [r.product_id for r in page.collect()] == [1, 6, 11, 16, 21] and "PartitionFilters: [isnotnull(catalog_id" in page._jdf.queryExecution().executedPlan().toString()
     spark.sql("DROP TABLE laid_scores")
     spark.sql("DROP TABLE laid_market")
+
+
+def test_a_catalogs_report_reads_its_folder(spark, sf):
+    from resalio import registry
+
+    plan = registry.queries()["written_catalog"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(catalog_id" in plan and "Exchange" not in plan
