@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import market, matching, reports
 from ..operators.ordering import numbered
-from ..oracles import TO_FINANCE, TO_LISTINGS, cents, half_up, listed, norm, tokens
+from ..oracles import TO_LISTINGS, cents, listed, norm, tokens
 from ..sources import driver, feeds, markup, sinks
 from ..sources.shared import new_folder
 

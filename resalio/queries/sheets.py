@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import price as P
-from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import headers as H
 from ..operators import rows as R
-from ..oracles import bare, replaced, squeeze
+from ..oracles import bare, squeeze
 from ..plans import catalogs
 from ..sources import csv_files, driver, sinks
 from ..sources.shared import materialize, new_folder

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import oracles
 from .functions import price as P
 from .functions import text as T
-from .operators import finance, market, matching, reports, rows, scoring
+from .operators import finance, market, matching, reports, rows
 from .plans import catalogs
 from .queries import feeds, pairing, runs, sheets
 from .sources import driver, sinks
