@@ -7,27 +7,22 @@ import random
 import zlib
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from resalio.llm import runs
 
 
 def brute(words):
-    """(start, length, period) of every run, by every period."""
-    n, out = len(words), []
+    """(start, length, period) of every run, by every period: stretches of words that equal the word a period on."""
+    code = {}
+    x = np.array([code.setdefault(w, len(code)) for w in words], np.int64)
+    n, out = len(x), []
     for q in range(1, n // 3 + 1):
-        i = 0
-        while i + q < n:
-            if words[i] != words[i + q]:
-                i += 1
-                continue
-            j = i
-            while j + q < n and words[j] == words[j + q]:
-                j += 1
-            s, e = i, j + q
-            if e - s >= max(24, 3 * q) and not any(words[s : e - p] == words[s + p : e] for p in range(1, q)):
+        edges = np.flatnonzero(np.concatenate([[True], x[:-q] != x[q:], [True]]))
+        for s, e in ((s, e - 1 + q) for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()) if e - 1 - s >= 2 * q):
+            if e - s >= max(24, 3 * q) and not any((x[s : e - p] == x[s + p : e]).all() for p in range(1, q)):
                 out.append((s, e - s, q))
-            i = j
     return sorted(out, key=lambda r: (r[0], r[2]))
 
 
