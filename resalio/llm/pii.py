@@ -5,12 +5,11 @@ overlapping spans: addresses with words for their marks, numbers with other mark
 or fewer groups than the rules' greedy matches, numbers without a country's plus. Boosted trees judge each by its
 shape and by the text around it, one model a kind.
 
-They learn from a bounded sample of documents, of each kind those with the least hashes among all that may hold it.
-Positives are base spans, with the signs that the rules go by hidden, and base spans rewritten in their place as
+They learn from every document, in passes over the table of all candidates. Positives are base spans, with the signs that the rules go by hidden, and base spans rewritten in their place as
 people write them to be read by people (worded, bracketed, regrouped, without a plus). Negatives are candidates that
 meet no base span, other cuts of a rewritten one, and spoilt ones: a digit or a part that no such number has, an
-address without a domain. A part of the candidates is kept out of the fit: on it each kind's threshold is the least
-score from which PRECISION of the candidates are positives. The best candidates over their thresholds that overlap
+address without a domain. A third of the candidates is kept out of the fit: on it each kind's threshold is the least
+step of scores from which PRECISION of the candidates are positives. The best candidates over their thresholds that overlap
 neither base spans nor each other are added.
 """
 
@@ -18,8 +17,9 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -28,13 +28,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .boosting import boost, predict
+from .boosting import boosted, by_kind, matrix, predict
 from .common import held, materialize, table, texts, unused
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that are learnt from, at most, for each kind and for none; candidates of each kind and label (those with the least hashes).
-TRAIN_DOCS, TRAIN_SPANS = 4_000, 4_000
 PRECISION, LEAST_SEEN = 0.98, 20
+#: Thresholds are multiples of 1 / STEPS.
+STEPS = 1 << 14
 AROUND = 24
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -186,9 +186,10 @@ def learnt(text: str) -> Iterator[tuple[int, list[float], int, int]]:
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [row for text in b.column(0).to_pylist() for row in learnt(text)]
-        kinds = (pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)], ["kind", "x", "y", "hash"])
+        found = Counter((k, tuple(x), y, h % 3 == 2) for text in b.column(0).to_pylist() for k, x, y, h in learnt(text))
+        columns = zip(*((*row, n) for row, n in found.items())) if found else [[]] * 5
+        kinds = (pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.bool_(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], ["kind", "x", "y", "out", "n"])
 
 
 def _least(df: DataFrame, groups: list[Column], order: list, n: int) -> DataFrame:
@@ -196,32 +197,30 @@ def _least(df: DataFrame, groups: list[Column], order: list, n: int) -> DataFram
     return reduce(DataFrame.unionAll, [df.filter(g).orderBy(*order).limit(n) for g in groups])
 
 
-def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_spans: int = TRAIN_SPANS, precision: float = PRECISION) -> str:
-    """A model for each kind, as JSON: trees and threshold. A kind of which too little is seen in all documents gets no threshold: nothing is added."""
-    text = F.col("text")
-    may = [text.contains("@"), text.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"), text.rlike(r"[0-9](?:[ -]?[0-9]){12}"), text.rlike(r"\+[0-9]"), text.rlike(r"[0-9]{3}")]
-    kinds = F.array_compact(F.array(*[F.when(m, k) for k, m in enumerate(may)]))
-    rows = texts(docs).filter("doc_id IS NOT NULL").select("doc_id", F.explode(kinds).alias("kind"))
-    rows = materialize(rows, "pii-kinds")  # ids alone
-    chosen = _least(rows, [F.col("kind") == k for k in range(len(may))], [F.xxhash64("doc_id"), "doc_id"], train_docs).select("doc_id").distinct()
-    some = texts(docs).join(F.broadcast(chosen), "doc_id").select("text")  # train_docs for each of five kinds bound what is broadcast
-    spans = materialize(some.mapInArrow(_labelled, "kind long, x array<double>, y long, hash long"), "pii-spans")
-    groups = [(F.col("kind") == k) & (F.col("y") == y) for k in range(len(KINDS)) for y in (0, 1)]
-    found = _least(spans, groups, ["hash", "x"], train_spans).orderBy("hash", "kind", "y", "x").collect()  # train_spans for each of four kinds and two labels
+def _steps(models: dict[int, dict], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for kind, b in by_kind(batch):
+            step = np.floor(predict(models[kind], matrix(b.column(1))) * STEPS).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(step), b.column(2), b.column(3)], ["kind", "step", "y", "n"])
+
+
+def train(docs: DataFrame, precision: float = PRECISION) -> str:
+    """A model for each kind, as JSON: trees and threshold, from all candidates of all documents. A kind of which too little is seen gets no threshold: nothing is added."""
+    spans = texts(docs).select("text").mapInArrow(_labelled, "kind long, x array<double>, y long, out boolean, n long")
+    spans = materialize(spans.groupBy("kind", "x", "y", "out").agg(F.sum("n").alias("n")), "pii-spans")  # alike candidates are one row
+    seen = {(r.kind, r.y, r.out): r.n for r in spans.groupBy("kind", "y", "out").agg(F.sum("n").alias("n")).collect()}
+    kinds = [k for k in range(len(KINDS)) if min(seen.get((k, *part), 0) for part in ((1, False), (1, True), (0, False))) >= LEAST_SEEN]
+    spans = spans.filter(F.col("kind").isin(kinds))
+    learned = boosted(spans.filter(~F.col("out")))
+    steps = spans.filter("out").select("kind", "x", "y", "n").mapInArrow(partial(_steps, learned), "kind long, step long, y long, n long")
+    steps = steps.groupBy("kind", "step").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("y")).collect()  # STEPS rows a kind at most
     models: dict = {}
-    for kind, name in enumerate(KINDS):
-        own = [r for r in found if r.kind == kind]
-        x, y = np.array([r.x for r in own], float).reshape(-1, len(FEATURES)), np.array([r.y for r in own], float)
-        out = np.arange(len(own)) % 3 == 2
-        if min(y[~out].sum(), y[out].sum(), (1 - y[~out]).sum()) < LEAST_SEEN:
-            continue
-        model = boost(x[~out], y[~out])
-        p, y = predict(model, x[out]), y[out]
-        order = np.argsort(-p, kind="stable")
-        share = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-        last = np.append(p[order][1:] < p[order][:-1], True)  # ties stand or fall together
-        if (ok := np.nonzero((share >= precision) & last)[0]).size:
-            models[name] = {"model": model, "threshold": float(max(0.5, p[order][ok[-1]]))}
+    for kind in kinds:
+        n = positives = 0
+        for r in sorted((r for r in steps if r.kind == kind), key=lambda r: -r.step):
+            n, positives = n + r.n, positives + r.y
+            if positives >= precision * n:
+                models[KINDS[kind]] = {"model": learned[kind], "threshold": max(0.5, r.step / STEPS)}
     return json.dumps(models)
 
 
