@@ -1,14 +1,17 @@
 """Near copies by the Jaccard similarity of word shingles.
 
 A document is its set of shingles (WIDTH words, as 64-bit hashes). Two are near copies if their sets have a
-similarity of ALIKE or more. Candidates share one of BANDS keys of ROWS min-hashes each: a pair at 0.8 has none in
-common with a probability of 3 in a million. Every candidate is then judged by the sets themselves.
+similarity of ALIKE or more. Candidates come from two methods, and every one is then judged by the sets themselves.
 
-Fingerprints can't find these candidates: at 0.8 some 10 of 64 bits differ, up to 17 in one pair of a hundred, and
-no chain of segments that allows so many is selective.
+The first is op7's: SimHash fingerprints, linked by pigeonring at 3 or fewer of 64 bits; each set is a candidate with
+one of its fingerprint's class. It reaches few pairs near 0.8: there some 10 bits differ, up to 17 in one pair of a
+hundred, and no chain of segments that allows so many is selective. And it links what isn't alike, as texts that repeat
+the same passage. So, second, candidates share one of BANDS keys of ROWS min-hashes each: a pair at 0.8 has none in
+common with a probability of 3 in a million.
 
-Only distinct sets are compared. Large groups are first tied to the least and greatest set of each key; the second,
-complete pass takes only keys that still hold sets of several components, and compares those of different ones.
+Only distinct sets are compared. Large groups are first tied to a set of their fingerprints' class and to the least and
+greatest set of each key; the second, complete pass takes only keys that still hold sets of several components, and
+compares those of different ones.
 """
 
 from __future__ import annotations
@@ -23,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, forget, materialize, small, texts
-from .simhash import LOWER
+from .simhash import LOWER, fingerprint
+from .simhash import linked as linked_fingerprints
 
 WIDTH, BANDS, ROWS = 5, 32, 5
 #: The least similarity, as a fraction.
@@ -62,9 +66,9 @@ def _fp(found: np.ndarray) -> int:
 def _keyed(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     forget()
     for b in small(batches):
-        rows = [(_fp(s), len(s), keys(s)) for s in (shingles(t, width) for t in b.column(1).to_pylist())]
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["doc_id", "fp", "size", "keys"])
+        rows = [(_fp(s), len(s), keys(s), fingerprint(t)) for t in b.column(1).to_pylist() for s in (shingles(t, width),)]
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["doc_id", "fp", "size", "keys", "print"])
 
 
 def _sets(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,14 +90,24 @@ def _confirmed(pairs: DataFrame, least: DataFrame, docs: DataFrame, width: int)
     return both.filter((part + whole) * F.size(F.array_intersect("of_a", "of_b")) >= part * (F.size("of_a") + F.size("of_b"))).drop("of_a", "of_b")
 
 
+def fingerprint_pairs(least: DataFrame) -> DataFrame:
+    """(a, b, size, size2): each of the distinct sets (fp, size, print) with the least set of its fingerprint's class, op7's links of 3 or fewer bits."""
+    prints = materialize(least.select(F.col("print").alias("fp")).distinct(), "prints")
+    classes = linked_fingerprints(prints).withColumnRenamed("fp", "print")
+    of = materialize(least.select("fp", "size", "print").join(classes, "print", "left").select("fp", "size", F.coalesce("root", "print").alias("class")), "print-classes")
+    ends = materialize(of.groupBy("class").agg(F.min("fp").alias("b"), F.min_by("size", "fp").alias("size2"), F.max("fp").alias("last")).filter("b <> last").drop("last"), "print-ends")
+    return of.join(ends, "class").filter("fp <> b").select(F.col("fp").alias("a"), "b", "size", "size2")
+
+
 def linked(least: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(fp, root) for the distinct sets of docs (fp, size, keys, least: their least doc_id): root is the least fp reachable over links. Rows only for those that are not their own root."""
+    """(fp, root) for the distinct sets of docs (fp, size, keys, print, least: their least doc_id): root is the least fp reachable over links. Rows only for those that are not their own root."""
     part, whole = ALIKE
     near = whole * F.least("size", "size2") >= part * F.greatest("size", "size2")
     keyed = least.select("fp", "size", F.explode("keys").alias("key"))
     ends = keyed.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.min_by("size", "fp").alias("low_size"), F.max_by("size", "fp").alias("high_size")).filter("low <> high")
     ends = ends.select("key", F.inline(F.array(F.struct(F.col("low").alias("b"), F.col("low_size").alias("size2")), F.struct(F.col("high").alias("b"), F.col("high_size").alias("size2")))))
-    stars = materialize(keyed.join(ends, "key").filter(near & (F.col("fp") != F.col("b"))).select(F.col("fp").alias("a"), "b").distinct(), "stars")
+    stars = keyed.join(ends, "key").filter(near & (F.col("fp") != F.col("b"))).select(F.col("fp").alias("a"), "b")
+    stars = materialize(fingerprint_pairs(least).filter(near).select("a", "b").unionAll(stars).distinct(), "stars")
     first = components(_confirmed(stars, least, docs, width).select(F.col("a").alias("u"), F.col("b").alias("v")))
     tied = materialize(least.join(first.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "size", "keys", F.coalesce("v", "fp").alias("root")), "tied")
     keyed = tied.select("fp", "size", "root", F.explode("keys").alias("key"))
@@ -116,8 +130,8 @@ def near_copies(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     One row per row of docs. Null and empty texts, and texts of white space, are one class. A null doc_id is never a
     component_id unless nothing else is in the class. An empty table gives no rows. Other columns are ignored.
     """
-    found = materialize(texts(docs).mapInArrow(partial(_keyed, width), "doc_id long, fp long, size long, keys array<long>"), "min-hashes")
-    least = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys")), "distinct-sets")
+    found = materialize(texts(docs).mapInArrow(partial(_keyed, width), "doc_id long, fp long, size long, keys array<long>, print long"), "min-hashes")
+    least = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.min("print").alias("print")), "distinct-sets")
     root = materialize(least.join(linked(least, docs, width), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "roots")
     part = root.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = materialize(root.join(part, "root").select("fp", "component_id"), "classes")
