@@ -14,9 +14,9 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import materialize, new_folder
+from ..sources.shared import dealt, materialize, new_folder
 
-__all__ = ["SPACES", "components", "forget", "held", "materialize", "new_folder", "open_store", "put", "small", "table", "texts", "unused", "writing"]
+__all__ = ["SPACES", "components", "dealt", "forget", "held", "materialize", "new_folder", "open_store", "put", "small", "table", "texts", "unused", "writing"]
 
 #: ASCII white space; words are what stands between.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"

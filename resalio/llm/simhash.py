@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialize, table, texts
+from .common import components, dealt, materialize, table, texts
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Rows of hashes that are unpacked to bits at once.
@@ -77,17 +77,18 @@ def linked(fps: DataFrame) -> DataFrame:
     near = lambda: (differing("rot", "rot2", 40) <= 1) & (differing("rot", "rot2", 60) <= 2) & (differing("rot", "rot2") <= 3)
     keyed = _starts(fps)
     ends = keyed.groupBy("key").agg(F.min("rot").alias("a"), F.max("rot").alias("b"), F.min_by("fp", "rot").alias("fa"), F.max_by("fp", "rot").alias("fb")).filter("a <> b")
-    ends = ends.select("key", F.inline(F.array(F.struct(F.col("a").alias("rot2"), F.col("fa").alias("v")), F.struct(F.col("b").alias("rot2"), F.col("fb").alias("v")))))
+    # keys are many times as many as fingerprints, which plans don't see: no side of their joins is to be broadcast
+    ends = dealt(ends.select("key", F.inline(F.array(F.struct(F.col("a").alias("rot2"), F.col("fa").alias("v")), F.struct(F.col("b").alias("rot2"), F.col("fb").alias("v"))))))
     stars = keyed.join(ends, (keyed.key == ends.key) & near() & (F.col("fp") != F.col("v"))).select(F.col("fp").alias("u"), "v")
     first = components(stars)
     tied = materialize(fps.join(first.withColumnRenamed("u", "fp"), "fp", "left").select("fp", F.coalesce("v", "fp").alias("root")), "tied")
     keyed = _starts(tied, "root")
     open_keys = keyed.groupBy("key").agg(F.min("root").alias("u"), F.max("root").alias("v")).filter("u <> v").select("key")
-    rows = materialize(keyed.join(open_keys, "key", "left_semi").select("key", "rot", "root"), "unsettled")
+    rows = materialize(keyed.join(dealt(open_keys), "key", "left_semi").select("key", "rot", "root"), "unsettled")
     roots = rows.select("key", "root").distinct()
-    apart = roots.withColumnRenamed("root", "u").join(roots.withColumnRenamed("root", "v"), "key").filter("u < v")
+    apart = roots.withColumnRenamed("root", "u").join(dealt(roots.withColumnRenamed("root", "v")), "key").filter("u < v")
     one, two = rows.withColumnRenamed("root", "u"), rows.withColumnsRenamed({"root": "v", "rot": "rot2"})
-    more = apart.join(one, ["key", "u"]).join(two, ["key", "v"]).filter(near()).select("u", "v").distinct()
+    more = apart.join(dealt(one), ["key", "u"]).join(dealt(two), ["key", "v"]).filter(near()).select("u", "v").distinct()
     second = components(more)
     return tied.join(second.withColumnRenamed("u", "root"), "root", "left").select("fp", F.coalesce("v", "root").alias("root")).filter("fp <> root")
 
