@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, forget, materialize, small, texts
+from .common import components, dealt, forget, materialize, small, texts
 from .simhash import LOWER, fingerprint
 from .simhash import linked as linked_fingerprints
 
@@ -106,17 +106,18 @@ def linked(least: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
     keyed = least.select("fp", "size", F.explode("keys").alias("key"))
     ends = keyed.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.min_by("size", "fp").alias("low_size"), F.max_by("size", "fp").alias("high_size")).filter("low <> high")
     ends = ends.select("key", F.inline(F.array(F.struct(F.col("low").alias("b"), F.col("low_size").alias("size2")), F.struct(F.col("high").alias("b"), F.col("high_size").alias("size2")))))
-    stars = keyed.join(ends, "key").filter(near & (F.col("fp") != F.col("b"))).select(F.col("fp").alias("a"), "b")
+    # keys are many times as many as sets, which plans don't see: no side of their joins is to be broadcast
+    stars = keyed.join(dealt(ends), "key").filter(near & (F.col("fp") != F.col("b"))).select(F.col("fp").alias("a"), "b")
     stars = materialize(fingerprint_pairs(least).filter(near).select("a", "b").unionAll(stars).distinct(), "stars")
     first = components(_confirmed(stars, least, docs, width).select(F.col("a").alias("u"), F.col("b").alias("v")))
     tied = materialize(least.join(first.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "size", "keys", F.coalesce("v", "fp").alias("root")), "tied")
     keyed = tied.select("fp", "size", "root", F.explode("keys").alias("key"))
     open_keys = keyed.groupBy("key").agg(F.min("root").alias("u"), F.max("root").alias("v")).filter("u <> v").select("key")
-    rows = materialize(keyed.join(open_keys, "key", "left_semi"), "unsettled")
+    rows = materialize(keyed.join(dealt(open_keys), "key", "left_semi"), "unsettled")
     roots = rows.select("key", "root").distinct()
-    apart = roots.withColumnRenamed("root", "u").join(roots.withColumnRenamed("root", "v"), "key").filter("u < v")
+    apart = roots.withColumnRenamed("root", "u").join(dealt(roots.withColumnRenamed("root", "v")), "key").filter("u < v")
     # sets of one component are never met; pairs that were judged with a star go too
-    met = apart.join(rows.withColumnsRenamed({"root": "u", "fp": "x"}), ["key", "u"]).join(rows.withColumnsRenamed({"root": "v", "fp": "y", "size": "size2"}), ["key", "v"]).filter(near)
+    met = apart.join(dealt(rows.withColumnsRenamed({"root": "u", "fp": "x"})), ["key", "u"]).join(dealt(rows.withColumnsRenamed({"root": "v", "fp": "y", "size": "size2"})), ["key", "v"]).filter(near)
     more = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "u", "v").distinct()
     known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = materialize(more.join(known, ["a", "b"], "left_anti"), "more")

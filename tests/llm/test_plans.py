@@ -5,7 +5,7 @@ import pytest
 from resalio.llm import common, jaccard, simhash
 
 
-@pytest.mark.parametrize("classes", [simhash.near_duplicates])
+@pytest.mark.parametrize("classes", [simhash.near_duplicates, jaccard.near_copies])
 def test_keys_are_never_broadcast(spark, monkeypatch, classes):
     """A fingerprint or a set has tens of keys, which Spark doesn't know of when it takes a table for small."""
     plans, write = [], common.materialize
