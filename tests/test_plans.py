@@ -1,6 +1,10 @@
 """How joins of the queries are planned: tables that grow with the input are never broadcast, however small Spark takes them for."""
 
-from resalio.queries import pairing
+from pyspark.sql import functions as F
+
+from resalio.functions import vocabulary as V
+from resalio.operators import headers as H
+from resalio.queries import pairing, sheets
 
 
 def plan(df):
@@ -10,3 +14,18 @@ def plan(df):
 def test_prepared_names_are_not_broadcast(spark, sf):
     p = plan(pairing.match_marks(spark, sf))
     assert "SortMergeJoin [product_id" in p and "SortMergeJoin [item_id" in p and "BroadcastHashJoin [product_id" not in p and "BroadcastHashJoin [item_id" not in p
+
+
+def test_tables_of_pages_are_not_broadcast(spark, sf):
+    p = plan(sheets.page_tables(spark, sf))
+    assert "SortMergeJoin" in p and "BroadcastHashJoin" not in p
+
+
+def test_any_score_is_the_best_of_scores(spark):
+    """All words at once tell what each word's score tells."""
+    words = H.VOCABULARY
+    norms = {*words, *(w[:5] for w in words), *(w[1:] for w in words), *(f"x{w} y" for w in words), *(w[:3] for w in words), "foo", "12,5", "a.b", "luva"}
+    df = spark.createDataFrame([(n,) for n in sorted(norms) if n], "norm string")
+    for some in (words, *V.COLUMN_NAMES.values()):
+        best = F.greatest(*[H.word_score(F.col("norm"), F.lit(w)) for w in dict.fromkeys(some)], F.lit(0.0))
+        assert df.filter(H.any_score(F.col("norm"), list(some)) != (best > 0)).count() == 0
