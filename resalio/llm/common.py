@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from urllib.parse import urlparse
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import dealt, materialize, new_folder
+from ..sources.shared import dealt, materialize, new_folder, open_store
 
 __all__ = ["SPACES", "components", "dealt", "forget", "held", "materialize", "new_folder", "open_store", "put", "small", "table", "texts", "unused", "writing"]
 
@@ -54,15 +51,6 @@ def forget(but: int = 0) -> None:
     pa.default_memory_pool().release_unused()
 
 
-def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system behind a URI of the shared folder (file, hdfs, s3, gs), and the path in it."""
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), urlparse(uri).path
-    if re.match(r"\w+://", uri):
-        return pafs.FileSystem.from_uri(uri)
-    return pafs.LocalFileSystem(), uri
-
-
 def unused(df: DataFrame, name: str) -> str:
     """The name, with underscores after it where the table has such a column."""
     have = {c.lower() for c in df.columns}

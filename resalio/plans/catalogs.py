@@ -15,7 +15,7 @@ from ..operators import matching as M
 from ..operators import rows as R
 from ..operators import scoring
 from ..sources import sinks
-from ..sources.shared import Run, materialize
+from ..sources.shared import Run, dealt, materialize
 
 
 @dataclass(frozen=True)
@@ -63,8 +63,8 @@ def parse_csv(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = R.clean_csv_rows(fields)
     products = good.select("catalog_id", F.concat_ws("-", "catalog_id", F.col("row_idx").cast("string")).alias("product_id"), "raw_name", "normalized_name", "sku", "category", "supplier", "cost")
     named = ~F.lower(F.coalesce("raw_name", F.lit(""))).isin("nan", "none", "")
-    counts = fields.groupBy("catalog_id").agg(F.count("*").alias("total_rows_scanned"), F.count_if(~named).alias("skipped_invalid_name")).join(good.groupBy("catalog_id").agg(F.count("*").alias("valid_products")), "catalog_id", "left")
-    every = rows.select("catalog_id").distinct().join(counts, "catalog_id", "left").na.fill(0, ["total_rows_scanned", "skipped_invalid_name", "valid_products"])
+    counts = fields.groupBy("catalog_id").agg(F.count("*").alias("total_rows_scanned"), F.count_if(~named).alias("skipped_invalid_name")).join(dealt(good.groupBy("catalog_id").agg(F.count("*").alias("valid_products"))), "catalog_id", "left")
+    every = rows.select("catalog_id").distinct().join(dealt(counts), "catalog_id", "left").na.fill(0, ["total_rows_scanned", "skipped_invalid_name", "valid_products"])
     zero = F.lit(0).cast("long")
     stats = every.withColumns({"skipped_invalid_cost": F.col("total_rows_scanned") - F.col("skipped_invalid_name") - F.col("valid_products"), "skipped_empty": zero, "skipped_subtotal": zero, "duplicate_skus": zero})
     level = F.when(F.col("success_rate") >= 0.80, "RELIABLE").when(F.col("valid_products") > 0, "PARTIAL").otherwise("FAILED")

@@ -186,9 +186,10 @@ def many_csv(spark: SparkSession, d: str) -> DataFrame:
     rows = part.select("f", "k", sep.alias("sep"), head.alias("head"), line(name, cost, F.when(F.col("k") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("M"), F.col("k").cast("string"))), F.col("p_brand")).alias("row"))
     files = rows.groupBy("f", "sep", "head").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "row"))), lambda r: r["row"]), "\n").alias("body"))  # ten rows
     content = F.when(F.col("f") % 13 == 12, F.lit("one column\nx")).otherwise(F.concat_ws("\n", "head", "body"))
-    folder = new_folder(spark, "many-csv")
-    files.select("f", F.replace(content, F.lit("\u0002"), "sep").alias("value")).repartition(8, "f").write.partitionBy("f").text(folder)
-    return csv_files.read_csv_files(spark, f"{folder}/*/*.txt").withColumn("catalog_id", F.regexp_extract("catalog_id", "f=([0-9]+)", 1))
+    value = F.concat(F.replace(content, F.lit("\u0002"), "sep"), F.lit("\n"))
+    named = files.select(F.floor(F.col("f") / 1000).cast("string").alias("folder"), F.format_string("f=%d.txt", "f").alias("name"), value.alias("value"))  # a thousand files a folder
+    folders = sinks.write_files(named, new_folder(spark, "many-csv"))
+    return csv_files.read_csv_folders(folders).withColumn("catalog_id", F.regexp_extract("catalog_id", "f=([0-9]+)", 1))
 
 
 def many_csv_products(spark: SparkSession, d: str) -> DataFrame:

@@ -8,9 +8,12 @@ import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import open_store
+
 SEPARATORS = [",", ";", "\t", "|"]
 ENCODINGS = ["utf-8", "ISO-8859-1"]
 #: Records that leave a task at once.
@@ -63,36 +66,62 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     csv.field_size_limit(sys.maxsize)
     kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string())]
     names = ["catalog_id", "status", "sep", "encoding", "row_idx", "cells"]
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names)
+    rows: list[tuple] = []
     for b in batches:
         for path, content in zip(b.column(0).to_pylist(), b.column(1)):
             text, encoding = decoded(content.as_buffer().to_pybytes())
             sep = dialect(text)
             if sep is None:
-                yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip((path, "FAILED", None, encoding, None, None), kinds)], names)
-                continue
-            rows: list[tuple] = []
-            for k, cells in enumerate(records(text, sep)):
+                rows.append((path, "FAILED", None, encoding, None, None))
+            for k, cells in enumerate(records(text, sep) if sep else ()):
                 width = len(cells) if k == 0 else width
                 filled = named(cells) if k == 0 else [None if c in NO_VALUE else c for c in cells] + [None] * (width - len(cells))
                 rows.append((path, "OK", sep, encoding, k, filled))
-                if len(rows) == ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names)
+                if len(rows) >= ROWS:
+                    yield batch()
                     rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names)
+    if rows:
+        yield batch()
 
 
 def read_csv_files(spark: SparkSession, *paths: str) -> DataFrame:
     """The records of CSV files: catalog_id (the file's path), status, sep, encoding, row_idx (0: the header) and cells (as many as the header has, null where there is no value).
 
-    One scan, whatever the number of files and of their headers; nothing of them reaches the driver, and a task
-    holds one file at a time. A file without a dialect, or without a record, is one row: FAILED, without cells. Files
+    One scan, whatever the number of files and of their headers; a task holds one file at a time. The driver holds the
+    files' names, as Spark's readers list them: for hundreds of thousands of files there is read_csv_folders. A file without a dialect, or without a record, is one row: FAILED, without cells. Files
     of no length at all are passed over, as Spark's readers do.
     """
     files = spark.read.format("binaryFile").load(list(paths)).select(F.col("path").alias("catalog_id"), "content")
     return files.mapInArrow(_parse, ROW)
 
 
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for folder in b.column(0).to_pylist():
+            fs, path = open_store(folder)
+            found = [i.base_name for i in fs.get_file_info(pafs.FileSelector(path)) if i.type == pafs.FileType.File and i.size and not i.base_name.startswith(("_", "."))]
+            yield pa.RecordBatch.from_arrays([pa.array([folder] * len(found), pa.string()), pa.array(found, pa.string())], ["folder", "name"])
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for folder, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            fs, path = open_store(folder)
+            with fs.open_input_stream(f"{path}/{name}", compression=None) as file:
+                yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"], pa.string()), pa.array([file.read()], pa.large_binary())], ["catalog_id", "content"])
+
+
+def read_csv_folders(folders: DataFrame) -> DataFrame:
+    """What read_csv_files gives, of the files in folders (folder: a URI, files without folders below), however many.
+
+    Tasks list the folders, one each, and read the files: no name of a file reaches the driver. As in Spark's readers,
+    files of no length and those whose names begin with _ or . are passed over.
+    """
+    files = folders.select("folder").repartition("folder").mapInArrow(_names, "folder string, name string")
+    return files.repartition("folder", "name").mapInArrow(lambda batches: _parse(_contents(batches)), ROW)
+
+
 def csv_dialects(spark: SparkSession, *paths: str) -> DataFrame:
     """catalog_id, sep, encoding, status (FAILED or OK) and number of records of each file."""
     rows = read_csv_files(spark, *paths)

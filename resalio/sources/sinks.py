@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
+from .shared import materialize, open_store
 
 
 def write_products(df: DataFrame, path: str, mode: str = "append") -> None:
@@ -13,6 +19,28 @@ def write_products(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).partitionBy("catalog_id").parquet(path)
 
 
+def _write(root: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fs, path = open_store(root)
+    for b in batches:
+        for folder in (folders := b.column(0).unique()).to_pylist():
+            fs.create_dir(f"{path}/{folder}", recursive=True)
+        for folder, name, value in zip(*(b.column(k).to_pylist() for k in range(3))):
+            part = f"{path}/{folder}/.{name}.{uuid.uuid4().hex}"
+            with fs.open_output_stream(part) as out:
+                out.write(value.encode())
+            fs.move(part, f"{path}/{folder}/{name}")
+        yield pa.RecordBatch.from_arrays([folders.cast(pa.string())], ["folder"])
+
+
+def write_files(files: DataFrame, root: str) -> DataFrame:
+    """Texts (folder, name, value) as files of their own below root, whatever their number; folder: the URI of each folder, once.
+
+    Tasks write them, and nothing of them reaches the driver; a task that is tried again replaces them with the same.
+    """
+    done = files.select("folder", "name", "value").mapInArrow(partial(_write, root), "folder string").distinct()
+    return materialize(done.select(F.concat_ws("/", F.lit(root), "folder").alias("folder")), "folders")
+
+
 def upsert(target: DataFrame, updates: DataFrame, key: str = "product_id") -> DataFrame:
     """Updates in place of the rows that have their keys."""
     return target.join(updates.select(key), key, "left_anti").unionByName(updates)
