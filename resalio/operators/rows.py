@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import price as P
 from ..functions import text as T
 from ..functions import vocabulary as V
-from ..sources.shared import materialize
+from ..sources.shared import dealt, materialize
 from . import headers as H
 from .ordering import carried
 
@@ -175,8 +175,8 @@ def csv_fields(rows: DataFrame) -> DataFrame:
     else the model's code with the brand before it; the supplier's column is the brand's, where there is one.
     """
     heads = rows.filter("row_idx = 0").select("catalog_id", F.posexplode("cells").alias("col_idx", "header"))
-    mapping = H.mapping_status(H.map_headers(heads)).filter("has_required").join(H.find_precision_cols(heads), "catalog_id", "left")
-    df = rows.filter("row_idx > 0").select("catalog_id", "row_idx", "cells").join(mapping, "catalog_id")
+    mapping = H.mapping_status(H.map_headers(heads)).filter("has_required").join(dealt(H.find_precision_cols(heads)), "catalog_id", "left")
+    df = rows.filter("row_idx > 0").select("catalog_id", "row_idx", "cells").join(dealt(mapping), "catalog_id")  # a row of each file: as many as there are files
     bare = lambda c: F.regexp_replace(cell(c), r"^\s+|\s+$", "")
     said = lambda c: F.get(F.filter(F.array(bare(c)), lambda v: ~F.lower(v).isin("nan", "none", "")), F.lit(0))
     df = df.withColumn("brand_col", F.coalesce("supplier", "brand_col"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from resalio.functions import vocabulary as V
 from resalio.operators import headers as H
+from resalio.operators import rows as R
 from resalio.queries import pairing, sheets
 
 
@@ -29,3 +30,10 @@ def test_any_score_is_the_best_of_scores(spark):
     for some in (words, *V.COLUMN_NAMES.values()):
         best = F.greatest(*[H.word_score(F.col("norm"), F.lit(w)) for w in dict.fromkeys(some)], F.lit(0.0))
         assert df.filter(H.any_score(F.col("norm"), list(some)) != (best > 0)).count() == 0
+
+
+def test_columns_of_many_files_are_not_broadcast(spark):
+    rows = spark.createDataFrame([("a", 0, ["Produto", "Custo"]), ("a", 1, ["Luva", "1,50"])], "catalog_id string, row_idx int, cells array<string>")
+    fields = R.csv_fields(rows)
+    assert "BroadcastHashJoin" not in plan(fields)
+    assert [(r.raw_name, r.cost_text) for r in fields.collect()] == [("Luva", "1,50")]
