@@ -37,3 +37,12 @@ def test_columns_of_many_files_are_not_broadcast(spark):
     fields = R.csv_fields(rows)
     assert "BroadcastHashJoin" not in plan(fields)
     assert [(r.raw_name, r.cost_text) for r in fields.collect()] == [("Luva", "1,50")]
+
+
+def test_first_matches_are_scored_once(spark, sf):
+    """What comes of the first try is read, not scored again; where all products have matches nothing else is."""
+    assert "first-matches" in plan(pairing.two_phase(spark, sf))
+    named = spark.createDataFrame([(1, "luva azul", "luva azul")], "product_id long, name string, query string")
+    found = spark.createDataFrame([("luva azul", 5, "luva azul", 9)], "query string, item_id long, title string, sold_quantity long")
+    all_matched = pairing.M.two_phase_match(pairing.M.prepare(named, "name", "catalog"), pairing.M.prepare(found, "title", "listing"))
+    assert "array_intersect" not in plan(all_matched) and [(r.product_id, r.item_id, r.phase) for r in all_matched.collect()] == [(1, 5, 1)]
